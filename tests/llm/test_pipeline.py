@@ -1,0 +1,26 @@
+"""The pipeline's stages on given documents, each against its own input."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from siteaudit.llm import minhash, quality
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.when(F.col("doc_id") == 7, None).otherwise(F.col("text")))
+    seen = docs
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, seen, sf).persist()
+        assert after.columns == docs.columns, name
+        if name.startswith("MinHash"):
+            assert after.count() == minhash.near_duplicates(seen).where("kept").count()
+            assert minhash.near_duplicates(after).where("not kept").count() == 0
+        elif name.startswith("secret"):
+            assert after.count() == seen.count() and not after.where("text rlike 'AKIA[A-Z0-9]{16}'").count()
+        elif name.startswith("quality"):
+            assert not quality.text_stats(after).where(quality.base_failed()).count()
+        else:
+            assert after.join(seen, "doc_id", "left_anti").count() == 0
+        seen = after
+    out = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
+    assert out.count() == seen.count() > 50
