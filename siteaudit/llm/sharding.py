@@ -45,8 +45,8 @@ def propagate(units: DataFrame, shards: int, room: int) -> DataFrame:
     Every unit starts in the shard of its hash. A round, each step a join or a grouping of tables with ``PARTS`` rows a
     group at most: count each group's documents by shard; the group's homes are the shards with most of
     them, as many as it needs at ``room`` documents each; units elsewhere ask to move to a home; a home that gets more requests than it has
-    room for takes the share of them that fits, whole groups by one hash, parts of groups larger than a shard by their own.
-    Requests are only summed by shard, never ranked. Ends after ``ROUNDS``, or when nothing moves.
+    room for beside those that stay takes the share of them that fits, whole groups by one hash, parts of groups larger than a shard by
+    their own. Requests are only summed by shard, never ranked. Ends after ``ROUNDS``, or when nothing moves.
     """
     share = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
     now = stage(units.withColumn("shard", F.pmod(F.xxhash64("group", "part"), F.lit(shards)).cast("int")), "shard-labels")
@@ -60,7 +60,7 @@ def propagate(units: DataFrame, shards: int, room: int) -> DataFrame:
         spot = F.pmod(F.xxhash64("group", "part", F.lit(k)), F.size("homes")).cast("int")
         asked = asked.withColumn("to", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(F.get("homes", spot)))
         asked = stage(asked.withColumn("luck", F.when(F.col("total") > room, share("group", "part", F.lit(k))).otherwise(share("group", F.lit(k)))), "shard-asked")
-        stay = asked.groupBy("shard").agg(F.sum("n").alias("load"))
+        stay = asked.where("to = shard").groupBy("shard").agg(F.sum("n").alias("load"))
         want = asked.where("to <> shard").groupBy(F.col("to").alias("shard")).agg(F.sum("n").alias("want"))
         # ``shards`` rows
         open_ = want.join(stay, "shard", "left").select(F.col("shard").alias("to"), (F.greatest(F.lit(0), F.lit(room) - F.coalesce("load", F.lit(0))) / F.col("want")).alias("open"))

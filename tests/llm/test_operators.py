@@ -240,7 +240,8 @@ def test_shards(spark, texts):
         for r in rows:
             if r.doc_id is not None and r.doc_id != 3 and texts[r.doc_id] is not None:
                 home[texts[r.doc_id]].add(r.shard)
-        assert len(home["hot"]) <= 40 * 700 / n + 6 and sum(len(home[f"t{k}"]) for k in range(7)) <= 7 * 6
+        assert len(home["hot"]) <= 34
+        assert sum(len(home[f"t{k}"]) for k in range(7)) <= 7 * 8
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site"><h2>Site name</h2></header>
