@@ -90,7 +90,7 @@ def append_audits(existing: DataFrame, new: DataFrame) -> DataFrame:
 def export_users_csv(users: DataFrame, path: str) -> None:
     """Users as CSV with a header, one file for each task."""
     columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in users.dtypes]
-    users.select(*columns).write.mode("errorifexists").csv(path, header=True, quoteAll=True)
+    users.select(*columns).write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
 
 
 def format_report(df: DataFrame) -> DataFrame:
