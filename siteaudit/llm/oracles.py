@@ -18,12 +18,18 @@ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <>
 degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM v LEFT JOIN degree ON x = vec_id LEFT JOIN lowest ON id = vec_id"""
 
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP2 = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-p AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
-u AS (SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(s + length(line) AS INTEGER) AS e, list_filter(string_split_regex(lower(line), '{BREAKS}'), lambda w: w <> '') AS w FROM p),
-k AS (SELECT doc_id, s, e, array_to_string(w, ' ') AS d FROM u WHERE len(w) >= 10),
-f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(s) OVER o AS first_start, row_number() OVER o AS rn FROM k WINDOW o AS (PARTITION BY d ORDER BY doc_id, s))
-SELECT doc_id, s AS "start", e AS "end", first_doc_id, first_start FROM f WHERE rn > 1"""
+p AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i {_BEFORE}), 0) AS whole FROM l),
+x AS (SELECT doc_id, whole, unnest(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+')) AS u, generate_subscripts(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+'), 1) AS j FROM p),
+y AS (SELECT doc_id, whole, u, whole + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, whole ORDER BY j {_BEFORE}), 0) AS s, count(*) FILTER (WHERE trim(u, {_WHITE}) <> '') OVER (PARTITION BY doc_id, whole) AS n FROM x),
+a AS (SELECT doc_id, whole, line AS u, whole AS s, FALSE AS part FROM p UNION ALL SELECT doc_id, whole, u, s, TRUE FROM y WHERE n > 1),
+t AS (SELECT doc_id, whole, part, CAST(s + length(u) - length(ltrim(u, {_WHITE})) AS INTEGER) AS s, length(trim(u, {_WHITE})) AS n, list_filter(string_split_regex(lower(u), '{BREAKS}'), lambda w: w <> '') AS w FROM a),
+k AS (SELECT doc_id, whole, part, s, CAST(s + n AS INTEGER) AS e, array_to_string(w, ' ') AS d FROM t WHERE len(w) >= 10),
+f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(s) OVER o AS first_start FROM k WINDOW o AS (PARTITION BY d ORDER BY doc_id, s)),
+r AS (SELECT * FROM f WHERE (doc_id, s) <> (first_doc_id, first_start))
+SELECT doc_id, s AS "start", e AS "end", first_doc_id, first_start FROM r WHERE NOT part OR (doc_id, whole) NOT IN (SELECT (doc_id, whole) FROM r WHERE NOT part)"""
 
 OP4 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 k AS (SELECT doc_id, source, len(list_filter(string_split_regex(t, '{BREAKS}'), lambda w: w <> '')) AS size,

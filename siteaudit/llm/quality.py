@@ -125,7 +125,7 @@ class DecisionList:
 def _binned(stats: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """Each feature as the number of thresholds under it, so that every condition is a comparison of small integers."""
     at = lambda n: F.size(F.filter(F.array(*[F.lit(c) for c in cuts[n]]), lambda c: c < FEATURES[n]()))
-    return stats.select(F.col("low").cast("int").alias("low"), "held", *[at(n).alias(n) for n in cuts if cuts[n]])
+    return stats.select(F.col("low").cast("int").alias("low"), "held", *[at(n).alias(n) for n in cuts], *[FEATURES[n]().alias(f"{n}_value") for n in cuts])
 
 
 def _covers(conditions: list[tuple[str, bool, int]]) -> Column:
@@ -152,12 +152,20 @@ def _best(rows: DataFrame, names: list[str], low: int, total: int) -> tuple[str,
     return best
 
 
+def _margins(rows: DataFrame, conditions: list[tuple[str, bool, int]]) -> list[tuple[str, bool, float]]:
+    """The conditions with thresholds halfway between the values that they part."""
+    ends = [x for n, _, k in conditions for x in (F.max(F.when(F.col(n) <= k, F.col(f"{n}_value"))), F.min(F.when(F.col(n) > k, F.col(f"{n}_value"))))]
+    found = rows.agg(*ends).first()
+    return [(n, above, (found[2 * i] + found[2 * i + 1]) / 2) for i, (n, above, _) in enumerate(conditions)]
+
+
 def learn_rules(docs: DataFrame, labels: DataFrame) -> DecisionList:
     """Sequential covering over the labelled rows of ``docs`` (quality 0: low, 1: good).
 
     Each rule is grown on two thirds of the training rows, condition by condition, by information gained; then its
     last conditions are cut while the held third is no worse without them. A rule is taken if
-    of at least ``COVER`` held rows that it covers ``PURITY`` are low; rows it covers leave, and the next rule is grown.
+    of at least ``COVER`` held rows that it covers ``PURITY`` are low; rows it covers leave, and the next rule is grown. Thresholds
+    lie halfway between the training values that they part, so that values never seen go with the nearer side.
     Training takes ``TRAIN_ROWS`` labelled documents at most (the smallest hashes of doc_id); a doc_id with several labels
     counts as low if any is. Null labels are left out. Without low and good rows the list is empty: all are kept.
     """
@@ -193,8 +201,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> DecisionList:
         low, total = sums[2 * i], sums[2 * i + 1]
         if total < COVER or low < PURITY * total:
             break
-        real = [(n, above, cuts[n][k]) for n, above, k in tried[i]]  # bin > k: over the first k + 1 thresholds
-        out.rules.append(Rule(real, low, total))
+        out.rules.append(Rule(_margins(rows.where(left), tried[i]), low, total))
         left = left & ~_covers(tried[i])
     return out
 

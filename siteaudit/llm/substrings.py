@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines or paragraphs."""
+"""Substring dedup by hashing lines or paragraphs, and the sentences of those that differ."""
 
 from __future__ import annotations
 
@@ -9,49 +9,64 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, stage
 
 #: Fewest words of a unit that is compared; shorter ones recur by chance.
 LEAST = 10
 _UNIT = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*")}
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 _BREAKS = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def _units(kind: str, least: int):
+def _units(kind: str, least: int, sentences: bool):
     def run(batches):
         for batch in pieces(batches, "text"):
-            ids, starts, ends, digests = [], [], [], []
+            rows: list[tuple] = []
+
+            def add(doc, start, text, whole, part):
+                words = [w for w in _BREAKS.split(text.lower()) if w]
+                if len(words) >= least:
+                    at = start + len(text) - len(text.lstrip(_SPACE))
+                    rows.append((doc, at, at + len(text.strip(_SPACE)), whole, part, xxhash.xxh3_128_digest(" ".join(words))))
+                    return True
+                return False
+
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for m in _UNIT[kind].finditer(text or ""):
-                    words = [w for w in _BREAKS.split(m[0].lower()) if w]
-                    if len(words) >= least:
-                        ids.append(doc)
-                        starts.append(m.start())
-                        ends.append(m.end())
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "start", "end", "digest"])
+                    if add(doc, m.start(), m[0], m.start(), False) and sentences:
+                        inner = [x for x in _SENTENCE.finditer(m[0]) if x[0].strip(_SPACE)]
+                        for x in inner if len(inner) > 1 else ():
+                            add(doc, m.start() + x.start(), x[0], m.start(), True)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "whole", "part", "digest"])
 
     return run
 
 
-def hashed_units(docs: DataFrame, kind: str = "line", least: int = LEAST) -> DataFrame:
-    """``doc_id, start, end`` (code points, end exclusive) and the 128-bit ``digest`` of each line, or paragraph (lines with no empty one
-    between), of at least ``least`` words, in lower case with white space as one space."""
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_units(kind, least), "doc_id long, start int, end int, digest binary")
+def hashed_units(docs: DataFrame, kind: str = "line", least: int = LEAST, sentences: bool = True) -> DataFrame:
+    """A row for each line, or paragraph (lines with no empty one between), of at least ``least`` words, and with ``sentences`` for each of its sentences of
+    as many: ``doc_id, start, end`` (code points without outer white space, end exclusive), ``whole`` (start of its line), ``part`` (it is a sentence), and the
+    128-bit ``digest`` of its words in lower case, a space between them."""
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_units(kind, least, sentences), "doc_id long, start int, end int, whole int, part boolean, digest binary")
 
 
-def repeated_units(docs: DataFrame, kind: str = "line", least: int = LEAST) -> DataFrame:
+def repeated_units(docs: DataFrame, kind: str = "line", least: int = LEAST, sentences: bool = True) -> DataFrame:
     """One row for each unit to remove: ``doc_id, start, end, first_doc_id, first_start``, the occurrence that is kept being
-    the earliest by doc_id, then place.
+    the earliest by doc_id, then place. Sentences are named only where their line stays.
 
-    Digests are counted and ranked before they meet their occurrences again, and only those found twice do. Rows
+    Units are hashed once; their digests are counted and ranked before they meet their occurrences again, and only those found twice do. Rows
     that repeat a document are one occurrence of it. Null or empty texts, short units and rows with a null doc_id have no units; other
     columns are ignored; empty in, empty out.
     """
-    found = hashed_units(docs, kind, least)
+    found = stage(hashed_units(docs, kind, least, sentences), "substring-units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("digest", "first")
+    first = stage(first, "substring-first")  # so that the join reads plain shuffles, of which a hot digest's can be split
     later = found.join(first, "digest").where(F.struct("doc_id", "start") != F.col("first"))
-    return later.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).distinct()
+    later = stage(later.select("doc_id", "start", "end", "whole", "part", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).distinct(), "substring-later")
+    wholes = later.where("not part")
+    inside = later.where("part").join(wholes.select("doc_id", "whole"), ["doc_id", "whole"], "left_anti")
+    return wholes.unionByName(inside).select("doc_id", "start", "end", "first_doc_id", "first_start")
 
 
 def kept_text(text: Column, removed: Column) -> tuple[Column, Column]:
@@ -63,9 +78,9 @@ def kept_text(text: Column, removed: Column) -> tuple[Column, Column]:
     return F.array_join(F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])), ""), spans
 
 
-def deduplicated(docs: DataFrame, kind: str = "line", least: int = LEAST) -> DataFrame:
+def deduplicated(docs: DataFrame, kind: str = "line", least: int = LEAST, sentences: bool = True) -> DataFrame:
     """``docs`` with ``text`` without its repeated units, and ``kept_spans``: the original offsets of what is left."""
-    gone = repeated_units(docs, kind, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
+    gone = repeated_units(docs, kind, least, sentences).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
     text, spans = kept_text(F.col("text"), F.coalesce("_gone", F.array().cast("array<struct<start:int,end:int>>")))
     out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
     return out.select(*[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns if c != "kept_spans"], spans.alias("kept_spans"))
