@@ -96,7 +96,10 @@ def business_metrics(users: DataFrame, audits: DataFrame, usage: DataFrame, visi
     recent = audits.where(F.col("created_at") >= _since(as_of, 14)).agg(F.count("*").alias("audits_14d"), F.count_if(F.to_date("created_at") == _day(as_of)).alias("audits_today"))
     spent = usage.where(F.col("usage_date") == _day(as_of)).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("analyses_today"))
     guests = visitors.where(F.col("usage_date") == _day(as_of)).agg(F.count("*").alias("visitors_today"), F.coalesce(F.sum("count"), F.lit(0)).alias("guest_analyses_today"))
-    return people.crossJoin(recent).crossJoin(spent).crossJoin(guests)  # of one row each
+    parts = people
+    for one in (recent, spent, guests):
+        parts = parts.unionByName(one, allowMissingColumns=True)  # of one row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def search_users(users: DataFrame, text: str = "", plan: str = "all") -> DataFrame:

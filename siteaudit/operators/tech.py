@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RULES = "rule int, name string, category string, confidence string, patterns array<string>, require_all boolean, tag_only boolean"
-#: Most rules that are sent to tasks.
+#: Most rules that are sent to tasks; more raise.
 MOST_RULES = 5_000
 
 #: Common technologies as category, name, patterns; a leading ~ matches within tags only, a leading & asks for all patterns.
@@ -158,7 +158,9 @@ _NAMES = [x.split()[0] for x in MATCHES.split(", ")]
 
 def tech_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Long form: a row for each pattern of each rule that holds on a page, with evidence and origin."""
-    table = rules.orderBy("rule").limit(MOST_RULES).collect()  # a bounded table of rules
+    table = rules.orderBy("rule").limit(MOST_RULES + 1).collect()
+    if len(table) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: split the table and union the matches")
     wanted = [(r.rule, r.name, r.category, r.confidence, [(p, p.lower(), *evidence(p)) for p in r.patterns], bool(r.require_all), bool(r.tag_only)) for r in table]
 
     def run(batches):
@@ -272,7 +274,8 @@ def core_entities(spark: SparkSession) -> DataFrame:
 
 def merge_third_parties(stack: DataFrame, parties: DataFrame, entities: DataFrame) -> DataFrame:
     """``stack(page_id, name, category, confidence)`` and those of ``parties(page_id, pos, entity)`` that are known and not in it yet (names in any case), with high confidence."""
-    known = parties.join(F.broadcast(entities.limit(MOST_RULES)), "entity").withColumn("key", F.lower("name"))  # a bounded table
+    few = entities.limit(MOST_RULES + 1).count() <= MOST_RULES
+    known = parties.join(F.broadcast(entities) if few else entities, "entity").withColumn("key", F.lower("name"))
     first = known.groupBy("page_id", "key").agg(F.min_by(F.struct("name", "category"), "pos").alias("e"))
     have = stack.select("page_id", F.lower("name").alias("key"))
     new = first.join(have, ["page_id", "key"], "left_anti").select("page_id", "e.name", "e.category", F.lit("high").alias("confidence"))
