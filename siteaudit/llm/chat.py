@@ -147,3 +147,53 @@ def read_back(packs: DataFrame) -> DataFrame:
     """A row for each conversation of ``packs``: ``conv_id, turns`` (role, text), ``loss_text`` (all text under the loss mask) and
     ``formatted_chars``, all read from the packed text."""
     return packs.select("text", "nodes", "conversations").mapInArrow(_read, "conv_id long, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
+
+
+TOKENS = (
+    "ids array<int>, positions array<int>, nodes array<struct<start:int,end:int,parent:int,attend:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, "
+    "conversations array<struct<conv_id:long,node:int>>"
+)
+_TOKEN_NODE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("attend", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
+
+
+def token_packs(packs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``packs`` in tokens of the vocabulary in ``ranks`` (a tiktoken file, read by the driver and sent to the tasks: about 1 MB): ``ids`` and
+    ``positions`` of the whole pack, and for each node its interval, its ancestors' and its loss interval in tokens.
+
+    A turn is encoded as what stands before its text, the text, and what stands after, each on its own: shared turns have the same tokens in
+    every conversation, and the loss interval ends where tokens do.
+    """
+    from .secrets import _vocabulary
+
+    with open(ranks, "rb") as f:
+        data = f.read()
+
+    def run(batches):
+        encode = _vocabulary(data, pattern).encode_ordinary
+        for batch in batches:
+            for text, nodes, leaves in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                ids, positions, out, depth = [], [], [], []
+                for n in nodes:
+                    piece = text[n["start"] : n["end"]]
+                    a = piece.index("\n") + 1
+                    b = len(piece) - len("</s>")
+                    head, body, tail = (encode(x) for x in (piece[:a], piece[a:b], piece[b:]))
+                    start, parent = len(ids), n["parent"]
+                    ids += head + body + tail
+                    attend, base = [], 0
+                    if parent >= 0:
+                        up = out[parent]
+                        base = depth[parent] + up["end"] - up["start"]
+                        attend = [dict(x) for x in up["attend"]]
+                        if attend and attend[-1]["end"] == up["start"]:
+                            attend[-1]["end"] = up["end"]
+                        else:
+                            attend.append({"start": up["start"], "end": up["end"]})
+                    positions += range(base, base + len(ids) - start)
+                    depth.append(base)
+                    trained = n["loss_start"] > n["start"]
+                    at = start + len(head)
+                    out.append({"start": start, "end": len(ids), "parent": parent, "attend": attend, "loss_start": at if trained else start, "loss_end": at + len(body) if trained else start})
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), pa.array([positions], pa.list_(pa.int32())), pa.array([out], pa.list_(_TOKEN_NODE)), pa.array([leaves], pa.list_(_LEAF))], ["ids", "positions", "nodes", "conversations"])
+
+    return packs.select("text", "nodes", "conversations").mapInArrow(run, TOKENS)

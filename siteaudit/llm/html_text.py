@@ -35,25 +35,32 @@ MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class names and ids that mark page furniture.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr ccpa notice notices popup modal overlay "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr ccpa notice notices alert alerts announcement popup modal overlay "
     "newsletter subscribe subscription signup signin login sidebar sidebars aside rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs masthead header footer foot topbar toolbar comment comments "
     "commentlist disqus reply replies respond discussion feedback share sharing social related recommended recommendations widget widgets pagination pager search skip copyright legal disclaimer paywall tags byline".split()
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^\"'<>]*(?:\"[^\"]*\"[^\"'<>]*|'[^']*'[^\"'<>]*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*(?:>|$)|<[!?/][^>]*(?:>|$)")
 _HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED) + r")\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
+#: Of these, what names a part of the article itself when it stands within it.
+OWN_HINTS = frozenset(("header", "masthead"))
+
+
+def furniture(tag: str, attributes: str, within: bool = False) -> bool:
+    """Whether an element is page furniture; ``within``: it stands in the article, whose own header isn't."""
+    if tag in FURNITURE and not (within and tag == "header"):
         return True
     if not attributes or tag in ("html", "body") or tag in MAIN and "class" not in attributes:
         return False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and not HINTS.isdisjoint(x.lower() for x in _NAME.findall(value)):
-            return True
+        if name in ("class", "id"):
+            found = HINTS.intersection(x.lower() for x in _NAME.findall(value))
+            if found - OWN_HINTS if within else found:
+                return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -100,9 +107,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             _, main, out = stack.pop()
-        # A header or footer within an article belongs to it only if it isn't the page's own.
-        inner = tag == "header" and main and not out
-        off = furniture(tag, m[3] or "") and not inner
+        off = furniture(tag, m[3] or "", main and not out)
         if off != out and off and held:
             flush()
         stack.append((tag, main, out))
