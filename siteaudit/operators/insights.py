@@ -41,47 +41,43 @@ def _has_tech(category: str) -> Column:
     return F.array_contains("tech_categories", category)
 
 
+#: What pages of a kind say, anywhere; and what their titles or descriptions do.
+PHRASES = {
+    "cart": ("add to cart", "add to bag", "remove from cart"), "checkout": ("proceed to checkout", "go to checkout", "view cart", "shopping cart"), "purchase": ("buy now", "shop now", "order now"),
+    "fulfilment": ("free shipping", "ships in", "in stock", "out of stock", "add to wishlist"), "trial": ("free trial", "start your free trial", "try for free", "14-day", "30-day trial"),
+    "subscription": ("per month", "per user", "per seat", "billed annually", "monthly plan", "annual plan"), "signup": ("sign up free", "create your account", "start for free"),
+    "app": ("dashboard", "workspace", "integrations", "api access"), "person": ("i'm a ", "i am a ", "my name is", "hire me", "available for"),
+    "creative": ("designer", "developer", "photographer", "illustrator", "freelancer", "creative"), "work": ("case study", "case studies", "my projects", "selected work", "recent work"),
+    "published": ("posted on", "published on", "published:", "written by", "author:", "by the editors"), "dated": ("<time", "datetime=", "article:published_time"),
+    "replies": ("comments (", "leave a comment", "reply to", "subscribe to our newsletter"), "posts": ("next post", "previous post", "related articles", "more from this author"),
+    "urgency": ("limited time", "offer expires", "only left", "spots remaining", "claim your", "act now"), "assurance": ("100% free", "no credit card required", "no credit card", "cancel anytime", "money-back guarantee"),
+    "services": ("our services", "what we offer", "what we do", "how we help", "get a quote", "request a quote", "book a ", "schedule a ", "free consultation", "call us today"),
+    "clients": ("years of experience", "years experience", "trusted by", "clients include", "our clients"), "about": ("about us", "our story", "our history", "who we are"),
+    "careers": ("careers", "join our team", "job openings", "we're hiring"), "press": ("press", "newsroom", "media kit", "press release", "in the news"), "investors": ("investors", "investor relations", "annual report", "shareholder"),
+}
+NAMES = {
+    "software": ("platform", "software", "app", "tool", "suite"), "portfolio": ("portfolio", "my work", "hire me"),
+    "service": ("agency", "studio", "consulting", "consultancy", "services", "solutions", "firm", "freelance", "specialist"), "company": ("inc", "corp", "ltd", "llc", "group", "holdings", "enterprise", "global"),
+}
+
+
 def page_intent(df: DataFrame) -> DataFrame:
     """``intent``: category and label. Each category scores points; the first to reach its bound wins, then four fallbacks. Expects ``tech_categories``."""
-    lower = F.col("lower")
     said = F.lower(F.concat("title", "overview.description"))
-    has = lambda *needles: contains_any(lower, needles)
-    named = lambda *needles: contains_any(said, needles)
+    has = lambda group: contains_any(F.col("lower"), PHRASES[group])
+    named = lambda group: contains_any(said, NAMES[group])
     ux, stats = lambda c: F.col(f"ux.{c}"), lambda c: F.col(f"stats.{c}")
 
-    shop, cart = _has_tech("ecommerce"), has("add to cart", "add to bag", "remove from cart")
-    flow = has("proceed to checkout", "go to checkout", "view cart", "shopping cart")
-    purchase = has("buy now", "shop now", "order now") & has("free shipping", "ships in", "in stock", "out of stock", "add to wishlist")
-    ecommerce = F.when(shop & cart, 6).when(shop & purchase, 5).when(cart & flow, 5).when(cart, 4).otherwise(0)
-    saas = _points(
-        (has("free trial", "start your free trial", "try for free", "14-day", "30-day trial"), 4), (has("per month", "per user", "per seat", "billed annually", "monthly plan", "annual plan"), 4),
-        (has("sign up free", "create your account", "start for free") & named("platform", "software", "app", "tool", "suite"), 3), (has("dashboard", "workspace", "integrations", "api access") & _has_tech("framework"), 2),
-    )
-    portfolio = _points(
-        (named("portfolio", "my work", "hire me"), 4),
-        (has("i'm a ", "i am a ", "my name is", "hire me", "available for") & has("designer", "developer", "photographer", "illustrator", "freelancer", "creative"), 4),
-        (has("case study", "case studies", "my projects", "selected work", "recent work"), 2),
-    )
-    blog = _points(
-        (has("posted on", "published on", "published:", "written by", "author:", "by the editors"), 4), (has("<time", "datetime=", "article:published_time"), 3),
-        (has("comments (", "leave a comment", "reply to", "subscribe to our newsletter") & (stats("words") > 800), 3), (has("next post", "previous post", "related articles", "more from this author"), 3),
-    )
+    shop, cart, purchase = _has_tech("ecommerce"), has("cart"), has("purchase") & has("fulfilment")
+    ecommerce = F.when(shop & cart, 6).when(shop & purchase, 5).when(cart & has("checkout"), 5).when(cart, 4).otherwise(0)
+    saas = _points((has("trial"), 4), (has("subscription"), 4), (has("signup") & named("software"), 3), (has("app") & _has_tech("framework"), 2))
+    portfolio = _points((named("portfolio"), 4), (has("person") & has("creative"), 4), (has("work"), 2))
+    blog = _points((has("published"), 4), (has("dated"), 3), (has("replies") & (stats("words") > 800), 3), (has("posts"), 3))
     narrow, short, many = stats("internal_links") <= 4, stats("words") < 500, ux("cta_count") >= 4
-    landing = (
-        _points((has("limited time", "offer expires", "only left", "spots remaining", "claim your", "act now") & (narrow | many), 4))
-        + F.when(narrow & short & many, 4).when(narrow & short, 2).otherwise(0)
-        + _points((has("100% free", "no credit card required", "no credit card", "cancel anytime", "money-back guarantee") & many, 3))
-    )
-    service = _points(
-        (has("our services", "what we offer", "what we do", "how we help", "get a quote", "request a quote", "book a ", "schedule a ", "free consultation", "call us today"), 3),
-        (named("agency", "studio", "consulting", "consultancy", "services", "solutions", "firm", "freelance", "specialist"), 3), (ux("has_forms") & ux("contact_info"), 2),
-        (has("years of experience", "years experience", "trusted by", "clients include", "our clients"), 2),
-    )
-    parts = _points(
-        (has("about us", "our story", "our history", "who we are"), 1), (has("careers", "join our team", "job openings", "we're hiring"), 1),
-        (has("press", "newsroom", "media kit", "press release", "in the news"), 1), (has("investors", "investor relations", "annual report", "shareholder"), 1),
-    )
-    corporate = F.when(parts >= 2, parts * 2).otherwise(0) + _points((named("inc", "corp", "ltd", "llc", "group", "holdings", "enterprise", "global"), 2), ((stats("internal_links") > 25) & (stats("words") > 1000), 1))
+    landing = _points((has("urgency") & (narrow | many), 4), (has("assurance") & many, 3)) + F.when(narrow & short & many, 4).when(narrow & short, 2).otherwise(0)
+    service = _points((has("services"), 3), (named("service"), 3), (ux("has_forms") & ux("contact_info"), 2), (has("clients"), 2))
+    parts = _points(*[(has(group), 1) for group in ("about", "careers", "press", "investors")])
+    corporate = F.when(parts >= 2, parts * 2).otherwise(0) + _points((named("company"), 2), ((stats("internal_links") > 25) & (stats("words") > 1000), 1))
     kind = lambda category, label: F.struct(F.lit(category).alias("category"), F.lit(label).alias("label"))
     intent = (
         F.when(ecommerce >= 5, kind("ecommerce", "store"))

