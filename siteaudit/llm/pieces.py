@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 MARK = "▁"
-_CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Chunks of a task's table; it starts anew beyond that. Chunks over this many characters aren't kept in it.
-TABLE, LONG = 400_000, 64
+#: Markers are spaces here, which take a byte each in most texts; the library turns them into markers itself.
+_CHUNK = re.compile("\n| +[^ \n]*|[^ \n]+")
+#: Chunks of a task's table; beyond that it starts anew with those of the batch. Chunks over this many characters aren't kept in it.
+TABLE, LONG = 200_000, 64
+#: Bytes of text that are cut into chunks at once.
+BATCH = 2 << 20
 
 _models: dict = {}
 
@@ -68,7 +71,7 @@ class Table:
         return long
 
     def encode(self, texts: list[str | None], first: bytes, last: bytes) -> tuple[list[bytes], list[str]]:
-        cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         long = self.learn(set().union(*cut)) if cut else {}
         table = self.known if not long else {**self.known, **long}
         ids, out = [], []
@@ -97,7 +100,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True,
     def run(batches):
         table = Table(data)
         first, last = (struct.pack("<I", i) if on else b"" for on, i in ((begin, table.sp.bos_id()), (end, table.sp.eos_id())))
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", BATCH):
             ids, out = table.encode(batch.column(batch.num_columns - 1).to_pylist(), first, last)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
 
