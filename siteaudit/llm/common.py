@@ -118,6 +118,15 @@ def forest(n: int, pairs: Iterable[tuple[int, int]]) -> np.ndarray:
     return root
 
 
+def star(ids: np.ndarray, root: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links from the smallest id of each tree of ``forest`` to its other members: hubs are smallest ids, so that components settle in few rounds."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    hub = least[root]
+    far = hub != ids
+    return hub[far].tolist(), ids[far].tolist()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: one row ``(id, component)``
     for each node of an edge, ``component`` the smallest id reachable.
@@ -132,12 +141,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     seen = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        # Staged, so that the join reads two plain shuffles and a hub's can be split; not made distinct here, which would tie it to u.
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_star = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = stage(small_star.where("u <> v").distinct(), name)
+        unstage(low)
         unstage(pairs)
         pairs = after
         now = pairs.agg(F.count("*"), mark).first()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, groups, stage, unstage
+from .common import components, forest, groups, stage, star, unstage
 
 #: Vectors of a smallest interval, and of its parts in memory.
 INTERVAL, PART = 4096, 512
@@ -152,9 +152,9 @@ def _link(d: int, kind: str, axes: np.ndarray, least: float, eps: float):
             for name, n in ((ai, counts[0]), (bi, counts[1])):
                 n_id += name[n > 0].tolist()
                 n_n += n[n > 0].tolist()
-            far = np.flatnonzero(root != np.arange(len(root)))
-            e_a += ids[root[far]].tolist()
-            e_b += ids[far].tolist()
+            hubs, others = star(ids, root)
+            e_a += hubs
+            e_b += others
             if len(n_id) + len(e_a) > 20_000:
                 yield _rows(n_id, n_n, e_a, e_b)
                 n_id, n_n, e_a, e_b = [], [], [], []

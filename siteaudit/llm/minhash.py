@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, groups, pieces, small, stage, unstage
+from .common import components, forest, groups, pieces, small, stage, star, unstage
 
 #: Coordinates of a band, and the chance at most that a pair at the threshold shares none.
 ROWS, MISS = 5, 1e-6
@@ -166,11 +166,6 @@ def _buckets(batches):
         yield out()
 
 
-def _edges(ids: np.ndarray, root: np.ndarray) -> tuple[list, list]:
-    far = np.flatnonzero(root != np.arange(len(root)))
-    return ids[root[far]].tolist(), ids[far].tolist()
-
-
 def _batched(found: Iterator[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     for x, y in found:
@@ -199,7 +194,7 @@ def _resemble(floor: float, ratio: float):
                     like = ((sig[at] == sig[i]).mean(axis=1) >= floor) & (np.minimum(n[at], n[i]) >= ratio * np.maximum(n[at], n[i]))
                     pairs += [(i, int(j) + at.start) for j in np.flatnonzero(like)]
                 if pairs:
-                    yield _edges(ids, forest(len(ids), pairs))
+                    yield star(ids, forest(len(ids), pairs))
 
         yield from _batched(found())
 
@@ -257,7 +252,7 @@ def _confirm(size: int, percent: int):
                     j = j + cut
                 pairs = [(int(x), int(y)) for x, y in zip(i, j) if x < y]
                 if pairs:
-                    yield _edges(ids, forest(len(ids), pairs))
+                    yield star(ids, forest(len(ids), pairs))
 
         yield from _batched(found())
 
