@@ -69,7 +69,9 @@ def seo_checks(df: DataFrame) -> DataFrame:
 
 
 def seo_checks_long(df: DataFrame) -> DataFrame:
-    return df.select("page_id", F.explode("seo").alias("c")).select("page_id", "c.*")
+    """A row for each check. A page always has some; explode_outer, because for explode the optimizer infers a filter on the
+    whole array and pushes it down, and the checks' expressions with it, below the tokens."""
+    return df.select("page_id", F.explode_outer("seo").alias("c")).select("page_id", "c.*")
 
 
 def seo_score(df: DataFrame) -> DataFrame:
