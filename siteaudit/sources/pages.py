@@ -89,13 +89,19 @@ SNIPPETS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its input has fewer splits than these: small tables only, as large ones have more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with the snippets: ``page_id, url, html``."""
     html = F.col("html")
     for end in ("</head>", "</body>"):
         parts = [F.when(F.col("page_id") % k == r, snippet).otherwise("") for place, k, r, snippet in SNIPPETS if place == end]
         html = F.replace(html, F.lit(end), F.concat(*parts, F.lit(end)))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", html.alias("html"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", html.alias("html"))
 
 
 def _sql_html() -> str:
