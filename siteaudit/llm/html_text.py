@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Lines of a window.
+#: Lines of a window, to each side and with its own.
 WINDOW = 3
+#: Characters of a line that count at most, and those that a line of an article has besides its own.
+LONGEST, BONUS = 300, 40
 
 #: Elements whose content isn't text of the page.
 DROPPED = "script style noscript template svg math canvas object iframe head select textarea button datalist audio video map".split()
 #: Elements that hold page furniture.
-FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
+FURNITURE = frozenset("nav header footer aside dialog menu".split())
+#: Elements that may be page furniture or hold the whole page.
+FORMS = frozenset(("form", "fieldset"))
 #: Elements that start and end lines.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,7 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset(("article", "main"))
 #: Roles of page furniture.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class names and ids that mark page furniture.
+#: Words of class names and ids that hint at page furniture.
 HINTS = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr ccpa notice notices alert alerts announcement popup modal overlay "
     "newsletter subscribe subscription signup signin login sidebar sidebars aside rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs masthead header footer foot topbar toolbar comment comments "
@@ -49,43 +53,80 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 OWN_HINTS = frozenset(("header", "masthead"))
 
 
-def furniture(tag: str, attributes: str, within: bool = False) -> bool:
-    """Whether an element is page furniture; ``within``: it stands in the article, whose own header isn't."""
+def furniture(tag: str, attributes: str, within: bool = False) -> tuple[bool, set[str]]:
+    """Whether an element is page furniture for certain, and the hints that it may be; ``within``: it stands in the article, whose own header isn't.
+
+    """
     if tag in FURNITURE and not (within and tag == "header"):
-        return True
-    if not attributes or tag in ("html", "body") or tag in MAIN and "class" not in attributes:
-        return False
+        return True, set()
+    hints = {f"<{tag}>"} if tag in FORMS else set()
+    if not attributes or tag in ("html", "body"):
+        return False, hints
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             found = HINTS.intersection(x.lower() for x in _NAME.findall(value))
-            if found - OWN_HINTS if within else found:
-                return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            hints |= found - OWN_HINTS if within else found
+        if name == "role" and value.lower() == "form" and tag not in MAIN:
+            hints.add("<form>")
+        elif name == "role" and value.lower() in ROLES and value.lower() != "form" or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, set()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, set()
+    return False, hints
+
+
+class Part:
+    """Lines ``start`` to ``end`` of a page: an article or main element, or an element with ``hints``; ``main``: it is or holds such."""
+
+    __slots__ = ("start", "end", "hints", "main")
+
+    def __init__(self, start: int, hints: set[str], main: bool):
+        self.start, self.end, self.hints, self.main = start, -1, hints, main
 
+    def holds(self, k: int) -> bool:
+        return self.start <= k < self.end
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """A page's lines in order: ``(text, within main, furniture)``; white space is one space, references are decoded."""
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[Part], list[Part]]:
+    """A page's lines in order, ``(text, characters in links, furniture for certain, runs on from the line before)``, its hinted parts and its outermost
+    articles; white space is one space, references are decoded."""
     page = _HIDDEN.sub(" ", page)
-    lines: list[tuple[str, bool, bool]] = []
-    held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    lines: list[tuple[str, int, bool, bool]] = []
+    hinted: list[Part] = []
+    articles: list[Part] = []
+    held: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool, int, Part | None]] = []
     main = out = False
+    links = 0
+    runs_on = False
 
-    def flush():
+    def flush(inline: bool = False):
+        nonlocal runs_on
         if held:
-            if text := " ".join(html.unescape("".join(held)).split()):
-                lines.append((text, main, out))
+            raw = html.unescape("".join(x for x, _ in held))
+            if text := " ".join(raw.split()):
+                linked = len(" ".join(html.unescape("".join(x for x, link in held if link)).split()))
+                lines.append((text, linked, out, runs_on and not raw[0].isspace()))
+                runs_on = inline and not raw[-1].isspace()
+            elif not inline or raw:
+                runs_on = False
             held.clear()
+        elif not inline:
+            runs_on = False
+
+    def close(k: int):
+        nonlocal main, out, links
+        for entry in stack[k:]:
+            if entry[4] is not None:
+                entry[4].end = len(lines)
+        _, main, out, links, _ = stack[k]
+        del stack[k:]
 
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            held.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -95,10 +136,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag not in BLOCKS and stack[k][1:] != (main, out):
-                        flush()
-                    _, main, out = stack[k]
-                    del stack[k:]
+                    if tag not in BLOCKS and (stack[k][1:3] != (main, out) or any(x[4] is not None for x in stack[k:])):
+                        flush(True)
+                    close(k)
                     break
                 if stack[k][0] in ("article", "main", "body", "td", "table") and tag not in ("body", "html", "article", "main", "table"):
                     break  # a stray end tag closes nothing outside
@@ -106,34 +146,69 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if tag in VOID or (m[3] or "").endswith("/"):
             continue
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-            _, main, out = stack.pop()
-        off = furniture(tag, m[3] or "", main and not out)
-        if off != out and off and held:
-            flush()
-        stack.append((tag, main, out))
-        main, out = main or (tag in MAIN and not off), out or off
+            close(len(stack) - 1)
+        off, hints = furniture(tag, m[3] or "", main and not out)
+        if held and (off and not out or hints):
+            flush(True)
+        part = None
+        if tag in MAIN and not off and not out:
+            for entry in stack:
+                if entry[4] is not None:
+                    entry[4].main = True
+            if not main:
+                articles.append(part := Part(len(lines), set(), True))
+        elif hints and not off and not out:
+            hinted.append(part := Part(len(lines), hints, False))
+        stack.append((tag, main, out, links, part))
+        main, out, links = main or (tag in MAIN and not off and not out), out or off, links + (tag == "a")
     if at < len(page):
-        held.append(page[at:])
+        held.append((page[at:], links > 0))
     flush()
-    return lines
+    if stack:
+        close(0)
+    return lines, hinted, articles
+
+
+def _windows(weight: list[int], start: int = 0, end: int | None = None) -> list[int]:
+    """Sums of the windows round the lines from start to end, of these lines only."""
+    end = len(weight) if end is None else end
+    return [sum(weight[max(start, k - WINDOW + 1) : min(end, k + WINDOW)]) for k in range(start, end)]
 
 
 def main_text(page: str | None) -> str:
     """The lines between the surge and the dive of the text, joined by spaces.
 
-    A line weighs its length, nothing if it is furniture or, on a page with an article, outside it. The article surges at
-    the first line with a weight whose window holds a tenth of the heaviest window's text at least, and
-    dives after the last such; lines of no weight between are left out.
+    A line weighs the length of its text outside links, ``LONGEST`` at most, so that no single line sets the scale; furniture weighs nothing. Lines of
+    an article or main element that has a quarter of the page's text at least weigh ``BONUS`` more, and windows don't reach over its bounds. The text
+    surges at the first line with a weight whose window holds a tenth of the heaviest window's text at least, and dives after the last such, in each stretch inside or
+    outside such articles; furniture between is left out.
     """
-    lines = lines_of(page or "")
-    inside = any(main and not out for _, main, out in lines)
-    weight = [0 if out or (inside and not main) else len(text) for text, main, out in lines]
-    sums = [sum(weight[max(0, k - WINDOW + 1) : k + WINDOW]) for k in range(len(weight))]
-    if not any(weight):
+    lines, hinted, articles = lines_of(page or "")
+    size = [0 if out else len(text) for text, _, out, _ in lines]
+    if not any(size):
         return ""
+    plain = [max(0, n - linked) for n, (_, linked, _, _) in zip(size, lines)]
+    plain = plain if any(plain) else size
+    weight = [min(n, LONGEST) for n in plain]
+    for p in hinted:
+        for k in range(p.start, p.end):
+            size[k] = plain[k] = weight[k] = 0
+    heavy = [a for a in articles if 4 * sum(plain[a.start : a.end]) >= sum(plain) > 0]
+    for a in heavy:
+        for k in range(a.start, a.end):
+            weight[k] += BONUS if size[k] else 0
+    bounds = sorted({0, len(lines), *(x for a in heavy for x in (a.start, a.end))})
+    sums = [s for start, end in zip(bounds, bounds[1:]) for s in _windows(weight, start, end)]
     least = max(sums) / 10
-    dense = [k for k, s in enumerate(sums) if weight[k] and (s >= least or inside)]
-    return " ".join(lines[k][0] for k in range(dense[0], dense[-1] + 1) if weight[k])
+    texts: list[str] = []
+    last = -1
+    for start, end in zip(bounds, bounds[1:]):
+        dense = [k for k in range(start, end) if weight[k] and sums[k] >= least]
+        for k in range(dense[0], dense[-1] + 1) if dense else ():
+            if size[k]:
+                texts += ["" if not texts or lines[k][3] and last == k - 1 else " ", lines[k][0]]
+                last = k
+    return "".join(texts)
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:

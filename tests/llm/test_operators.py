@@ -276,6 +276,30 @@ def test_main_text_of_given_pages(spark, sf):
         assert html_text.main_text(r.html) == " ".join(h.unescape(body).split())
 
 
+def paragraphs(n, size=40, tag="p"):
+    return [f"<{tag}>" + " ".join(f"word{i}x{k}" for k in range(size)) + f"</{tag}>" for i in range(n)]
+
+
+def bare(parts):
+    return re.sub("<[^>]*>", "", " ".join(parts))
+
+
+def test_main_text_surges_without_tags():
+    """The windows decide, whatever stands in articles, and no single line sets their scale."""
+    body = paragraphs(12, tag="div")
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><a href='/{i}'>Read more of teaser {i}</a></article>" for i in range(4))
+    got = html_text.main_text(f"<body><div>{''.join(body)}</div><section>{teasers}</section></body>")
+    assert got.startswith(bare(body)) and "Read more" not in got
+    junk = "<div>One</div><div>Two</div>" + "".join(f"<div><a href='/{i}'>Link number {i}</a></div>" for i in range(8))
+    assert html_text.main_text(f"<body>{junk}{''.join(body)}{junk}</body>").count("Link") == 0
+    assert html_text.main_text(f"<body>{junk}<article>{''.join(body)}</article>{junk}</body>") == bare(body)
+    huge = f"<p>{'huge ' * 20_000}</p>"
+    got = html_text.main_text(f"<body>{''.join(body)}{junk * 3}{huge}</body>")
+    assert got.startswith(bare(body)) and got.endswith("huge")
+    inside = html_text.main_text(f"<body><article>{''.join(body)}{'<p>a</p>' * 9}</article></body>")
+    assert inside.startswith(bare(body)) and inside.count(" a") < 9  # the text dives within the article as well
+
+
 def turns_digest(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
