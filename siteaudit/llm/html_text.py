@@ -2,7 +2,7 @@
 
 Markup is stripped, each block of text being a line. The lengths of the lines, summed over a sliding
 window, surge where the article begins and dive where it ends; lines between are its
-text. Lines of what pages say to be no content weigh nothing.
+text. Lines of what pages say to be no content weigh nothing, unless the page's text stands in it.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ OWN_HINTS = frozenset(("header", "masthead"))
 def furniture(tag: str, attributes: str, within: bool = False) -> tuple[bool, set[str]]:
     """Whether an element is page furniture for certain, and the hints that it may be; ``within``: it stands in the article, whose own header isn't.
 
+    Hints say nothing of an article or main element.
     """
     if tag in FURNITURE and not (within and tag == "header"):
         return True, set()
@@ -64,7 +65,7 @@ def furniture(tag: str, attributes: str, within: bool = False) -> tuple[bool, se
         return False, hints
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in MAIN:
             found = HINTS.intersection(x.lower() for x in _NAME.findall(value))
             hints |= found - OWN_HINTS if within else found
         if name == "role" and value.lower() == "form" and tag not in MAIN:
@@ -175,6 +176,21 @@ def _windows(weight: list[int], start: int = 0, end: int | None = None) -> list[
     return [sum(weight[max(start, k - WINDOW + 1) : min(end, k + WINDOW)]) for k in range(start, end)]
 
 
+def _standing(hinted: list[Part], articles: list[Part], size: list[int], plain: list[int], weight: list[int]) -> list[Part]:
+    """The hinted parts that are furniture: none that holds an article, and none round the page's heaviest window, unless it is mostly
+    links or an article outside has a quarter of its text at least. What names such a part says nothing of other parts outside it."""
+    sums = _windows(weight)
+    heaviest = max(range(len(sums)), key=lambda k: (sums[k], weight[k]))
+    text = lambda p: sum(plain[p.start : p.end])
+    rest = [p for p in hinted if not p.main]
+    body = []
+    for p in rest:
+        if p.holds(heaviest) and 2 * text(p) >= sum(size[p.start : p.end]) and not any(4 * text(a) >= text(p) for a in articles if not a.start <= p.start < a.end):
+            body.append(p)
+    void = {w for p in body for w in p.hints if w[0] != "<"}
+    return [p for p in rest if p not in body and (p.hints - void or any(b.holds(p.start) for b in body))]
+
+
 def main_text(page: str | None) -> str:
     """The lines between the surge and the dive of the text, joined by spaces.
 
@@ -190,7 +206,7 @@ def main_text(page: str | None) -> str:
     plain = [max(0, n - linked) for n, (_, linked, _, _) in zip(size, lines)]
     plain = plain if any(plain) else size
     weight = [min(n, LONGEST) for n in plain]
-    for p in hinted:
+    for p in _standing(hinted, articles, size, plain, weight):
         for k in range(p.start, p.end):
             size[k] = plain[k] = weight[k] = 0
     heavy = [a for a in articles if 4 * sum(plain[a.start : a.end]) >= sum(plain) > 0]

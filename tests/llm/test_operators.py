@@ -300,6 +300,25 @@ def test_main_text_surges_without_tags():
     assert inside.startswith(bare(body)) and inside.count(" a") < 9  # the text dives within the article as well
 
 
+def test_main_text_by_hints():
+    """Names and forms hint at furniture; they drop neither articles nor the page's text."""
+    body = paragraphs(12)
+    want = bare(body)
+    side = '<div class="sidebar"><p>Latest posts and more of them</p></div>'
+    for page in (
+        f'<body><div class="layout has-sidebar"><article>{"".join(body)}</article>{side}</div></body>',
+        f'<body><div id="header-and-content"><div>{"".join(body)}</div>{side}</div></body>',
+        f'<body><article class="post tag-legal">{"".join(body)}</article>{side}</body>',
+        f'<body><form id="aspnetForm"><div>{"".join(body)}</div>{side}</form></body>',
+        f'<body><form><main class="widget-page">{"".join(body)}</main>{side}</form></body>',
+        "<body>" + "".join(f'<div class="x-widget">{p}</div>' for p in body) + f"{side}</body>",
+    ):
+        assert html_text.main_text(page) == want
+    comments = '<div class="comments">' + "".join(paragraphs(20, 50)) + "</div>"
+    assert html_text.main_text(f"<body><article>{''.join(body)}</article>{comments}</body>") == want
+    assert html_text.main_text("<body><form role=form><p>Mail</p></form><p>Some text</p></body>") == "Some text"
+
+
 def turns_digest(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
