@@ -28,6 +28,8 @@ SEED = 20_240_817
 #: Members of a block: what one task compares at once.
 BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
+#: Representatives that the members of a larger group meet in its first round; four times as many in each later one.
+FIRST = 64
 #: Standard errors of the estimate that a pair may fall short of the threshold.
 SLACK = 6.0
 
@@ -122,19 +124,11 @@ def signatures(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
 
 
 def _buckets(batches):
-    """Runs of one band key as blocks of members; a longer run as pairs of blocks."""
-
-    def cut(run: np.ndarray):
-        blocks = [run[k : k + BLOCK] for k in range(0, len(run), BLOCK)]
-        for i, a in enumerate(blocks):
-            for j, b in enumerate(blocks[i:], i):
-                if len(blocks) == 1 or i < j or (i == j and len(a) > 1):
-                    yield a, (b if j > i else a[:0])
-
-    rows: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+    """Runs of one band key as blocks of members."""
+    rows: list[tuple[bytes, np.ndarray]] = []
 
     def out():
-        r = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.list_(pa.int64())), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["block", "left", "right"])
+        r = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))], ["block", "members"])
         rows.clear()
         return r
 
@@ -155,17 +149,55 @@ def _buckets(batches):
             yield np.concatenate(held) if len(held) > 1 else held[0]
 
     for run in runs():
+        run = np.unique(run)
         if len(run) < 2:
             continue
-        run = np.unique(run)
-        for a, b in cut(run) if len(run) > 1 else ():
-            rows.append((xxhash.xxh3_128_digest(a.tobytes() + b"|" + b.tobytes()), a, b))
-            if len(rows) >= 2000:
-                yield out()
+        rows.append((xxhash.xxh3_128_digest(run.tobytes()), run))
+        if len(rows) >= 2000:
+            yield out()
     if rows:
         yield out()
 
 
+def _by_representatives(members: DataFrame, links: DataFrame, compare) -> DataFrame:
+    """``links(a, b)`` and those found within the large groups of ``members(grp, id, cuts)``, so that all that a comparison of all pairs would join is joined.
+
+    In each round some members of a group, its representatives, are compared with all its members, which are dealt over ``cuts`` salted blocks. They
+    are taken from those that links don't join to the group's largest component, until each of these has been one: every pair then has been compared or
+    lies within that component. A group of near copies of one text is done after a round or two, each of n members and a bounded number of
+    representatives; only unlinked members make more. ``compare`` gives the links of ``(block, id, right)``.
+    """
+    if members.isEmpty():
+        return links
+    tested, most, turn = None, FIRST, 0
+    while True:
+        joined = stage(components(links), "minhash-joined")
+        placed = stage(members.join(joined, "id", "left").select("grp", "id", "cuts", F.coalesce("component", "id").alias("component")), "minhash-placed")
+        largest = placed.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+        largest = stage(largest, "minhash-largest")
+        outside = placed.join(small(largest, largest.count(), 24), "grp").where("component <> largest").select("grp", "id", "cuts")
+        outside = stage(outside if tested is None else outside.join(tested, ["grp", "id"], "left_anti"), "minhash-outside")
+        counts = stage(outside.groupBy("grp").agg(F.count("*").alias("n")), "minhash-open")
+        for t in (joined, placed, largest):
+            unstage(t)
+        n_open = counts.count()
+        if not n_open:
+            return links
+        few = small(counts, n_open, 24)
+        chosen = outside.join(few, "grp").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("n") / most))) == 0).select("grp", "id", "cuts")
+        chosen = stage(chosen, "minhash-representatives")
+        parts = -(-most // BLOCK)
+        left = chosen.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        right = members.join(few.select("grp"), "grp").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        name = lambda df, is_right: df.select(F.concat_ws(":", "grp", "salt", "part").alias("block"), "id", F.lit(is_right).alias("right"))
+        blocks = stage(name(left, False).unionByName(name(right, True)), "minhash-blocks")
+        links = stage(links.unionByName(compare(blocks)).where("a <> b").distinct(), "minhash-links")
+        tested = chosen.select("grp", "id") if tested is None else tested.unionByName(chosen.select("grp", "id"))
+        for t in (outside, counts, blocks):
+            unstage(t)
+        most, turn = most * 4, turn + 1
+
+
 def _batched(found: Iterator[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     for x, y in found:
@@ -269,6 +301,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
       copies are never paired; repeated rows share a class.
     - A pair at the threshold shares no band with probability ``MISS`` at most (24 bands of 5 coordinates at 0.85, 35 at
       0.8), and falls under the signatures' floor (6 standard errors) with less. Every other link is found and confirmed.
+    - Groups of more than ``BLOCK`` members are compared with representatives, in salted blocks, never all with all.
     - Null, empty or blank text: ``n_shingles`` 0, linked with nothing, kept. Null doc_id: linked
       with nothing, ``component_id`` null, kept. Other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
@@ -282,27 +315,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         "minhash-classes",
     )
     banded = classes.select(F.explode("bands").alias("band"), "id")
-    blocks = banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_buckets, "block binary, left array<long>, right array<long>")
+    hot = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "minhash-hot")
+    few = small(hot, hot.count(), 16)
+    large = banded.join(few, "band").select(F.col("band").alias("grp"), "id", F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
+    large = stage(large, "minhash-large")
+    cold = banded.join(few, "band", "left_anti")
+    blocks = cold.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_buckets, "block binary, members array<long>")
     blocks = blocks.dropDuplicates(["block"])
-    members = blocks.select("block", F.explode("left").alias("id"), F.lit(False).alias("right")).unionByName(blocks.select("block", F.explode("right").alias("id"), F.lit(True).alias("right")))
-    members = stage(members, "minhash-members")
+    members = stage(blocks.select("block", F.explode("members").alias("id"), F.lit(False).alias("right")), "minhash-members")
     floor = share - SLACK * (share * (1 - share) / (n_bands * ROWS)) ** 0.5
     known = classes.select("id", "n_shingles", "sig")
-    alike = members.join(known, "id").repartition("block").sortWithinPartitions("block")
-    alike = stage(alike.mapInArrow(_resemble(floor, share), "a long, b long").distinct(), "minhash-alike")
+
+    def alike_in(blocks: DataFrame) -> DataFrame:
+        return blocks.join(known, "id").repartition("block").sortWithinPartitions("block").mapInArrow(_resemble(floor, share), "a long, b long")
+
+    alike = stage(alike_in(members).distinct(), "minhash-alike")
     unstage(members)
+    alike = _by_representatives(large, alike, alike_in)
 
     cluster = stage(components(alike).withColumnRenamed("component", "cluster"), "minhash-clusters")
-    unstage(alike)
     sizes = cluster.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
     wanted = stage(cluster.join(sizes, "cluster").select("id", "cluster", "cuts"), "minhash-wanted")
-    texts = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count(), 24), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    texts = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    texts = texts.select(F.concat_ws(":", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "id", (F.col("own") > F.col("other")).alias("right"), "text")
-    links = texts.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
-    found = stage(components(links.distinct()), "minhash-found")
+    texts = docs.withColumnRenamed("doc_id", "id")
+
+    def linked_in(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
+
+    whole = wanted.where("cuts = 1").select(F.col("cluster").cast("string").alias("block"), "id", F.lit(False).alias("right"))
+    links = stage(linked_in(texts.join(small(whole, whole.count(), 24), "id").select("block", "id", "right", "text")).distinct(), "minhash-linked")
+    large = stage(wanted.where("cuts > 1").select(F.col("cluster").alias("grp"), "id", "cuts"), "minhash-large")
+    n_large = large.count()
+    if n_large:
+        own = stage(texts.join(small(large.select("id"), n_large, 16), "id"), "minhash-texts")
+        links = _by_representatives(large, links, lambda blocks: linked_in(blocks.join(own, "id")))
+        unstage(own)
+    found = stage(components(links), "minhash-found")
     prints = classes.join(found, "id", "left").select("print1", "print2", F.col("n_shingles"), F.coalesce("component", "id").alias("component"))
     prints = prints.withColumnRenamed("n_shingles", "n")
     same = (signed["print1"] == prints["print1"]) & (signed["print2"] == prints["print2"]) & (signed["n_shingles"] == prints["n"]) & signed["doc_id"].isNotNull()

@@ -91,6 +91,26 @@ def test_near_documents_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(50)] == want
 
 
+def test_near_documents_of_a_template(spark, monkeypatch):
+    """The rows staged for a large group of near copies grow with its members, not with their square; those that only join by one another are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "FIRST", 4, raising=False)
+    counted, stage = [], minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df, name: counted.append((name, (out := stage(df, name)).count())) or out)
+    rng = random.Random(3)
+    texts = []
+    for k in range(400):
+        copy = [f"w{i}" for i in range(120)]
+        for _ in range(rng.randrange(3) if k % 40 else 5):
+            copy[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t, 3) for t in texts]
+    want = component_of(400, [(a, b) for a in range(400) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(400)] == want
+    assert max(n for _, n in counted) < 400 * 24 * 4
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert minhash.near_duplicates(none).count() == 0
