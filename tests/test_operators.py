@@ -57,6 +57,18 @@ def test_technologies(spark):
     assert list(got[5]) == ["React"]
 
 
+def test_all_rules_and_entities(spark):
+    """The whole tables of the reference, and a page for each rule."""
+    rules = tech.core_rules(spark).orderBy("rule").collect()
+    assert (len(rules), len({r.name for r in rules}), sum(len(r.patterns) for r in rules)) == (133, 129, 340)
+    names = [r.entity for r in tech.core_entities(spark).collect()]
+    assert (len(names), len(set(names))) == (90, 90)
+    pages = [(r.rule, URL, f"<html><body><div title='{' '.join(r.patterns).replace(chr(39), chr(34))}' data-x=1></div><script>{' '.join(r.patterns)}</script></body></html>") for r in rules]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = tech.tech_matches(df, tech.core_rules(spark)).where("page_id = rule").select("rule").distinct().count()
+    assert found == 133
+
+
 def test_rules_of_one_name_give_the_best_score(spark):
     m = "page_id long, rule int, name string, category string, confidence string, n_patterns int, require_all boolean, pattern string, match string, evidence_type string, strength int, source string"
     rows = [(1, 1, "A", "cms", "high", 2, False, "a.com", "", "explicit", 92, "third-party"), (1, 2, "A", "cms", "high", 1, False, "/b/", "", "indirect", 55, "first-party"), (1, 3, "B", "cdn", "low", 1, False, "x.net", "", "explicit", 92, "unknown")]
