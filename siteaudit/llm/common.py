@@ -59,6 +59,11 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` short rows at most, in no more parts than they are worth, but one for each core."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 100_000))
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Mark ``df`` for broadcast if its counted size is under ``limit`` bytes; else leave the join to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
@@ -131,28 +136,27 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: one row ``(id, component)``
     for each node of an edge, ``component`` the smallest id reachable.
 
-    Alternates large-star and small-star steps on the edge table, staged after each round, until a
-    round changes nothing; the rounds grow with the logarithm of the longest path. Minima
+    Alternates large-star and small-star steps on the edge table, staged after each round, until all
+    trees are stars; the rounds grow with the logarithm of the longest path. Minima
     are pre-aggregated before they are shuffled. Empty edges give an empty table.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stage(pairs, name)
-    mark = F.sum(F.hash("u", "v").cast("long"))
-    seen = None
     while True:
+        n = pairs.count()
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Staged, so that the join reads two plain shuffles and a hub's can be split; not made distinct here, which would tie it to u.
-        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        low = stage(sized(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2 * n), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = stage(small_star.where("u <> v").distinct(), name)
+        after = stage(sized(small_star.where("u <> v").distinct(), 2 * n), name)
         unstage(low)
         unstage(pairs)
         pairs = after
-        now = pairs.agg(F.count("*"), mark).first()
-        if now == seen:
+        # Done once all trees are stars: no node has two lower ones, or one and a higher one.
+        ends = pairs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
             break
-        seen = now
     roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

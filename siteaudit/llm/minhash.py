@@ -19,17 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, groups, pieces, small, stage, star, unstage
+from .common import components, forest, groups, pieces, sized, small, stage, star, unstage
 
 #: Coordinates of a band, and the chance at most that a pair at the threshold shares none.
 ROWS, MISS = 5, 1e-6
 UNIVERSE = 1 << 22
 SEED = 20_240_817
-#: Members of a block: what one task compares at once.
-BLOCK = 512
-BLOCK_SHINGLES = 2_000_000
-#: Representatives that the members of a larger group meet in its first round; four times as many in each later one.
-FIRST = 64
+#: Members of a block, and of a side of one: what one task compares at once.
+BLOCK = 256
+BLOCK_SHINGLES = 1_000_000
+#: Representatives that the members of a larger group meet in its first round.
+FIRST = 256
 #: Standard errors of the estimate that a pair may fall short of the threshold.
 SLACK = 6.0
 
@@ -159,43 +159,43 @@ def _buckets(batches):
         yield out()
 
 
-def _by_representatives(members: DataFrame, links: DataFrame, compare) -> DataFrame:
-    """``links(a, b)`` and those found within the large groups of ``members(grp, id, cuts)``, so that all that a comparison of all pairs would join is joined.
+def _by_representatives(members: DataFrame, compare) -> DataFrame:
+    """Links ``(a, b)`` found within the groups of ``members(grp, id, cuts)``, so that all that a comparison of all pairs would join is joined.
 
     In each round some members of a group, its representatives, are compared with all its members, which are dealt over ``cuts`` salted blocks. They
-    are taken from those that links don't join to the group's largest component, until each of these has been one: every pair then has been compared or
-    lies within that component. A group of near copies of one text is done after a round or two, each of n members and a bounded number of
-    representatives; only unlinked members make more. ``compare`` gives the links of ``(block, id, right)``.
+    are taken from those that links don't join to the group's largest component, ``FIRST`` at first and 32 times as many in each later round, until each of
+    these has been one: every pair then has been compared or lies within that component. ``compare`` gives the links of ``(block, id, right)``.
     """
-    if members.isEmpty():
-        return links
-    tested, most, turn = None, FIRST, 0
+    links, tested, most, n = None, None, FIRST, members.count()
     while True:
-        joined = stage(components(links), "minhash-joined")
-        placed = stage(members.join(joined, "id", "left").select("grp", "id", "cuts", F.coalesce("component", "id").alias("component")), "minhash-placed")
-        largest = placed.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
-        largest = stage(largest, "minhash-largest")
-        outside = placed.join(small(largest, largest.count(), 24), "grp").where("component <> largest").select("grp", "id", "cuts")
-        outside = stage(outside if tested is None else outside.join(tested, ["grp", "id"], "left_anti"), "minhash-outside")
-        counts = stage(outside.groupBy("grp").agg(F.count("*").alias("n")), "minhash-open")
-        for t in (joined, placed, largest):
-            unstage(t)
-        n_open = counts.count()
+        if links is None:
+            outside = members
+        else:
+            joined = components(links, "minhash-joined")
+            placed = stage(sized(members.join(joined, "id", "left").select("grp", "id", "cuts", F.coalesce("component", "id").alias("component")), n), "minhash-placed")
+            largest = placed.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+            outside = placed.join(largest, "grp").where("component <> largest").select("grp", "id", "cuts").join(tested, ["grp", "id"], "left_anti")
+            outside = stage(sized(outside, n), "minhash-outside")
+            unstage(placed)
+        counts = stage(sized(outside.groupBy("grp").agg(F.count("*").alias("n")), n), "minhash-open")
+        n_open, widest = counts.agg(F.count("*"), F.max("n")).first()
         if not n_open:
             return links
-        few = small(counts, n_open, 24)
-        chosen = outside.join(few, "grp").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("n") / most))) == 0).select("grp", "id", "cuts")
-        chosen = stage(chosen, "minhash-representatives")
-        parts = -(-most // BLOCK)
-        left = chosen.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        right = members.join(few.select("grp"), "grp").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        few = small(counts, n_open, 64)
+        share = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
+        chosen = outside.join(few, "grp").where(F.pmod(F.xxhash64("id", F.lit(most)), share) == 0).select("grp", "id", "cuts", F.ceil(F.least("n", F.lit(most)) / BLOCK).cast("int").alias("parts"))
+        chosen = stage(sized(chosen, n), "minhash-representatives")
+        own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+        left = chosen.select("grp", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"))
+        dealt = few.select("grp", F.ceil(F.least("n", F.lit(most)) / BLOCK).cast("int").alias("parts"))
+        right = members.join(dealt, "grp").select("grp", "id", own.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         name = lambda df, is_right: df.select(F.concat_ws(":", "grp", "salt", "part").alias("block"), "id", F.lit(is_right).alias("right"))
-        blocks = stage(name(left, False).unionByName(name(right, True)), "minhash-blocks")
-        links = stage(links.unionByName(compare(blocks)).where("a <> b").distinct(), "minhash-links")
+        found = compare(name(left, False).unionByName(name(right, True))).where("a <> b")
+        links = stage((found if links is None else links.unionByName(found)).distinct(), "minhash-links")
         tested = chosen.select("grp", "id") if tested is None else tested.unionByName(chosen.select("grp", "id"))
-        for t in (outside, counts, blocks):
-            unstage(t)
-        most, turn = most * 4, turn + 1
+        if widest <= most:
+            return links
+        most *= 32
 
 
 def _batched(found: Iterator[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +215,12 @@ def _resemble(floor: float, ratio: float):
     def run(batches):
         def found():
             for t in groups(batches, "block"):
-                ids, right, n = (t.column(c).to_numpy() for c in ("id", "right", "n_shingles"))
+                ids, n = (t.column(c).to_numpy() for c in ("id", "n_shingles"))
                 sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-                order = np.argsort(right, kind="stable")
-                ids, right, n, sig = ids[order], right[order], n[order], sig[order]
-                cut = int((~right).sum())
                 pairs = []
-                for i in range(cut if cut < len(ids) else len(ids) - 1):
-                    at = slice(cut if cut < len(ids) else i + 1, None)
-                    like = ((sig[at] == sig[i]).mean(axis=1) >= floor) & (np.minimum(n[at], n[i]) >= ratio * np.maximum(n[at], n[i]))
-                    pairs += [(i, int(j) + at.start) for j in np.flatnonzero(like)]
+                for i in range(len(ids) - 1):
+                    like = ((sig[i + 1 :] == sig[i]).mean(axis=1) >= floor) & (np.minimum(n[i + 1 :], n[i]) >= ratio * np.maximum(n[i + 1 :], n[i]))
+                    pairs += [(i, int(j) + i + 1) for j in np.flatnonzero(like)]
                 if pairs:
                     yield star(ids, forest(len(ids), pairs))
 
@@ -258,31 +254,42 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirm(size: int, percent: int):
-    """Links of each block at ``100 * intersection >= percent * union``, as a forest."""
+def _agreeing(a: np.ndarray, b: np.ndarray, floor: float) -> np.ndarray:
+    """Which rows of two matrices of signatures agree in ``floor`` of their bytes."""
+    out = np.empty((len(a), len(b)), bool)
+    for i, row in enumerate(a):
+        out[i] = (b == row).mean(axis=1) >= floor
+    return out
+
+
+def _confirm(size: int, percent: int, floor: float):
+    """Links of each block at ``100 * intersection >= percent * union``, as a forest; only pairs whose signatures agree in ``floor`` are looked at."""
 
     def run(batches):
         def found():
             for t in groups(batches, "block"):
-                ids, right = t.column("id").to_numpy(), t.column("right").to_numpy()
+                right = t.column("right").to_numpy()
+                order = np.argsort(right, kind="stable")
+                ids, cut = t.column("id").to_numpy()[order], int((~right).sum())
+                sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+                own = cut == len(ids)
+                like = _agreeing(sig[:cut], sig if own else sig[cut:], floor)
+                if own:
+                    like = np.triu(like, 1)
+                i, j = np.nonzero(like)
+                if not len(i):
+                    continue
                 sets = []
                 for piece in pieces(t.to_batches(), "text"):
                     sets += shingle_sets(piece.column(piece.schema.get_field_index("text")), size)
-                order = np.argsort(right, kind="stable")
-                ids, right, sets = ids[order], right[order], [sets[i] for i in order]
-                cut = int((~right).sum())
-                if len(ids) == 2:
-                    cut = 1
-                a, b = (sets[:cut], sets[cut:]) if cut < len(ids) else (sets, sets)
-                if not a or not b or max(map(len, a)) == 0 or max(map(len, b)) == 0:
-                    continue
-                both = _common(a, b)
+                sets = [sets[k] for k in order]
+                rows, columns = np.unique(i), np.unique(j)
+                a, b = [sets[k] for k in rows], [sets[k if own else k + cut] for k in columns]
+                i, j = np.searchsorted(rows, i), np.searchsorted(columns, j)
+                both = _common(a, b)[i, j]
                 n, m = (np.array([len(s) for s in x], float) for x in (a, b))
-                hit = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (both > 0)
-                i, j = np.nonzero(hit)
-                if cut < len(ids):
-                    j = j + cut
-                pairs = [(int(x), int(y)) for x, y in zip(i, j) if x < y]
+                hit = (100 * both >= percent * (n[i] + m[j] - both)) & (both > 0)
+                pairs = list(zip(rows[i[hit]].tolist(), (columns[j[hit]] + (0 if own else cut)).tolist()))
                 if pairs:
                     yield star(ids, forest(len(ids), pairs))
 
@@ -301,7 +308,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
       copies are never paired; repeated rows share a class.
     - A pair at the threshold shares no band with probability ``MISS`` at most (24 bands of 5 coordinates at 0.85, 35 at
       0.8), and falls under the signatures' floor (6 standard errors) with less. Every other link is found and confirmed.
-    - Groups of more than ``BLOCK`` members are compared with representatives, in salted blocks, never all with all.
+    - A bucket of more than ``BLOCK`` members is one group as it stands. Groups of more than ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles are compared with
+      representatives, in salted blocks, never all with all.
     - Null, empty or blank text: ``n_shingles`` 0, linked with nothing, kept. Null doc_id: linked
       with nothing, ``component_id`` null, kept. Other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
@@ -315,41 +323,38 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         "minhash-classes",
     )
     banded = classes.select(F.explode("bands").alias("band"), "id")
-    hot = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "minhash-hot")
-    few = small(hot, hot.count(), 16)
-    large = banded.join(few, "band").select(F.col("band").alias("grp"), "id", F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
-    large = stage(large, "minhash-large")
-    cold = banded.join(few, "band", "left_anti")
+    hot = stage(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where(F.col("n") > BLOCK).select("band", "hub"), "minhash-hot")
+    few = small(hot, hot.count(), 64)
+    # The members of a large bucket are one group without a look at their signatures: they meet representatives below.
+    pooled = banded.join(few, "band").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    cold = banded.join(few.select("band"), "band", "left_anti")
     blocks = cold.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_buckets, "block binary, members array<long>")
     blocks = blocks.dropDuplicates(["block"])
-    members = stage(blocks.select("block", F.explode("members").alias("id"), F.lit(False).alias("right")), "minhash-members")
+    members = stage(blocks.select("block", F.explode("members").alias("id")), "minhash-members")
     floor = share - SLACK * (share * (1 - share) / (n_bands * ROWS)) ** 0.5
     known = classes.select("id", "n_shingles", "sig")
-
-    def alike_in(blocks: DataFrame) -> DataFrame:
-        return blocks.join(known, "id").repartition("block").sortWithinPartitions("block").mapInArrow(_resemble(floor, share), "a long, b long")
-
-    alike = stage(alike_in(members).distinct(), "minhash-alike")
+    alike = members.join(known, "id").repartition("block").sortWithinPartitions("block").mapInArrow(_resemble(floor, share), "a long, b long")
+    alike = stage(alike.unionByName(pooled).distinct(), "minhash-alike")
     unstage(members)
-    alike = _by_representatives(large, alike, alike_in)
 
     cluster = stage(components(alike).withColumnRenamed("component", "cluster"), "minhash-clusters")
     sizes = cluster.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
     wanted = stage(cluster.join(sizes, "cluster").select("id", "cluster", "cuts"), "minhash-wanted")
-    texts = docs.withColumnRenamed("doc_id", "id")
+    few = small(wanted.select("id", "cluster", "cuts"), wanted.count(), 64)
+    sigs = classes.groupBy("id").agg(F.first("sig").alias("sig"))
+    own = docs.withColumnRenamed("doc_id", "id").join(few, "id").join(sigs, "id")
+    own = stage(own.select("cluster", "cuts", "id", "sig", "text"), "minhash-texts")
 
     def linked_in(blocks: DataFrame) -> DataFrame:
-        return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
+        return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(shingle_words, percent, floor), "a long, b long")
 
-    whole = wanted.where("cuts = 1").select(F.col("cluster").cast("string").alias("block"), "id", F.lit(False).alias("right"))
-    links = stage(linked_in(texts.join(small(whole, whole.count(), 24), "id").select("block", "id", "right", "text")).distinct(), "minhash-linked")
+    links = linked_in(own.where("cuts = 1").select(F.col("cluster").cast("string").alias("block"), "id", F.lit(False).alias("right"), "sig", "text"))
+    links = stage(links.distinct(), "minhash-linked")
     large = stage(wanted.where("cuts > 1").select(F.col("cluster").alias("grp"), "id", "cuts"), "minhash-large")
-    n_large = large.count()
-    if n_large:
-        own = stage(texts.join(small(large.select("id"), n_large, 16), "id"), "minhash-texts")
-        links = _by_representatives(large, links, lambda blocks: linked_in(blocks.join(own, "id")))
-        unstage(own)
+    if not large.isEmpty():
+        each = own.where("cuts > 1").select("id", "sig", "text")
+        links = links.unionByName(_by_representatives(large, lambda blocks: linked_in(blocks.join(each, "id"))))
     found = stage(components(links), "minhash-found")
     prints = classes.join(found, "id", "left").select("print1", "print2", F.col("n_shingles"), F.coalesce("component", "id").alias("component"))
     prints = prints.withColumnRenamed("n_shingles", "n")
