@@ -28,6 +28,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spare(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it if a column of ``taken`` has it, in whatever case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; in local mode a folder of our own if unset."""
     if at := spark.conf.get("spark.checkpoint.dir", None):

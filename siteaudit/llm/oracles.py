@@ -23,17 +23,22 @@ _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP2 = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 p AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i {_BEFORE}), 0) AS whole FROM l),
 x AS (SELECT doc_id, whole, unnest(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+')) AS u, generate_subscripts(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+'), 1) AS j FROM p),
-y AS (SELECT doc_id, whole, u, whole + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, whole ORDER BY j {_BEFORE}), 0) AS s, count(*) FILTER (WHERE trim(u, {_WHITE}) <> '') OVER (PARTITION BY doc_id, whole) AS n FROM x),
-a AS (SELECT doc_id, whole, line AS u, whole AS s, FALSE AS part FROM p UNION ALL SELECT doc_id, whole, u, s, TRUE FROM y WHERE n > 1),
-t AS (SELECT doc_id, whole, part, CAST(s + length(u) - length(ltrim(u, {_WHITE})) AS INTEGER) AS s, length(trim(u, {_WHITE})) AS n, list_filter(string_split_regex(lower(u), '{BREAKS}'), lambda w: w <> '') AS w FROM a),
-k AS (SELECT doc_id, whole, part, s, CAST(s + n AS INTEGER) AS e, array_to_string(w, ' ') AS d FROM t WHERE len(w) >= 10),
-f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(s) OVER o AS first_start FROM k WINDOW o AS (PARTITION BY d ORDER BY doc_id, s)),
-r AS (SELECT * FROM f WHERE (doc_id, s) <> (first_doc_id, first_start))
-SELECT doc_id, s AS "start", e AS "end", first_doc_id, first_start FROM r WHERE NOT part OR (doc_id, whole) NOT IN (SELECT (doc_id, whole) FROM r WHERE NOT part)"""
+z AS (SELECT doc_id, whole, j, u, whole + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, whole ORDER BY j {_BEFORE}), 0) AS s FROM x),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY whole, j) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, whole) AS n FROM z WHERE trim(u, {_WHITE}) <> ''),
+a AS (SELECT doc_id, whole, line AS u, whole AS s, FALSE AS part, pos, pos + n AS "to" FROM p JOIN (SELECT doc_id, whole, min(pos) AS pos, any_value(n) AS n FROM y GROUP BY ALL) USING (doc_id, whole)
+  UNION ALL SELECT doc_id, whole, u, s, TRUE, pos, pos + 1 FROM y WHERE n > 1),
+k AS (SELECT doc_id, whole, part, pos, "to", CAST(s + length(u) - length(ltrim(u, {_WHITE})) AS INTEGER) AS s, length(trim(u, {_WHITE})) AS n, list_filter(string_split_regex(lower(u), '{BREAKS}'), lambda w: w <> '') AS w FROM a),
+f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(s) OVER o AS first_start FROM k WINDOW o AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, s)),
+r AS (SELECT * FROM f WHERE (doc_id, s) <> (first_doc_id, first_start)),
+q AS (SELECT * FROM r WHERE NOT part OR (doc_id, whole) NOT IN (SELECT (doc_id, whole) FROM r WHERE NOT part)),
+g AS (SELECT *, coalesce(CAST(lag("to") OVER (PARTITION BY doc_id ORDER BY pos) <> pos AS INTEGER), 1) AS fresh FROM q),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+t AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id, run) AS words FROM h)
+SELECT doc_id, s AS "start", CAST(s + n AS INTEGER) AS "end", first_doc_id, first_start FROM t WHERE words >= 20"""
 
-OP4 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-k AS (SELECT doc_id, source, len(list_filter(string_split_regex(t, '{BREAKS}'), lambda w: w <> '')) AS size,
-  -ln((CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+OP4 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS copy FROM documents),
+k AS (SELECT doc_id, source, md5(t) AS print, copy, len(list_filter(string_split_regex(t, '{BREAKS}'), lambda w: w <> '')) AS size,
+  -ln((CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t) || ':' || copy), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
   / greatest(0.1::DOUBLE, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE CAST(length(regexp_replace(t, '[0-9#*$%&|<>]+', '', 'g')) AS DOUBLE) / length(t) END) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
@@ -41,7 +46,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight <= cap) * weight) AS target FROM l),
 g AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
-  sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+  sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, print, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CAST(middle <= target - epochs * source_size AS INTEGER)) AS BIGINT) AS taken FROM g"""
 
 OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{BREAKS}'), lambda x: x <> '') AS w FROM documents),

@@ -218,6 +218,20 @@ def test_mix(spark, sf):
     assert sum(n * size[d] for (d, _, _), n in again.items()) == sum(taken.values())
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows alike are sampled one by one, and null ids don't share a fate."""
+    rows = [(1, "a b c d e f", "one", "b", k % 3, "s") for k in range(1000)] + [(None, f"t{i} u v", "two", "b", 1, "s") for i in range(700)] + [(5, f"t{i} u v", "six", "b", 1, "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    made = Counter((r.source, r.id) for r in mixing.mixed_documents(docs).collect())
+    for source, words in (("one", 6), ("two", 3), ("six", 3)):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= words / 2 + 1e-6
+        assert all(r.taken <= 3 * r.size for r in own)
+        assert words * sum(n for (s, _), n in made.items() if s == source) == sum(r.taken for r in own)
+
+
 def test_sentencepiece(spark, sf):
     import sentencepiece
 
@@ -240,7 +254,7 @@ def test_sentencepiece(spark, sf):
         pieces.check_model(m.SerializeToString())
 
 
-@pytest.mark.parametrize("texts", [[f"t{i % 7}" if i % 3 else f"own {i}" for i in range(500)] + ["hot"] * 700 + [None, "", ""], TEXTS])
+@pytest.mark.parametrize("texts", [[f"t{i % 7}" if i % 3 else f"own {i}" for i in range(500)] + ["hot"] * 700 + [None, "", ""], TEXTS, [f"pair {i // 2}" for i in range(900)]])
 def test_shards(spark, texts):
     docs = documents(spark, texts, [(3, "again", None, "", 0, ""), (3, "again", None, "", 0, ""), (None, "x", None, "", 0, "")])
     rows = sharding.shard_documents(docs, 40).collect()
@@ -255,13 +269,22 @@ def test_shards(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     counts = [len(by.get(k, [])) for k in range(40)]
     assert max(counts) - min(counts) <= 1
-    if n > 1000:  # copies lie together, as far as quotas let them
-        home = defaultdict(set)
-        for r in rows:
-            if r.doc_id is not None and r.doc_id != 3 and texts[r.doc_id] is not None:
-                home[texts[r.doc_id]].add(r.shard)
-        assert len(home["hot"]) <= 34
-        assert sum(len(home[f"t{k}"]) for k in range(7)) <= 7 * 8
+    for parts in (1, 16):
+        assert sorted(map(str, sharding.shard_documents(docs.repartition(parts), 40).collect())) == sorted(map(str, rows))
+    home = defaultdict(Counter)
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 3 and texts[r.doc_id] is not None:
+            home[texts[r.doc_id]][r.shard] += 1
+    if "hot" in home:  # in the fewest shards there can be, or one more
+        assert len(home["hot"]) <= -(-700 // (n // 40)) + 1
+        assert all(len(home[f"t{k}"]) <= 3 for k in range(7))
+    if "pair 1" in home:  # twins lie together, but for the odd places of shards
+        assert sum(len(x) > 1 for x in home.values()) <= 12
+    found = sharding.cut_links(docs, 40).first()
+    pairs = lambda k: k * (k - 1) // 2
+    more = 0 if 3 in home else pairs(2)
+    assert found.links >= sum(pairs(sum(x.values())) for x in home.values()) and found.cut <= found.links
+    assert found.cut >= sum(pairs(sum(x.values())) - sum(map(pairs, x.values())) for x in home.values()) - more
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site"><h2>Site name</h2></header>
@@ -420,12 +443,26 @@ def test_secrets(spark, sf):
 
 def test_repeated_units(spark):
     docs = documents(spark)
-    got = {(r.doc_id, r.start, r.end): (r.first_doc_id, r.first_start) for r in substrings.repeated_units(docs).collect()}
+    got = {(r.doc_id, r.start, r.end): (r.first_doc_id, r.first_start) for r in substrings.repeated_units(docs, run=10).collect()}
     a = TEXTS.index(TEXTS[13])
     line = TEXTS[14]
     assert got == {(a, TEXTS[13].index("The same  long"), len(TEXTS[13])): (a, 0), (a + 1, 0, len(line)): (a, 0)}
-    kept = {r.doc_id: (r.text, [tuple(s) for s in r.kept_spans]) for r in substrings.deduplicated(docs).collect()}
+    kept = {r.doc_id: (r.text, r.kept_spans and [tuple(s) for s in r.kept_spans]) for r in substrings.deduplicated(docs, run=10).collect()}
     assert kept[a][0] == TEXTS[13][: TEXTS[13].index("The same  long")] and kept[a + 1] == ("", [])
-    assert len(kept) == len(TEXTS) and kept[4] == ("one", [(0, 3)])
+    assert len(kept) == len(TEXTS) and kept[4] == ("one", [(0, 3)]) and kept[0][0] is None
     two = spark.createDataFrame([(1, LONG[:200] + "\n" + LONG[200:300] + "\n\nx"), (2, "y\n\n" + LONG[:200] + "\n" + LONG[200:300])], "doc_id long, text string")
     assert [(r.doc_id, r.start) for r in substrings.repeated_units(two, "paragraph").collect()] == [(2, 3)]
+
+
+def test_runs_of_repeated_units(spark):
+    """Short lines and sentences count in runs; single ones stay. Rows that share a doc_id don't cut one another's text."""
+    poem = "\n".join(f"line {i} of it" for i in range(8))
+    rows = [(1, f"Own start here. {poem}\nown end"), (2, f"other\n{poem}\n\nlast line of two"), (3, "line 3 of it\nand more"), (2, "A unique text, I say: nothing of it repeats at all in any way. Not here, not there."), (2, f"other\n{poem}\n\nlast line of two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end) for r in substrings.repeated_units(docs).collect())
+    assert got == [(2, 6 + rows[1][1][6:].index(f"line {i}"), 6 + rows[1][1][6:].index(f"line {i}") + 12) for i in range(8)]
+    kept = sorted((r.doc_id, r.text) for r in substrings.deduplicated(docs).collect())
+    assert kept[0] == (1, rows[0][1]) and kept[-1] == (3, rows[2][1]) and (2, rows[3][1]) in kept
+    assert [t for _, t in kept].count("other" + "\n" * 10 + "last line of two") == 2
+
+
