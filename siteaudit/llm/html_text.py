@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, spare
 
 #: Lines of a window, to each side and with its own.
 WINDOW = 3
@@ -33,6 +35,8 @@ BLOCKS = frozenset(
 )
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that stray end tags of other elements don't reach beyond.
+WALLS = frozenset("article main body table td".split())
 #: Elements that a page's main text stands in.
 MAIN = frozenset(("article", "main"))
 #: Roles of page furniture.
@@ -43,8 +47,9 @@ HINTS = frozenset(
     "newsletter subscribe subscription signup signin login sidebar sidebars aside rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs masthead header footer foot topbar toolbar comment comments "
     "commentlist disqus reply replies respond discussion feedback share sharing social related recommended recommendations widget widgets pagination pager search skip copyright legal disclaimer paywall tags byline".split()
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^\"'<>]*(?:\"[^\"]*\"[^\"'<>]*|'[^']*'[^\"'<>]*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*(?:>|$)|<[!?/][^>]*(?:>|$)")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED) + r")\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))", re.S | re.I)
+_START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK, _EDGE = re.compile(r"[\"'<>]"), re.compile(r"[<>]")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -77,6 +82,53 @@ def furniture(tag: str, attributes: str, within: bool = False) -> tuple[bool, se
     return False, hints
 
 
+def _close(page: str, at: int, gone: set[str]) -> int:
+    """Where the tag that ``at`` lies in ends, -1 if a tag begins first or a quote stays open; ``gone`` holds the quotes of which none is left."""
+    while m := _MARK.search(page, at):
+        if m[0] in "<>":
+            return m.end() if m[0] == ">" else -1
+        end = -1 if m[0] in gone else page.find(m[0], m.end())
+        if end < 0:
+            gone.add(m[0])
+            return -1
+        at = end + 1
+    return -1
+
+
+def _tags(page: str):
+    """Tags in order as ``(start, end, closing, name, attributes)``; name "": a declaration or broken tag, None: a comment or an element whose content isn't
+    text, as a whole. One scan forward, whatever the page."""
+    at, gone, size = 0, set(), len(page)
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, False, None, ""
+            continue
+        m = _START.match(page, start)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+                yield start, at, False, "", ""
+            continue
+        name, end = m[2].lower(), _close(page, m.end(), gone)
+        attributes = page[m.end() : end - 1] if end >= 0 else ""
+        if end < 0:
+            edge = _EDGE.search(page, m.end())
+            if edge and edge[0] == "<":
+                at = start + 1
+                continue
+            end = edge.end() if edge else size
+        at = end
+        if name in _END and not m[1] and not attributes.endswith("/"):
+            last = _END[name].search(page, end)
+            at = last.end() if last else size
+            name = None
+        yield start, at, bool(m[1]), name, attributes
+
+
 class Part:
     """Lines ``start`` to ``end`` of a page: an article or main element, or an element with ``hints``; ``main``: it is or holds such."""
 
@@ -92,12 +144,14 @@ class Part:
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[Part], list[Part]]:
     """A page's lines in order, ``(text, characters in links, furniture for certain, runs on from the line before)``, its hinted parts and its outermost
     articles; white space is one space, references are decoded."""
-    page = _HIDDEN.sub(" ", page)
     lines: list[tuple[str, int, bool, bool]] = []
     hinted: list[Part] = []
     articles: list[Part] = []
     held: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool, int, Part | None]] = []
+    spots: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    walls: list[int] = []  # places of elements that stray end tags close nothing outside of
+    bare: list[Part] = []  # open parts that hold no article yet
     main = out = False
     links = 0
     runs_on = False
@@ -118,48 +172,53 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[Part],
 
     def close(k: int):
         nonlocal main, out, links
-        for entry in stack[k:]:
-            if entry[4] is not None:
-                entry[4].end = len(lines)
-        _, main, out, links, _ = stack[k]
-        del stack[k:]
+        while len(stack) > k:
+            name, main, out, links, part = stack.pop()
+            spots[name].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            if part is not None:
+                part.end = len(lines)
+                if bare and bare[-1] is part:
+                    bare.pop()
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            held.append((page[at : m.start()], links > 0))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    for start, end, closing, tag, attributes in _tags(page):
+        if start > at:
+            held.append((page[at:start], links > 0))
+        at = end
         if not tag:
+            if tag is None:
+                held.append((" ", links > 0))
             continue
         if tag in BLOCKS:
             flush()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCKS and (stack[k][1:3] != (main, out) or any(x[4] is not None for x in stack[k:])):
-                        flush(True)
-                    close(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "td", "table") and tag not in ("body", "html", "article", "main", "table"):
-                    break  # a stray end tag closes nothing outside
+        if closing:
+            k = spots[tag][-1] if spots[tag] else -1
+            if k >= 0 and (tag in WALLS and tag != "td" or not walls or walls[-1] <= k):
+                if tag not in BLOCKS and (stack[k][1:3] != (main, out) or any(x[4] is not None for x in stack[k:])):
+                    flush(True)
+                close(k)
             continue
-        if tag in VOID or (m[3] or "").endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             close(len(stack) - 1)
-        off, hints = furniture(tag, m[3] or "", main and not out)
+        off, hints = furniture(tag, attributes, main and not out)
         if held and (off and not out or hints):
             flush(True)
         part = None
         if tag in MAIN and not off and not out:
-            for entry in stack:
-                if entry[4] is not None:
-                    entry[4].main = True
+            while bare:
+                bare.pop().main = True
             if not main:
                 articles.append(part := Part(len(lines), set(), True))
         elif hints and not off and not out:
             hinted.append(part := Part(len(lines), hints, False))
+            bare.append(part)
+        spots[tag].append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
         stack.append((tag, main, out, links, part))
         main, out, links = main or (tag in MAIN and not off and not out), out or off, links + (tag == "a")
     if at < len(page):
@@ -181,14 +240,19 @@ def _standing(hinted: list[Part], articles: list[Part], size: list[int], plain:
     links or an article outside has a quarter of its text at least. What names such a part says nothing of other parts outside it."""
     sums = _windows(weight)
     heaviest = max(range(len(sums)), key=lambda k: (sums[k], weight[k]))
-    text = lambda p: sum(plain[p.start : p.end])
+    plains, sizes = ([0, *accumulate(x)] for x in (plain, size))
+    text = lambda p: plains[p.end] - plains[p.start]
     rest = [p for p in hinted if not p.main]
+    most = sorted(articles, key=text, reverse=True)[:2]  # articles don't overlap: one at most holds a part
     body = []
     for p in rest:
-        if p.holds(heaviest) and 2 * text(p) >= sum(size[p.start : p.end]) and not any(4 * text(a) >= text(p) for a in articles if not a.start <= p.start < a.end):
+        if p.holds(heaviest) and 2 * text(p) >= sizes[p.end] - sizes[p.start] and not any(4 * text(a) >= text(p) for a in most if not a.start <= p.start < a.end):
             body.append(p)
-    void = {w for p in body for w in p.hints if w[0] != "<"}
-    return [p for p in rest if p not in body and (p.hints - void or any(b.holds(p.start) for b in body))]
+    if not body:
+        return rest
+    void, own = {w for p in body for w in p.hints if w[0] != "<"}, set(map(id, body))
+    first, last = min(p.start for p in body), max(p.end for p in body)  # all hold the heaviest line
+    return [p for p in rest if id(p) not in own and (p.hints - void or first <= p.start < last)]
 
 
 def main_text(page: str | None) -> str:
@@ -206,10 +270,13 @@ def main_text(page: str | None) -> str:
     plain = [max(0, n - linked) for n, (_, linked, _, _) in zip(size, lines)]
     plain = plain if any(plain) else size
     weight = [min(n, LONGEST) for n in plain]
-    for p in _standing(hinted, articles, size, plain, weight):
-        for k in range(p.start, p.end):
+    done = 0
+    for p in sorted(_standing(hinted, articles, size, plain, weight), key=lambda p: p.start):
+        for k in range(max(done, p.start), p.end):
             size[k] = plain[k] = weight[k] = 0
-    heavy = [a for a in articles if 4 * sum(plain[a.start : a.end]) >= sum(plain) > 0]
+        done = max(done, p.end)
+    total = sum(plain)
+    heavy = [a for a in articles if 4 * sum(plain[a.start : a.end]) >= total > 0]
     for a in heavy:
         for k in range(a.start, a.end):
             weight[k] += BONUS if size[k] else 0
@@ -230,15 +297,16 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """Adds ``main_text`` to each row of ``pages``: "" for a null, empty or textless page.
 
-    Whole pages are read, one at a time; a column called main_text is replaced, others stay, and repeated rows and
-    null ids make no difference.
+    Whole pages are read, one at a time, in time linear in their length; a column called main_text is replaced, others stay, and repeated rows and
+    null ids make no difference. Empty in, empty out.
     """
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("main_text",)]
-    pages = pages.select(*kept, F.col(source).alias("_page"))
-    schema = pages.drop("_page").schema.add("main_text", "string")
+    kept = [c for c in pages.columns if c.lower() != "main_text"]
+    page = spare(kept, "page")
+    pages = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias(page))
+    schema = pages.drop(page).schema.add("main_text", "string")
 
     def run(batches):
-        for batch in pieces(batches, "_page"):
+        for batch in pieces(batches, page):
             texts = [main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "main_text"])
 
