@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BREAKS, let, stage, words
+from .common import BREAKS, let, spare, stage, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -75,13 +75,14 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     less = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     wordy = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    own, lined = spare(docs.columns, "own_words"), spare(docs.columns, "own_lines")
     counts = {
-        "n_words": F.size("_words"), "word_chars": F.length(F.regexp_replace(t, BREAKS, "")), "n_symbols": less(f"[{SYMBOLS}]+"),
-        "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": repeat_words(F.col("_words")),
+        "n_words": F.size(own), "word_chars": F.length(F.regexp_replace(t, BREAKS, "")), "n_symbols": less(f"[{SYMBOLS}]+"),
+        "n_lines": F.size(lined), "n_dup_lines": F.size(lined) - F.size(F.array_distinct(lined)), "n_repeat_words": repeat_words(F.col(own)),
         "n_capitals": less("[A-Z]+"), "n_marks": less("[!?]+"),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in counts]
-    out = docs.withColumns({"_words": words(t), "_lines": wordy})
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in counts]
+    out = docs.withColumns({own: words(t), lined: wordy})
     return out.select(*kept, *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
@@ -171,7 +172,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> DecisionList:
     """
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("low"))
     sample = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).withColumnRenamed("doc_id", "_id")  # at most TRAIN_ROWS rows: small
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id")
+    # Staged before its texts are counted, or else the filter on counts would go below the join and count the whole corpus.
+    chosen = stage(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id"), "rules-sample")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(1000)) < int(1000 * HELD)
     stats = stage(text_stats(chosen).where(~base_failed()).withColumn("held", held).drop("text"), "rules-stats")
     names = list(FEATURES)
