@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, spare
 
 MARK = "▁"
 #: Markers are spaces here, which take a byte each in most texts; the library turns them into markers itself.
@@ -93,14 +93,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True,
     with open(model, "rb") as f:
         data = f.read()
     check_model(data)
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
-    schema = docs.drop("_text").schema.add("ids", "binary").add("decoded", "string")
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    own = spare(kept, "own_text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(own))
+    schema = docs.drop(own).schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches):
         table = Table(data)
         first, last = (struct.pack("<I", i) if on else b"" for on, i in ((begin, table.sp.bos_id()), (end, table.sp.eos_id())))
-        for batch in pieces(batches, "_text", BATCH):
+        for batch in pieces(batches, own, BATCH):
             ids, out = table.encode(batch.column(batch.num_columns - 1).to_pylist(), first, last)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, spare
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -101,12 +101,14 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     """
     with open(ranks, "rb") as f:
         data = f.read()
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = docs.drop("_text").select("*", F.lit(None).cast(_SPANS).alias("secrets")).schema
+    kept = [c for c in docs.columns if c.lower() != "secrets"]
+    own = spare(kept, "own_text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias(own))
+    schema = docs.drop(own).select("*", F.lit(None).cast(_SPANS).alias("secrets")).schema
 
     def run(batches):
         vocabulary = _vocabulary(data, pattern)
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, own):
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t, vocabulary, efficiency)] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], [*batch.schema.names[:-1], "secrets"])
 
@@ -114,7 +116,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each span, and each run of spans that overlap, replaced by ``mask``."""
+    """The text with each span, and each run of spans that overlap, replaced by ``mask``; spans go by start. Texts that are null, empty or without spans stay."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s, x):

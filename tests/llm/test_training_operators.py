@@ -466,3 +466,46 @@ def test_runs_of_repeated_units(spark):
     assert [t for _, t in kept].count("other" + "\n" * 10 + "last line of two") == 2
 
 
+
+
+@pytest.mark.parametrize("page", ["<script " * 50_000, "<script a=\"'" * 50_000, "<div>" * 40_000 + "</span>" * 40_000, "<span><td>" + "<div>" * 40_000 + "</span>" * 40_000, "<div class=ad>" * 40_000 + "text " * 9, "<div class=ad><article>some text</article>" * 20_000, "<!--" * 100_000, "<article>" * 60_000 + "x"])
+def test_main_text_of_hostile_pages(page):
+    import time
+
+    began = time.process_time()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.process_time() - began < 4
+
+
+NAMES = ("_text", "_page", "_id", "_gone", "_words", "_lines", "own_text", "OWN_TEXT_", "own_words", "own_lines", "page", "gone", "gone_id", "IDS", "Secrets", "part", "copy", "key", "print", "size", "group", "shard", "component_id", "kept", "n_words", "weight", "at", "n")
+
+
+def crowded(df):
+    return df.withColumns({n: F.lit(f"its {n}") for n in NAMES if n.lower() not in {c.lower() for c in df.columns}})
+
+
+def test_clashing_columns(spark):
+    """Columns of any names go in; what isn't replaced by contract comes out as it was. Empty tables, null ids, repeated rows and null texts as well."""
+    rank, model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    said = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon."
+    rows = [(1, said, "a"), (2, said + "\nown words", "a"), (2, said + "\nown words", "a"), (None, said, None), (None, None, "b"), (3, "", "b"), (2, "else", "b")]
+    docs = crowded(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    pages = crowded(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), "text").alias("html")))
+    vectors = crowded(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (4, None)], "vec_id long, embedding array<double>"))
+    talks = crowded(spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, None, None)], "conv_id long, turn long, role string, text string"))
+    labels = crowded(spark.createDataFrame([(1, 0), (2, 1), (None, None)], "doc_id long, quality int"))
+    ways = [
+        (docs, lambda d: pieces.encode(d, model)), (docs, lambda d: secrets.find_secrets(d, rank, public_tokenizers.PATTERN)), (docs, lambda d: quality.quality_rules(d, quality.learn_rules(d, labels))),
+        (docs, substrings.deduplicated), (pages, html_text.extract), (docs, mixing.mixed_documents),
+    ]
+    for df, way in ways:
+        for rows_in in (df, df.limit(0)):
+            out = way(rows_in)
+            got = out.collect()
+            assert len(got) == rows_in.count() or way is mixing.mixed_documents
+            for name in NAMES:
+                if name in out.columns and got and name not in ("n_words", "kept", "IDS", "Secrets"):
+                    assert all(r[name] == f"its {name}" for r in got), name
+    for df, way, n in ((docs, minhash.near_duplicates, 7), (docs, mixing.mix, 7), (docs, sharding.shard_documents, 7), (vectors, ego.near_vectors, 5), (talks, lambda d: chat.read_back(chat.pack_conversations(d)), 2)):
+        assert way(df).count() == n and way(df.limit(0)).count() == 0
+    assert len(substrings.repeated_units(docs).collect()) == 1 and substrings.repeated_units(docs.limit(0)).count() == 0
