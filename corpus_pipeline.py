@@ -6,39 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.llm import minhash, mixing, pieces, quality, secrets
-from siteaudit.llm.common import stage
+from siteaudit.llm.common import small, stage
 from siteaudit.llm.queries import digests, split_pattern, table, vocabulary
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; repeated rows, ties and null ids are judged as any; other columns stay; empty in, empty out."""
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
-    judged = quality.quality_rules(docs, rules)
-    return judged.where("kept").select(*docs.columns)
+    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}  # no name of a count can clash with one of these
+    own = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("own_row"))
+    judged = quality.quality_rules(own, rules)
+    return judged.where("kept").select(*[F.col(f"own_row.{n}").alias(c) for c, n in names.items()])
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One document of each group of near duplicates: that with the smallest doc_id, and one of the rows that repeat it.
+
+    Null and empty texts and null ids have no duplicates and stay; rows that share a doc_id but not the text are one document of several texts; other columns
+    stay, of rows that repeat those of any one; empty in, empty out. Only texts of doc_ids that repeat are shuffled beside those of near duplicates.
+    """
     gone = minhash.near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
+    sorts = stage(gone.select("doc_id", F.lit(False).alias("again")).unionByName(again).groupBy("doc_id").agg(F.min("again").alias("again")), "pipeline-sorts")  # false: goes
+    n = sorts.count()
+    rest = docs.join(small(sorts.select("doc_id"), n, 64), "doc_id", "left_anti")
+    firsts = docs.join(small(sorts.where("again").select("doc_id"), n, 64), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.select(*docs.columns).unionByName(firsts.select(*docs.columns))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
-    found = secrets.find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
+    """All documents, secrets in their texts masked and ``n_chars``, if there is such a column, counted anew. Null and empty texts, repeated rows, null ids and other
+    columns stay as they are; empty in, empty out."""
+    found = secrets.find_secrets(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
     hit = F.size("secrets") > 0
-    out = found.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = F.when(hit, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
+    new = found.select("own", hit.alias("hit"), text.alias("text"))
+    counted = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("own.n_chars")) if "n_chars" in docs.columns else None
+    return new.select(*[F.col("text") if c == "text" else counted.alias(c) if c == "n_chars" else F.col(f"own.`{c}`") for c in docs.columns])
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
+    """Documents as often as the mix of the sources takes them. Repeated rows are sampled one by one; a null source is a source of its own, null ids are keyed by text; texts without
+    words have size 0 and stay as often as their source is taken whole; other columns stay; empty in, empty out."""
     return mixing.mixed_documents(docs)
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with digests of ids and decoded text."""
+    """Ids of each document, with digests of ids and decoded text: begin and end ids alone for null and empty texts; repeated rows and null ids are encoded as any; other
+    columns go; empty in, empty out."""
     ids = pieces.encode(docs.select("doc_id", "source", "text"), vocabulary("piece_bpe_32k.model")).drop("text")
     return ids.select("doc_id", "source", "ids", "decoded").transform(lambda d: digests(d))
 
