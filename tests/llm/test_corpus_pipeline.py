@@ -24,3 +24,36 @@ def test_stages(spark, sf):
         seen = after
     out = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert out.count() == seen.count() > 50
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Repeated rows, shared and null ids, null and empty texts, clashing names and empty tables, each stage against a brute-force version."""
+    said = " ".join(f"word{i} of the text" for i in range(40)) + "."
+    near = said.replace("word7 ", "other ")
+    rows = [(7, said, "a", 1), (7, said, "a", 1), (8, near, "a", 1), (9, said, None, 1), (9, "unlike " + " ".join(f"z{i}" for i in range(60)), None, 1), (None, said, "b", 1), (None, None, "b", 1), (11, "", "b", 0)]
+    rows += [(100 + k, f"key{k} " + " ".join(f"u{k}x{i}" for i in range(50)) + " password = hunter2hunter2", "c", 1) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(f"its {n}") for n in ("own_row", "n_words", "kept", "secrets", "hit", "own", "again", "count", "_text", "size", "copy", "n")})
+    docs = docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    seen = docs
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        none = step(spark, docs.limit(0), sf)
+        assert none.columns == docs.columns and none.count() == 0, name
+        out = step(spark, seen, sf)
+        assert out.columns == docs.columns, name
+        got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+        before = sorted((r.doc_id or -1, r.text or "") for r in seen.collect())
+        if name.startswith("quality"):
+            assert got == [x for x in before if len(x[1].split()) >= 10]
+        elif name.startswith("MinHash"):
+            assert got == sorted([(-1, said), (7, said), *[x for x in before if x[0] >= 100]])
+        elif name.startswith("secret"):
+            assert [x for x, _ in got] == [x for x, _ in before] and all("hunter2" not in t for _, t in got)
+            assert all(r.n_chars == len(r.text) for r in out.collect())
+        else:
+            sizes = {x: len(x[1].split()) for x in before}
+            assert set(got) <= set(before) and all(got.count(x) <= 3 * before.count(x) for x in set(got))
+            assert abs(sum(sizes[x] for x in got) - sum(sizes.values())) <= 3 * max(sizes.values())
+        assert all(r["own_row"] == "its own_row" and r["n_words"] == "its n_words" for r in out.collect())
+        seen = out
+    assert corpus_pipeline.encoded_documents(spark, seen, sf).count() == len(got)
