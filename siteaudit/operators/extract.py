@@ -154,20 +154,46 @@ def theme_color(df: DataFrame) -> DataFrame:
     return df.withColumn("theme_color", F.when(F.size(valid) > 0, _long_hex(F.substring(last(valid), 2, 6))).otherwise(""))
 
 
+#: Where fonts are served, and the names of the sources.
+FONT_SERVICES = (("fonts.googleapis.com", "Google Fonts"), ("fonts.bunny.net", "Bunny Fonts"))
+TYPEKIT = ("Adobe Fonts (Typekit)", "Adobe Fonts")
+_FACE = r"(?i)@font-face\s*\{[^}]*font-family\s*:\s*['\"]?([^'\";}\n]+)['\"]?"
+
+
+def _family(name: Column, weights: Column, source) -> Column:
+    source = F.lit(source) if isinstance(source, str) else source
+    return F.struct(name.alias("family"), weights.alias("weights"), source.alias("source"))
+
+
+def _service_families(href: Column, source: str) -> Column:
+    """Families that a font service's address asks for: ``family=Name:axes@weights``, or one with several names between bars."""
+    asked = F.filter(F.split(F.regexp_extract(href, r"^[^?#]*\?([^#]*)", 1), "&"), lambda q: q.startswith("family="))
+    plain = F.transform(asked, lambda q: F.coalesce(F.try_url_decode(F.substring(q, 8, 10_000)), F.substring(q, 8, 10_000)))
+    plain = F.when(F.size(plain) == 1, F.split(F.get(plain, F.lit(0)), r"\|")).otherwise(plain)
+    name = lambda f: F.replace(F.trim(F.regexp_extract(f, "^[^:]*", 0)), F.lit("+"), F.lit(" "))
+    axes = lambda f: F.regexp_replace(F.regexp_extract(f, "^[^:]*:(.*)$", 1), "^[^@]*@", "")
+    weights = lambda f: F.filter(F.transform(F.split(axes(f), "[;,]"), lambda w: F.trim(w)), lambda w: w != "")
+    return F.filter(F.transform(plain, lambda f: _family(name(f), weights(f), source)), lambda x: x["family"] != "")
+
+
 def font_audit(df: DataFrame, max_families: int = 3, max_weights: int = 6) -> DataFrame:
-    """``fonts``: families ``(family, weights, source)`` of font services and @font-face rules, one for each lower-case name; their number, the weights of all (unknown: 1) and whether there are too many."""
-    hrefs = F.transform(values(pick("link"), "href"), lambda h: F.replace(F.replace(h, F.lit("&amp;"), F.lit("&")), F.lit("+"), F.lit(" ")))
-    services = F.filter(hrefs, lambda h: F.lower(h).rlike(r"fonts\.(googleapis\.com|bunny\.net)"))
-    source = lambda h: F.when(F.lower(h).contains("bunny"), "bunny").otherwise("google")
-
-    def families(h):
-        specs = F.flatten(F.transform(F.regexp_extract_all(h, F.lit(r"[?&]family=([^&]+)"), F.lit(1)), lambda s: F.split(F.try_url_decode(s), r"\|")))
-        weights = lambda s: F.array_distinct(F.regexp_extract_all(F.regexp_extract(s, r":(.*)$", 1), F.lit(r"(?<!\d)([1-9]00)(?!\d)"), F.lit(1)))
-        return F.transform(specs, lambda s: F.struct(F.trim(F.get(F.split(s, ":"), 0)).alias("family"), weights(s).alias("weights"), source(h).alias("source")))
-
-    typekit = F.transform(F.filter(hrefs, lambda h: h.contains("use.typekit.net")), lambda h: F.struct(F.concat(F.lit("typekit "), F.regexp_extract(h, r"typekit\.net/([A-Za-z0-9]+)", 1)).alias("family"), F.array().cast("array<string>").alias("weights"), F.lit("typekit").alias("source")))
-    faces = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)@font-face\s*\{[^}]*?font-family\s*:\s*[\"']?([^\"';}]+)"), F.lit(1)), lambda n: F.struct(F.trim(n).alias("family"), F.array().cast("array<string>").alias("weights"), F.lit("custom").alias("source")))
-    df = df.withColumn("_all", F.filter(F.concat(F.flatten(F.transform(services, families)), typekit, faces), lambda x: x["family"] != ""))
+    """``fonts``: families ``(family, weights, source)`` of stylesheet and preload links, scripts and @font-face rules, one for each lower-case name, the first; their number, the
+    weights of all (unknown: 1) and whether there are too many. Weights are as written; those of a @font-face rule are the ones before its family."""
+    none = F.array().cast("array<string>")
+    href = lambda t: attr(t, "href")
+    typekit = F.array(_family(F.lit(TYPEKIT[0]), none, TYPEKIT[1]))
+    linked = lambda t: (t["tag"] == "link") & F.lower(attr(t, "rel")).isin("stylesheet", "preload")
+
+    def served(t):
+        out = F.when((t["tag"] == "script") & attr(t, "src").contains("use.typekit.net"), typekit)
+        for at, source in FONT_SERVICES:
+            out = out.when(linked(t) & href(t).contains(at), _service_families(href(t), source))
+        return out.when(linked(t) & contains_any(href(t), ("use.typekit.net", "use.typekit.com")), typekit).otherwise(F.slice(typekit, 1, 0))
+
+    blocks = F.regexp_extract_all("html", F.lit(_FACE), F.lit(0))
+    weights = lambda block: F.regexp_extract_all(block, F.lit(r"(?i)font-weight\s*:\s*([0-9]+)"), F.lit(1))
+    faces = F.transform(blocks, lambda block: _family(F.trim(F.regexp_replace(F.trim(F.regexp_extract(block, _FACE, 1)), r"^['\"]+|['\"]+$", "")), weights(block), "Custom/Self-hosted"))
+    df = df.withColumn("_all", F.concat(F.flatten(F.transform(pick(("link", "script")), served)), faces))
     df = df.withColumn("_names", F.transform("_all", lambda x: F.lower(x["family"])))
     df = df.withColumn("_own", F.filter("_all", lambda x, i: F.array_position("_names", F.lower(x["family"])) == i + 1))
     total = F.aggregate("_own", F.lit(0), lambda n, x: n + F.greatest(F.lit(1), F.size(x["weights"])))
@@ -175,32 +201,47 @@ def font_audit(df: DataFrame, max_families: int = 3, max_weights: int = 6) -> Da
     return df.withColumn("fonts", F.struct(F.col("_own").alias("families"), n.alias("n_families"), total.alias("n_weights"), ((n > max_families) | (total > max_weights)).alias("too_many"))).drop("_all", "_names", "_own")
 
 
-#: Meta keys that date a page, and JSON-LD keys.
-DATE_KEYS = ("article:modified_time", "article:published_time", "og:updated_time", "last-modified", "date")
-_YEAR = r"(?i)(?:©|&copy;|\(c\)|copyright)\s*(?:\d{4}\s*(?:[-–—]|&ndash;|&mdash;)\s*)?(20\d{2})"
-_DATE = r"(20\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))"
+#: Meta keys that date a page with the names shown for them, and JSON-LD keys.
+DATE_KEYS = {"article:published_time": "Published", "article:modified_time": "Modified", "og:updated_time": "Modified", "date": "Date", "last-modified": "Last-Modified"}
+LD_KEYS = ("datePublished", "dateModified")
+_YEAR = r"(?i)(?:©|&copy;|copyright)[\t\n\f\r ]*(?:\d{4}[\t\n\f\r ]*[-–][\t\n\f\r ]*)?(\d{4})"
+_DATE = r"(?<![0-9A-Za-z_])(20\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))(?![0-9A-Za-z_])"
 
 
 def freshness(df: DataFrame, as_of: Column) -> DataFrame:
-    """``fresh``: the latest date that the page names (time elements, meta keys, JSON-LD; else the first 20 ISO dates of its text), the latest copyright year up to ``as_of``'s, rating and signals.
+    """``fresh``: ``latest_date``, the latest that the page names (time elements, meta keys, 60 bytes from the first of each JSON-LD key; else the first 20 ISO dates of
+    the raw page); ``latest_year``, the latest up to ``as_of``'s of copyright notes and those dates, else that of ``latest_date``; rating and signals.
 
     Under 180 days fresh, under 540 aging, else stale; without a date by the year: 0, 1, 2 or more years back. A future date is fresh.
     """
-    now, year = F.to_date(as_of), F.year(as_of)
-    years = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_YEAR), F.lit(1)), lambda y: y.cast("int")), lambda y: y <= year)
-    iso = lambda c: F.try_to_date(F.regexp_extract(c, _DATE, 1), "yyyy-MM-dd")
-    times = F.transform(values(pick("time"), "datetime"), iso)
-    keyed = pick("meta", lambda t: F.lower(attr(t, "property")).isin(*DATE_KEYS) | F.lower(attr(t, "name")).isin(*DATE_KEYS))
-    metas = F.transform(values(keyed, "content"), iso)
-    ld = F.transform(F.regexp_extract_all("html", F.lit(rf"\"(?:datePublished|dateModified)\"[^<]{{0,40}}?{_DATE}"), F.lit(1)), iso)
-    loose = F.transform(F.slice(F.regexp_extract_all("text", F.lit(_DATE), F.lit(1)), 1, 20), iso)
-    df = df.withColumn("_found", F.array_compact(F.concat(times, metas, ld))).withColumn("_loose", F.array_compact(loose)).withColumn("_year", F.array_max(years))
-    latest = F.array_max(F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.col("_loose")))
-    df = df.withColumn("_latest", latest)
-    age, back = F.datediff(now, F.col("_latest")), year - F.col("_year")
-    rating = F.when(age < 180, "fresh").when(age < 540, "aging").when(age.isNotNull(), "stale").when(back <= 0, "fresh").when(back == 1, "aging").when(back.isNotNull(), "stale").otherwise("unknown")
-    signals = F.array_compact(F.array(F.when(F.size(F.array_compact(times)) > 0, "time"), F.when(F.size(F.array_compact(metas)) > 0, "meta"), F.when(F.size(F.array_compact(ld)) > 0, "json_ld"), F.when((F.size("_found") == 0) & (F.size("_loose") > 0), "text"), F.when(F.col("_year").isNotNull(), "copyright")))
-    return df.withColumn("fresh", F.struct(F.col("_latest").alias("latest_date"), F.col("_year").alias("latest_year"), rating.alias("rating"), signals.alias("signals"))).drop("_found", "_loose", "_year", "_latest")
+    now, year = as_of.cast("timestamp"), F.year(as_of)
+    iso = lambda c: F.regexp_extract(c, _DATE, 1)
+    filled = lambda found: F.filter(found, lambda x: x != "")
+    latest_year = lambda found: F.array_max(F.filter(F.transform(found, lambda y: F.substring(y, 1, 4).cast("int")), lambda y: y <= year))
+    notes = latest_year(F.regexp_extract_all("html", F.lit(_YEAR), F.lit(1)))
+    times = filled(F.transform(pick("time"), lambda t: iso(F.coalesce(F.nullif(attr(t, "datetime"), F.lit("")), attr(t, "data-datetime")))))
+    key = lambda t: F.lower(F.coalesce(F.nullif(attr(t, "property"), F.lit("")), attr(t, "name")))
+    shown = F.create_map(*[F.lit(x) for pair in DATE_KEYS.items() for x in pair])
+    metas = F.filter(F.transform(pick("meta", lambda t: key(t).isin(*DATE_KEYS)), lambda t: F.struct(shown[key(t)].alias("name"), iso(attr(t, "content")).alias("date"))), lambda x: x["date"] != "")
+
+    def window(name: str) -> Column:
+        at = F.coalesce(*[F.nullif(F.locate(f"{q}{name}{q}", F.col("html")), F.lit(0)) for q in "\"'"])
+        return F.coalesce(F.substring(F.encode(F.substring(F.col("html"), at, F.lit(60)), "UTF-8"), 1, 60).cast("string"), F.lit(""))
+
+    ld = F.filter(F.array(*[F.struct(F.lit(f"JSON-LD {k}").alias("name"), iso(window(k)).alias("date")) for k in LD_KEYS]), lambda x: x["date"] != "")
+    df = df.withColumns({"_notes": notes, "_times": times, "_named": F.concat(metas, ld)})
+    named = F.concat("_times", F.transform("_named", lambda x: x["date"]))
+    loose = F.array_max(F.slice(F.regexp_extract_all("html", F.lit(_DATE), F.lit(1)), 1, 20))
+    df = df.withColumn("_latest", F.coalesce(F.array_max(named), loose)).withColumn("_year", F.greatest("_notes", latest_year(named)))
+    days, back = (F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp("_latest", F.lit("yyyy-MM-dd")))) / 86400, year - F.col("_year")
+    rating = F.when(days < 180, "fresh").when(days < 540, "aging").when(days.isNotNull(), "stale").when(back == 0, "fresh").when(back == 1, "aging").when(back.isNotNull(), "stale").otherwise("unknown")
+    signals = F.concat(
+        F.when(F.col("_notes").isNotNull(), F.array(F.concat(F.lit("Copyright © "), F.col("_notes").cast("string"), F.lit(" found")))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size("_times") > 0, F.array(F.concat(F.lit("Article/post dated "), F.array_max("_times")))).otherwise(F.array().cast("array<string>")),
+        F.transform("_named", lambda x: F.concat(x["name"], F.lit(": "), x["date"])),
+    )
+    shown_year = F.coalesce("_year", F.substring("_latest", 1, 4).cast("int"))
+    return df.withColumn("fresh", F.struct(F.col("_latest").alias("latest_date"), shown_year.alias("latest_year"), rating.alias("rating"), F.array_distinct(signals).alias("signals"))).drop("_notes", "_times", "_named", "_latest", "_year")
 
 
 #: Words without content.

@@ -156,13 +156,18 @@ analytics|Mailerlite|assets.mailerlite.com  mailerlite.com/js
 """
 
 
-def core_rules(spark: SparkSession) -> DataFrame:
-    """The built-in rules; a category with ? is of medium confidence at most."""
+def rule_rows() -> list[tuple]:
+    """The built-in rules in the order of ``RULES``; a category with ? is of medium confidence at most."""
     rows = []
     for n, line in enumerate(filter(None, _CORE.splitlines()), 1):
         category, name, patterns = line.split("|", 2)
         rows.append((n, name.lstrip("~&"), category.rstrip("?"), "medium" if category.endswith("?") else "high", patterns.split("  "), name[0] == "&", name[0] == "~"))
-    return spark.createDataFrame(rows, RULES)
+    return rows
+
+
+def core_rules(spark: SparkSession) -> DataFrame:
+    """The built-in rules."""
+    return spark.createDataFrame(rule_rows(), RULES)
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -243,18 +248,31 @@ def tech_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_RULES} rules: split the table and union the matches")
     wanted = [(r.rule, r.name, r.category, r.confidence, [(p, p.lower(), *evidence(p)) for p in r.patterns], bool(r.require_all), bool(r.tag_only)) for r in table]
 
+    every_pattern = sorted({low for *_, patterns, _, _ in wanted for _, low, _, _ in patterns})
+
     def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for low in every_pattern:
+            machine.add_word(low, low)
+        if every_pattern:
+            machine.make_automaton()
         for batch in batches:
             out = []
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 lower = (html or "").lower()
+                # One scan of the page finds all patterns that it holds; only rules with one of them are looked at.
+                held = {low for _, low in machine.iter(lower)} if every_pattern else ()
                 tags = None
                 root = site_root(_host(url or ""))
-                for rule, name, category, confidence, patterns, every, tag_only in wanted:
+                for rule, name, category, confidence, patterns, every, tag_only in wanted if held else ():
+                    if held.isdisjoint(x[1] for x in patterns):
+                        continue
                     if tag_only and tags is None:
                         tags = _OUTSIDE.sub("  ", ">" + lower)
                     source = tags if tag_only else lower
-                    found = [(p, *hit, kind, strength) for p, low, kind, strength in patterns if low in source and (hit := _look(source, low, root))]
+                    found = [(p, *hit, kind, strength) for p, low, kind, strength in patterns if low in held and low in source and (hit := _look(source, low, root))]
                     if found and (not every or len(found) == len(patterns)):
                         out += [(page, rule, name, category, confidence, len(patterns), every, p, around, kind, strength, origin) for p, around, origin, kind, strength in found]
             columns = list(zip(*out)) if out else [[] for _ in _NAMES]

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _RAW = r"(?is)<!--.*?(?:-->|$)|(<(script|style|noscript|iframe)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</\2\s*>|$)"
 _TAG = r"<([a-zA-Z][a-zA-Z0-9]*+)(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
 _ATTRIBUTE = r"(?s)([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+"
-#: References decoded in place, the ampersand last.
-REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&"),
-)
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 #: White space of texts.
 SPACE = r"[\s \u0085]"
 
 
-def decoded(text: Column) -> Column:
-    """The common character references decoded."""
-    for reference, character in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+@F.arrow_udf(ArrayType(StructType([StructField("ref", StringType()), StructField("char", StringType())])))
+def _meanings(found: pa.Array) -> pa.Array:
+    """The references of each page that stand for something, the longest first, so that none is replaced within another."""
+    rows = [[{"ref": r, "char": c} for r in sorted(x or (), key=len, reverse=True) if (c := unescape(r)) != r and not c.startswith("&")] for x in found.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("ref", pa.string()), ("char", pa.string())])))
+
+
+def references(page: Column) -> Column:
+    """The distinct character references of a page with their characters; those of the ampersand are left to ``decoded``. Only references leave the JVM, not pages."""
+    return _meanings(F.array_distinct(F.regexp_extract_all(page, F.lit(_REFERENCE), F.lit(0))))
+
+
+def decoded(text: Column, refs: Column, attribute: bool = False) -> Column:
+    """``text`` with character references decoded; ``refs``: ``references`` of its page. In attributes only references that end in a semicolon count."""
+    mine = F.filter(refs, lambda r: r["ref"].endswith(";")) if attribute else refs
+    out = F.aggregate(mine, text, lambda t, r: F.replace(t, r["ref"], r["char"]))
+    ampersand = r"&(?:amp|AMP|#0*38|#[xX]0*26);" + ("" if attribute else "?")
+    return F.when(text.contains("&"), F.regexp_replace(out, ampersand, "&")).otherwise(text)
 
 
 def _attributes(raw: Column) -> Column:
@@ -32,13 +44,13 @@ def _attributes(raw: Column) -> Column:
     names = F.transform(group(1), lambda n: F.lower(n))
     pairs = F.arrays_zip(names.alias("k"), group(2).alias("a"), group(3).alias("b"), group(4).alias("c"))
     first = F.transform(F.array(F.struct(names.alias("n"), pairs.alias("p"))), lambda x: F.filter(x["p"], lambda y, i: F.array_position(x["n"], y["k"]) == i + 1))
-    return F.map_from_entries(F.transform(F.element_at(first, 1), lambda y: F.struct(y["k"], decoded(F.concat(y["a"], y["b"], y["c"])))))
+    return F.map_from_entries(F.transform(F.element_at(first, 1), lambda y: F.struct(y["k"], decoded(F.concat(y["a"], y["b"], y["c"]), F.col("refs"), True))))
 
 
 def tokenize(pages: DataFrame) -> DataFrame:
     """Adds ``tags``, ``array<struct<pos,tag,attrs:map,in_head>>``, ``bare``, the page without comments and the bodies of scripts, styles, noscripts and iframes, and ``lower``."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    out = pages.withColumn("lower", F.lower(html)).withColumn("bare", F.regexp_replace(html, _RAW, "$1"))
+    out = pages.withColumn("refs", references(html)).withColumn("lower", F.lower(html)).withColumn("bare", F.regexp_replace(html, _RAW, "$1"))
     out = out.withColumn("_raw", F.regexp_extract_all("bare", F.lit(_TAG), F.lit(0)))
     name = lambda x: F.lower(F.regexp_extract(x, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
     head = F.size(F.regexp_extract_all(F.regexp_extract("bare", r"(?is)^(.*?)</head\s*>", 1), F.lit(_TAG), F.lit(0)))
@@ -50,7 +62,7 @@ def tokenize(pages: DataFrame) -> DataFrame:
 def visible_text(df: DataFrame) -> DataFrame:
     """Adds ``text_nodes`` (trimmed, not empty) and ``text``, the nodes joined by a space, of a tokenized page."""
     nodes = F.split(F.col("bare"), r"(?s)<[a-zA-Z/!?](?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>")
-    trimmed = F.transform(nodes, lambda x: F.regexp_replace(decoded(x), rf"^{SPACE}+|{SPACE}+$", ""))
+    trimmed = F.transform(nodes, lambda x: F.regexp_replace(decoded(x, F.col("refs")), rf"^{SPACE}+|{SPACE}+$", ""))
     out = df.withColumn("text_nodes", F.filter(trimmed, lambda x: x != ""))
     return out.withColumn("text", F.array_join("text_nodes", " "))
 
@@ -94,6 +106,6 @@ def prepared(pages: DataFrame) -> DataFrame:
     """Tokens, text, title and description: what the analyses read."""
     out = visible_text(tokenize(pages))
     title = F.regexp_extract_all(F.col("bare"), F.lit(r"(?is)<title\b[^>]*+>([^<]*+)"), F.lit(1))
-    trimmed = F.regexp_replace(decoded(last(title)), rf"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.regexp_replace(decoded(last(title), F.col("refs")), rf"^{SPACE}+|{SPACE}+$", "")
     meta = values(pick("meta", lambda t: F.lower(attr(t, "name")) == "description"), "content")
     return out.withColumn("title", trimmed).withColumn("description", last(meta))

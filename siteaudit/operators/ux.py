@@ -34,7 +34,7 @@ NEAR = 500
 def _texts() -> Column:
     """Lower-case texts of anchors and buttons."""
     inner = F.regexp_extract_all("bare", F.lit(r"(?is)<(?:a|button)(?=[\s>])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*')*+>(.*?)(?=</(?:a|button)\s*>|<a[\s>]|<button[\s>]|$)"), F.lit(1))
-    return F.transform(inner, lambda x: F.lower(F.trim(decoded(F.regexp_replace(x, r"<[^>]*+>", "")))))
+    return F.transform(inner, lambda x: F.lower(F.trim(decoded(F.regexp_replace(x, r"<[^>]*+>", ""), F.col("refs")))))
 
 
 def ux_signals(df: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ from siteaudit.sources.staging import staged
 
 def analysed(pages: DataFrame, as_of: Column) -> DataFrame:
     """Per-page columns of the extraction layer. Pages are tokenized once: the tokens are staged, so no analysis runs their patterns again."""
-    df = staged(prepared(pages), "page-tokens")
+    df = staged(prepared(pages).drop("lower", "text"), "page-tokens")
+    df = df.withColumn("lower", F.lower(F.coalesce("html", F.lit("")))).withColumn("text", F.array_join("text_nodes", " "))  # cheap to make again, and half of what would be staged
     for step in (extract.page_links, extract.page_stats, extract.overview, extract.image_audit, extract.font_audit, extract.theme_color, extract.readability, extract.copy_specificity, extract.intent_alignment, seo.seo_checks, seo.seo_score, ux.ux_signals, tech.ai_builder):
         df = step(df)
     return extract.freshness(df, as_of)
 
 
 #: Columns of tokens that later steps don't need.
-HEAVY = ("html", "bare", "tags", "text_nodes", "text")
+HEAVY = ("html", "refs", "bare", "tags", "text_nodes", "text")
 
 
 def with_tech(df: DataFrame, stack: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siteaudit.functions.accounts import PRIVATE_V4, PRIVATE_V6, effective_plan, daily_limit, is_private_ip, v4_range, visitor_key
 from siteaudit.operators import auditlog as log
 from siteaudit.sources import tables as t
+from siteaudit.sources.payloads import export_users_csv
+from siteaudit.sources.staging import shared_path
 from siteaudit.sources.tables import AUDITS_AS_OF, EVENTS_AS_OF, SQL_AUDITS, SQL_FAILURES, SQL_REQUESTS, SQL_USAGE, SQL_USERS, at
 
 from .registry import query
@@ -239,3 +241,12 @@ def s3_private_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 8 == 6, "host")
     )
     return t.table(spark, sf_dir, "events").select("event_id", is_private_ip(ip).alias("private"))
+
+
+@query(f"""WITH {SQL_USERS} SELECT id, email, {sql_stamp('created_at')}, plan, subscription_status, coalesce({sql_stamp('suspended_at').rpartition(' AS ')[0]}, '') AS suspended_at FROM users""")
+def s6_export_users_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV and read back as text."""
+    path = shared_path(spark, "users-csv")
+    export_users_csv(t.users(spark, sf_dir).select("id", "email", "created_at", "plan", "subscription_status", "suspended_at"), path)
+    schema = "id long, email string, created_at string, plan string, subscription_status string, suspended_at string"
+    return spark.read.schema(schema).csv(path, header=True, escape='"').withColumn("suspended_at", F.coalesce("suspended_at", F.lit("")))

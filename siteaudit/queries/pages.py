@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.operators import extract, insights, seo, tech, ux
-from siteaudit.operators.tokens import REFERENCES, attr, pick, prepared, tokenize, values, visible_text
+from siteaudit.operators.tokens import attr, pick, prepared, tokenize, values, visible_text
 from siteaudit.plans import audit
 from siteaudit.sources import pages as crawl_source
 from siteaudit.sources import payloads
@@ -14,15 +14,19 @@ from siteaudit.sources import tables as t
 from siteaudit.sources.pages import SQL_CRAWL, classify_fetch, crawl, load_pages
 from siteaudit.sources.staging import staged
 
-from .registry import query
+from .registry import ORACLES, query
 
 AS_OF = "2024-06-30 00:00:00"
 TAG = """<[a-zA-Z][a-zA-Z0-9]*(?:[^"'>]|"[^"]*"|'[^']*')*>""".replace("'", "''")
 ANY_TAG = """(?s)<[a-zA-Z/!?](?:[^"'>]|"[^"]*"|'[^']*')*>""".replace("'", "''")
 
 
+#: References of the enriched pages, for SQL; the ampersand last.
+_REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&eacute;", "é"), ("&#8364;", "€"), ("&#x27;", "'"), ("&rarr;", "→"), ("&amp;", "&"))
+
+
 def _decoded(x: str) -> str:
-    for a, b in REFERENCES:
+    for a, b in _REFERENCES:
         x = f"replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -75,15 +79,18 @@ def e3_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOST = "regexp_extract({0}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)', 1)"
-_LINKS = f"""links AS (SELECT page_id, url, i - 1 AS i, {_sql_attr('a', 'href')} AS href FROM (SELECT page_id, url, unnest({_tags('a')}) AS a, generate_subscripts({_tags('a')}, 1) AS i FROM page)),
+_LINKS = f"""links AS (SELECT page_id, url, i - 1 AS i, {_decoded(_sql_attr('a', 'href'))} AS href FROM (SELECT page_id, url, unnest({_tags('a')}) AS a, generate_subscripts({_tags('a')}, 1) AS i FROM page)),
 kinds AS (SELECT page_id, i, href, regexp_replace(href, '[?#].*$', '') AS norm, CASE WHEN href = '' OR regexp_matches(href, '^(#|mailto:|tel:)') THEN 'ignored' WHEN regexp_matches(href, '^(/|\\./|\\.\\./)') THEN 'internal'
   WHEN {_HOST.format('href')} = '' THEN 'ignored' WHEN {_HOST.format('href')} = {_HOST.format('url')} THEN 'internal' ELSE 'external' END AS kind FROM links)"""
 _BLOCKING = "CAST(len(regexp_extract_all(regexp_extract(nocomment, '(?s)^(.*?)</head>', 1), '<script src=\"[^\"]*\">')) + len(regexp_extract_all(regexp_extract(nocomment, '(?s)^(.*?)</head>', 1), '<script[^>]*>[^<]')) - len(regexp_extract_all(regexp_extract(nocomment, '(?s)^(.*?)</head>', 1), '<script src=\"[^\"]*\">[^<]')) AS INTEGER)"
 
 
+_FONT_LINKS = _n("link", f"regexp_matches(x, '{'|'.join(extract.FONT_HOSTS)}')")
+
+
 @query(f"""WITH {SQL_TOKENS}, {_LINKS}, lk AS (SELECT page_id, count(*) FILTER (WHERE kind = 'internal') AS a, count(*) FILTER (WHERE kind = 'external') AS b FROM kinds GROUP BY 1)
 SELECT p.page_id, CAST(coalesce(list_sum(list_transform(nodes, lambda x: len(string_split_regex(x, '{SPACES}+')))), 0) AS INTEGER) AS words, {_n('img')} AS images, {_n('img', "contains(x, 'loading=\"lazy\"')")} AS lazy_images,
-  {_BLOCKING} AS render_blocking, {_n('link', "contains(x, 'rel=\"stylesheet\"')")} AS stylesheets, {_n('link', "contains(x, 'fonts.googleapis.com')")} AS fonts,
+  {_BLOCKING} AS render_blocking, {_n('link', "contains(x, 'rel=\"stylesheet\"')")} AS stylesheets, CASE WHEN {_FONT_LINKS} > 0 THEN {_FONT_LINKS} ELSE CAST(least(10, len(regexp_extract_all(low, '@font-face'))) AS INTEGER) END AS fonts,
   CAST(contains(low, 'youtube.com/embed') AS INTEGER) AS videos, {_n('h1')} AS h1, {_n('h2')} AS h2, {_n('h3')} AS h3, CAST(coalesce(a, 0) AS INTEGER) AS internal_links, CAST(coalesce(b, 0) AS INTEGER) AS external_links,
   CAST(len(list_filter(raw, lambda x: {_sql_attr('x', 'style')} <> '')) AS INTEGER) AS inline_styles, CAST(least(100, floor(coalesce(list_sum(list_transform(nodes, lambda x: strlen(x))), 0) * 100 / strlen(html))) AS INTEGER) AS content_ratio
 FROM page p LEFT JOIN lk ON lk.page_id = p.page_id""")
@@ -131,16 +138,44 @@ def e9_color_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.color_palette(base(spark, sf_dir)).select("page_id", "hex", "frequency", "rank")
 
 
-@query(f"""WITH {SQL_CRAWL} SELECT page_id, CASE WHEN contains(html, 'css2?family=Inter') THEN 1 ELSE 0 END AS n_families, CASE WHEN contains(html, 'css2?family=Inter') THEN 3 ELSE 0 END AS n_weights, FALSE AS too_many, CASE WHEN contains(html, '"theme-color"') THEN '#3366ff' ELSE '' END AS theme_color FROM crawl""")
+_FACE = r"""(?i)@font-face\s*\{[^}]*font-family\s*:\s*['"]?([^'";}\n]+)['"]?""".replace("'", "''")
+_LINKED = f"""l AS (SELECT page_id, i, lower({_sql_attr('r', 'rel')}) AS rel, {_decoded(_sql_attr('r', 'href'))} AS href FROM (SELECT page_id, unnest(raw) AS r, generate_subscripts(raw, 1) AS i FROM page) WHERE starts_with(lower(r), '<link')),
+q AS (SELECT page_id, i, list_transform(list_filter(string_split(split_part(split_part(href, '?', 2), '#', 1), '&'), lambda x: starts_with(x, 'family=')), lambda x: url_decode(replace(substr(x, 8), '+', ' '))) AS p FROM l
+  WHERE rel IN ('stylesheet', 'preload') AND (contains(href, 'fonts.googleapis.com') OR contains(href, 'fonts.bunny.net'))),
+g AS (SELECT page_id, i, CASE WHEN len(p) = 1 THEN string_split(p[1], '|') ELSE p END AS p FROM q), f AS (SELECT page_id, i, unnest(p) AS f, generate_subscripts(p, 1) AS j FROM g),
+b AS (SELECT page_id, unnest(regexp_extract_all(html, '{_FACE}')) AS b, generate_subscripts(regexp_extract_all(html, '{_FACE}'), 1) AS j FROM page),
+e AS (SELECT page_id, i, j, trim(split_part(f, ':', 1)) AS family, len(list_filter(string_split_regex(regexp_replace(CASE WHEN contains(f, ':') THEN substr(f, strpos(f, ':') + 1) ELSE '' END, '^[^@]*@', ''), '[;,]'), lambda w: trim(w) <> '')) AS w FROM f
+  UNION ALL SELECT page_id, 1000000, j, trim(regexp_extract(b, '{_FACE}', 1)), len(regexp_extract_all(b, '(?i)font-weight\\s*:\\s*[0-9]+')) FROM b),
+u AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(family) ORDER BY i, j) AS k FROM e WHERE family <> ''),
+n AS (SELECT page_id, count(*) AS n, sum(greatest(1, w)) AS w, string_agg(family || ':' || w, ';' ORDER BY i, j) AS families FROM u WHERE k = 1 GROUP BY page_id)"""
+
+
+@query(f"""WITH {SQL_TOKENS}, {_LINKED} SELECT page_id, CAST(coalesce(n, 0) AS INTEGER) AS n_families, CAST(coalesce(w, 0) AS INTEGER) AS n_weights, coalesce(n > 3 OR w > 6, FALSE) AS too_many, coalesce(families, '') AS families,
+  CASE WHEN contains(html, '"theme-color"') THEN '#3366ff' ELSE '' END AS theme_color FROM page LEFT JOIN n USING (page_id)""")
 def e10_font_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.theme_color(extract.font_audit(base(spark, sf_dir))).select("page_id", "fonts.n_families", "fonts.n_weights", "fonts.too_many", "theme_color")
+    out = extract.theme_color(extract.font_audit(base(spark, sf_dir)))
+    families = F.array_join(F.transform("fonts.families", lambda x: F.concat(x["family"], F.lit(":"), F.size(x["weights"]).cast("string"))), ";")
+    return out.select("page_id", "fonts.n_families", "fonts.n_weights", "fonts.too_many", families.alias("families"), "theme_color")
+
 
+_ISO = r"\b(20\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))\b"
+_KEY = f"lower(CASE WHEN {_sql_attr('x', 'property')} <> '' THEN {_sql_attr('x', 'property')} ELSE {_sql_attr('x', 'name')} END)"
+_NEAR = ", ".join(f"CASE WHEN strpos(html, '\"{k}\"') > 0 THEN regexp_extract(substr(html, strpos(html, '\"{k}\"'), 60), '{_ISO}', 1) ELSE '' END" for k in extract.LD_KEYS)
+_PAST = f"list_max(list_filter(list_transform({{0}}, lambda y: CAST(substr(y, 1, 4) AS INTEGER)), lambda y: y <= {AS_OF[:4]}))"
 
-@query(f"""WITH {SQL_CRAWL} SELECT page_id, CASE WHEN contains(html, '"datePublished": "2024-03-05"') THEN '2024-03-05' END AS latest_date, CASE WHEN contains(html, '2019&ndash;2023') THEN 2023 END AS latest_year,
-  CASE WHEN contains(html, '"datePublished"') THEN 'fresh' WHEN contains(html, '2019&ndash;2023') THEN 'aging' ELSE 'unknown' END AS rating FROM crawl""")
+
+@query(f"""WITH {SQL_TOKENS}, d AS (SELECT page_id, html, regexp_extract_all(html, '(?i)(?:©|&copy;|copyright)\\s*(?:\\d{{4}}\\s*[-–]\\s*)?(\\d{{4}})', 1) AS years,
+  list_transform({_tags('time')}, lambda x: regexp_extract(CASE WHEN {_sql_attr('x', 'datetime')} <> '' THEN {_sql_attr('x', 'datetime')} ELSE {_sql_attr('x', 'data-datetime')} END, '{_ISO}', 1)) AS times,
+  list_transform(list_filter({_tags('meta')}, lambda x: {_KEY} IN ({', '.join(f"'{k}'" for k in extract.DATE_KEYS)})), lambda x: regexp_extract({_sql_attr('x', 'content')}, '{_ISO}', 1)) AS metas, [{_NEAR}] AS ld FROM page),
+m AS (SELECT *, list_filter(list_concat(times, metas, ld), lambda x: x <> '') AS named FROM d),
+y AS (SELECT *, coalesce(list_max(named), list_max(regexp_extract_all(html, '{_ISO}', 1)[1:20])) AS latest, greatest({_PAST.format('years')}, {_PAST.format('named')}) AS year FROM m),
+r AS (SELECT *, (epoch(TIMESTAMP '{AS_OF}') - epoch(CAST(latest AS TIMESTAMP))) / 86400 AS days, {AS_OF[:4]} - year AS back FROM y)
+SELECT page_id, latest AS latest_date, coalesce(year, CAST(substr(latest, 1, 4) AS INTEGER)) AS latest_year, CASE WHEN days < 180 THEN 'fresh' WHEN days < 540 THEN 'aging' WHEN days IS NOT NULL THEN 'stale' WHEN back = 0 THEN 'fresh' WHEN back = 1 THEN 'aging' WHEN back IS NOT NULL THEN 'stale' ELSE 'unknown' END AS rating,
+  CAST(len(list_filter(metas, lambda x: x <> '')) + len(list_filter(ld, lambda x: x <> '')) AS INTEGER) AS n_named FROM r""")
 def e11_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract.freshness(base(spark, sf_dir), moment())
-    return out.select("page_id", F.col("fresh.latest_date").cast("string").alias("latest_date"), "fresh.latest_year", "fresh.rating")
+    named = F.size(F.filter("fresh.signals", lambda s: s.rlike(r"^(?!Article|Copyright)")))
+    return out.select("page_id", "fresh.latest_date", "fresh.latest_year", "fresh.rating", named.alias("n_named"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in extract.STOP_WORDS)
@@ -461,6 +496,7 @@ _FIX = {
     "render-blocking": "blocking > 2", "no-cta": "cta_count = 0", "no-trust": "NOT trust_signals", "no-social-proof": "NOT social_proof", "not-mobile": "NOT mobile_ready", "no-contact": "NOT contact_info", "no-privacy": "NOT privacy_policy",
     "low-clarity": "clarity < 40", "low-trust-score": "trust < 40", "high-friction": "friction > 65", "generic-copy": "text <> '' AND 100 - 15 * vague + 8 * hints < 50", "vague-copy": "NOT (text <> '' AND 100 - 15 * vague + 8 * hints < 50) AND vague > 2",
     "security-headers": "page_id % 2 <> 0 AND page_id % 3 <> 0 AND page_id % 7 <> 0", "complex-content": "lev = 'advanced'",
+    "stale-content": "page_id IN (SELECT page_id FROM stale)",
 }
 _ORDER = list(insights.FIXES)
 
@@ -475,7 +511,7 @@ _FIX_ROWS = ", ".join(
     + [_fix_struct(f"s_{k} = 'warning'", f"seo-warn-{k}", "medium", "easy", 55, "seo", 100 + i) for i, k in enumerate(_CHECKS)]
     + [_fix_struct(w, k, *insights.FIXES[k], 200 + _ORDER.index(k)) for k, w in _FIX.items()]
 )
-SQL_FIXES = f"""{SQL_ALL}, fc AS (SELECT *, lower(title || ' ' || description) AS c, {_VAGUE} AS vague, {_HINTS} AS hints FROM sc), fd AS (SELECT *, {_claims(False)} AS claims, {_claims(True)} AS found FROM fc),
+SQL_FIXES = f"""{SQL_ALL}, stale AS (SELECT page_id FROM ({ORACLES['e11_freshness']}) WHERE rating = 'stale'), fc AS (SELECT *, lower(title || ' ' || description) AS c, {_VAGUE} AS vague, {_HINTS} AS hints FROM sc), fd AS (SELECT *, {_claims(False)} AS claims, {_claims(True)} AS found FROM fc),
 fx AS (SELECT page_id, unnest([{_FIX_ROWS}]) AS f FROM fd), fixes AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY f.urgency DESC, f.place) - 1 AS INTEGER) AS nth, f FROM fx WHERE f IS NOT NULL)"""
 
 
@@ -501,7 +537,7 @@ def i17_audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT page_id, overall, score FROM ({ORACLES['i3_conversion_scores']}) JOIN ({ORACLES['c14_seo_score']}) USING (page_id)")
 def s4_audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = payloads.to_audit_rows(scored(spark, sf_dir), ["page_id", "conversion", "seo_score"])
     return payloads.from_audit_json(rows.select("page_id", "result"), "page_id long, conversion struct<overall:int>, seo_score struct<score:int>").select("page_id", "audit.conversion.overall", "audit.seo_score.score")
@@ -512,12 +548,20 @@ def s7_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.format_report(audited(spark, sf_dir)).select("page_id", "report")
 
 
-_PRESENT = {
-    "Google Tag Manager": "googletagmanager.com/gtm.js", "YouTube Embed": "youtube.com/embed", "Intercom": "widget.intercom.io",
-}
+def _sql_rules() -> str:
+    """The table of rules as SQL: one row for each pattern."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = (f"({n}, {quoted(name)}, {quoted(category)}, {quoted(p.lower())}, {len(patterns)}, {every}, {tag_only})" for n, name, category, _, patterns, every, tag_only in tech.rule_rows() for p in patterns)
+    return f"rules(rule, name, category, pattern, n, every, tag_only) AS (VALUES {', '.join(rows)})"
+
 
+#: Technologies of a page: rules of which one pattern is in the page, or in its tags, or all are.
+_TECH = f"""{SQL_CRAWL}, {_sql_rules()}, low AS (SELECT page_id, lower(html) AS h, regexp_replace('>' || lower(html), '>[^<]*(<|$)', '  ', 'g') AS tags FROM crawl),
+held AS (SELECT page_id, rule, name, category, count(*) AS found, any_value(n) AS n, any_value(every) AS every FROM low JOIN rules ON contains(CASE WHEN tag_only THEN tags ELSE h END, pattern) GROUP BY ALL),
+x AS (SELECT DISTINCT page_id, name, category FROM held WHERE NOT every OR found = n)"""
 
-@query(f"""WITH {SQL_CRAWL} {' UNION ALL '.join(f"SELECT page_id, '{k}' AS name FROM crawl WHERE contains(lower(html), '{v}')" for k, v in _PRESENT.items())}""")
+
+@query(f"WITH {_TECH} SELECT DISTINCT page_id, name FROM x")
 def t1_tech_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.tech_matches(crawl(spark, sf_dir), tech.core_rules(spark)).select("page_id", "name").distinct()
 
@@ -541,8 +585,7 @@ def t4_ai_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "ai.is_ai_built", "ai.confidence", "ai.builder", F.size("ai.signals").alias("n_signals"))
 
 
-@query(f"""WITH {SQL_CRAWL}, x AS ({' UNION ALL '.join(f"SELECT page_id, '{k}' AS name FROM crawl WHERE contains(lower(html), '{v}')" for k, v in _PRESENT.items())}),
-tp AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Google Tag Manager' WHEN 1 THEN 'Hotjar' WHEN 2 THEN 'imgix' END AS name FROM pages)
+@query(f"""WITH {_TECH}, tp AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Google Tag Manager' WHEN 1 THEN 'Hotjar' WHEN 2 THEN 'imgix' END AS name FROM pages)
 SELECT page_id, name FROM x UNION SELECT page_id, name FROM tp WHERE name IS NOT NULL""")
 def t5_merge_third_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
@@ -552,11 +595,7 @@ def t5_merge_third_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.merge_third_parties(stack_of(spark, sf_dir), parties, tech.core_entities(spark)).select("page_id", "name")
 
 
-_CATS = {"Google Tag Manager": "analytics", "YouTube Embed": "media", "Intercom": "analytics"}
-
-
-@query(f"""WITH {SQL_CRAWL}, x AS ({' UNION ALL '.join(f"SELECT page_id, '{k}' AS name, '{_CATS[k]}' AS category FROM crawl WHERE contains(lower(html), '{v}')" for k, v in _PRESENT.items())})
-SELECT category, name, CAST(grouping(category, name) AS BIGINT) AS level, count(DISTINCT page_id) AS pages FROM x GROUP BY ROLLUP (category, name)""")
+@query(f"WITH {_TECH} SELECT category, name, CAST(grouping(category, name) AS BIGINT) AS level, count(DISTINCT page_id) AS pages FROM x GROUP BY ROLLUP (category, name)")
 def t6_tech_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.tech_adoption(stack_of(spark, sf_dir)).select("category", "name", F.col("level").cast("long").alias("level"), "pages")
 

@@ -43,7 +43,7 @@ ERRORS = (
 
 
 def classify_fetch(df: DataFrame, max_bytes: int = MAX_BODY) -> DataFrame:
-    """``status, content_type, error, html``: adds ``outcome`` and cuts ``html`` to ``max_bytes`` characters."""
+    """``status, content_type, error, html``: adds ``outcome`` and cuts ``html`` to ``max_bytes`` bytes, without a character that this breaks."""
     s, error = F.col("status"), F.lower("error")
     failed = F.when(F.lit(False), "")
     for name, needles in ERRORS:
@@ -55,7 +55,12 @@ def classify_fetch(df: DataFrame, max_bytes: int = MAX_BODY) -> DataFrame:
     kind = F.lower("content_type")
     is_html = kind.isNull() | (kind == "") | kind.contains("text/html") | kind.contains("application/xhtml")
     outcome = F.when(F.col("error").isNotNull(), failed.otherwise("other")).otherwise(F.coalesce(by_status, F.when(~is_html, "not_html"), F.lit("ok")))
-    return df.withColumn("outcome", outcome).withColumn("html", F.when(F.col("outcome") == "ok", F.substring("html", 1, max_bytes)))
+    return df.withColumn("outcome", outcome).withColumn("html", F.when(F.col("outcome") == "ok", _first_bytes(F.col("html"), max_bytes)))
+
+
+def _first_bytes(text: Column, n: int) -> Column:
+    whole = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(whole, "\ufffd$", ""))
 
 
 def _any(text: Column, needles) -> Column:
@@ -85,6 +90,12 @@ SNIPPETS = (
     ("</body>", 5, 3, '<a href="https://partner.org/x?a=1">P</a><a href="https://partner.org/x?a=2">Q</a><a href="https://other.org/y">R</a><a href="mailto:a@b.org">Mail</a><img src="http://cdn.other.org/p.gif" alt="p">'),
     ("</body>", 3, 1, '<button>Get started</button><p>Secure checkout, money back guarantee, 40% off, only $25 per month. Rated 4.5 stars by customers.</p>'),
     ("</body>", 11, 5, '<p>&copy; 2019&ndash;2023 Example. A seamless, robust and innovative, world-class product.</p><a href="/privacy">Privacy policy</a>'),
+    ("</body>", 19, 3, '<div data-reactroot="1"><p>Read of wp-json/wp/ and /sites/default/files/ in words.</p></div><script src="https://cdn11.bigcommerce.com/x.js"></script>'),
+    ("</body>", 17, 8, '<p title="caf&eacute; &amp; &#8364;5">Caf&eacute; &#8364;5 it&#x27;s &rarr; AT&amp;T</p><a href="/caf&eacute;?a=1&amp;copy=2&copy=3">Caf&eacute;</a>'),
+    ("</head>", 7, 3, '<link rel="preload" href="https://fonts.bunny.net/css?family=Lora:400,700|Open+Sans"><link rel="icon" href="https://fonts.googleapis.com/css2?family=No"><style>@font-face{font-weight:250;font-family: "Own Face";font-weight:900}</style>'),
+    ("</head>", 6, 4, '<meta name="date" property="og:other" content="2030-01-01"><meta name="Last-Modified" content="on 2022-11-09."><script>{"datePublished":  "2021-05-06", "x": 1, "datePublished": "2029-01-01", "dateModified": 1, "y": "                                   2028-02-02"}</script>'),
+    ("</body>", 10, 7, '<p data-seen="2019-08-07">&copy; 2018</p><time datetime="2023-02-03T10:00">Then</time><time data-datetime="2023-03-04">or</time>'),
+    ("</body>", 9, 2, '<p id="p2020-10-11">No date in words</p><i data-at="x 2020-10-12 12020-10-13"></i>'),
     ("</body>", 13, 6, '<iframe src="https://www.youtube.com/embed/x"></iframe><div class="cookie-banner">We use cookies</div><script src="https://widget.intercom.io/w/a"></script>'),
 )
 

@@ -54,7 +54,11 @@ def rate_limit_batch(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
-    """The same over a stream with a watermark on ``ts``. State: the start of the key's window and its count; a key that is silent for an hour of event time is dropped."""
+    """The same over a stream with a watermark on ``ts``. State: the start of the key's window and its count; a key that is silent for an hour of event time is dropped.
+
+    Requests are judged in order of time within a micro-batch; one that comes in a later batch than others after it is judged by the window that stands then.
+    A key's requests of one batch are held in one task.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -114,12 +118,11 @@ def drain(out: DataFrame, keys: list[str] | None = None) -> DataFrame:
     path, marks = shared_path(spark, "stream-out"), shared_path(spark, "stream-marks")
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/_batch={batch}")  # a batch that is run again replaces what it wrote
 
     writer = out.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).outputMode("update" if keys else "append")
     writer.foreachBatch(write).start().awaitTermination()
-    schema = out.schema.add("_batch", "integer")
-    written = spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(out.schema.add("_batch", "integer")).option("basePath", path).parquet(f"{path}/_batch=*")
     if not keys:
         return written.drop("_batch")
     rest = [c for c in out.columns if c not in keys]

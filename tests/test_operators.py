@@ -7,6 +7,7 @@ from siteaudit.functions.accounts import is_private_ip
 from siteaudit.operators import auditlog, extract, insights, seo, tech, ux
 from siteaudit.operators.tokens import prepared, tokenize
 from siteaudit.plans.audit import audit_pages
+from siteaudit.sources import pages as pages_source
 from siteaudit.sources import payloads
 from siteaudit.sources.pages import load_pages
 from siteaudit.streaming import jobs
@@ -87,12 +88,37 @@ def test_colours_and_theme(spark):
 
 
 def test_fonts(spark):
-    one = '<link href="https://fonts.googleapis.com/css2?family=Inter:wght@400;600;700&amp;display=swap">'
-    four = '<link href="https://fonts.googleapis.com/css?family=A:400,700|B+C|D|E">'
+    one = '<link rel="stylesheet" href="https://fonts.googleapis.com/css2?family=Inter:wght@400;600;700&amp;display=swap">'
+    four = '<link rel="preload" href="https://fonts.googleapis.com/css?family=A:400,700|B+C|D|E">'
     got = [extract.font_audit(page(spark, h)).first().fonts for h in (one, four, "<p>")]
     assert (got[0].n_families, got[0].n_weights, got[0].too_many) == (1, 3, False)
     assert [f.family for f in got[1].families] == ["A", "B C", "D", "E"] and got[1].too_many and got[1].n_weights == 5
     assert got[2].n_families == 0
+    face = "<style>@font-face{font-weight:250;font-family: 'Own Face';font-weight:900}</style><link rel=icon href='https://fonts.googleapis.com/css2?family=No'><script src='//use.typekit.net/ab.js'></script>"
+    families = extract.font_audit(page(spark, face)).first().fonts.families
+    assert [(f.family, f.weights, f.source) for f in families] == [("Adobe Fonts (Typekit)", [], "Adobe Fonts"), ("Own Face", ["250"], "Custom/Self-hosted")]
+
+
+def test_freshness_rules(spark):
+    of = lambda h: extract.freshness(page(spark, h), F.lit("2024-06-30").cast("timestamp")).first().fresh
+    assert of('<p data-x="2024-05-01">2024-13-01 12024-01-02</p>').latest_date == "2024-05-01"
+    ld = of('<script>{"datePublished": "2021-01-02", "datePublished": "2023-01-02", "dateModified": "' + " " * 60 + '2024-01-01"}</script><p>2024-02-02')
+    assert (ld.latest_date, ld.latest_year, ld.rating, ld.signals) == ("2021-01-02", 2021, "stale", ["JSON-LD datePublished: 2021-01-02"])
+    both = of('<meta property="og:title" name="date" content="2024-01-01"><meta name="Date" content="at 2023-12-31."><p>&copy; 1999 - 2022')
+    assert (both.latest_date, both.latest_year, both.rating, both.signals) == ("2023-12-31", 2023, "aging", ["Copyright © 2022 found", "Date: 2023-12-31"])
+    assert of("<p>Copyright 2023</p>").rating == "aging" and of("<p>none</p>").rating == "unknown"
+
+
+def test_character_references(spark):
+    got = prepared(spark.createDataFrame([(1, "u", "<title>Caf&eacute; &#233;&#x27;</title><p>&notit; &amp;lt; &rarr;</p><a title='&copy=1 &eacute;' href='?a&amp;copy=2'>x</a>")], "page_id long, url string, html string")).first()
+    assert got.title == "Café é'" and got.text == "Café é' ¬it; &lt; → x"
+    assert {k: v for t in got.tags if t.tag == "a" for k, v in t.attrs.items()} == {"title": "&copy=1 é", "href": "?a&copy=2"}
+
+
+def test_body_is_cut_in_bytes(spark):
+    rows = [(1, 200, "text/html", None, "aé€"), (2, 200, "text/html", None, "abcdef"), (3, 200, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, status int, content_type string, error string, html string")
+    assert [r.html for r in pages_source.classify_fetch(df, 4).orderBy("page_id").collect()] == ["aé", "abcd", None]
 
 
 def test_copy(spark):
