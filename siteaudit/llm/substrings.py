@@ -17,7 +17,7 @@ _UNIT = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 _BREAKS = re.compile(r"[\x20\x09-\x0D]+")
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-_ROW = (("doc_id", "long", pa.int64()), ("print", "long", pa.int64()), ("start", "int", pa.int32()), ("end", "int", pa.int32()), ("at", "int", pa.int32()), ("to", "int", pa.int32()), ("n_words", "int", pa.int32()), ("whole", "int", pa.int32()), ("part", "boolean", pa.bool_()), ("digest", "binary", pa.binary()))
+_ROW = (("doc_id", "long", pa.int64()), ("print", "long", pa.int64()), ("start", "int", pa.int32()), ("end", "int", pa.int32()), ("at", "int", pa.int32()), ("to", "int", pa.int32()), ("n_words", "int", pa.int32()), ("part", "boolean", pa.bool_()), ("digest", "binary", pa.binary()))
 
 
 def _units(kind: str, sentences: bool):
@@ -25,9 +25,9 @@ def _units(kind: str, sentences: bool):
         for batch in pieces(batches, "text"):
             rows: list[tuple] = []
 
-            def add(doc, mark, start, text, words, at, to, whole, part):
+            def add(doc, mark, start, text, words, at, to, part):
                 begin = start + len(text) - len(text.lstrip(_SPACE))
-                rows.append((doc, mark, begin, begin + len(text.strip(_SPACE)), at, to, len(words), whole, part, xxhash.xxh3_128_digest(" ".join(words))))
+                rows.append((doc, mark, begin, begin + len(text.strip(_SPACE)), at, to, len(words), part, xxhash.xxh3_128_digest(" ".join(words))))
 
             words_of = lambda text: [w for w in _BREAKS.split(text.lower()) if w]
             for doc, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -37,9 +37,9 @@ def _units(kind: str, sentences: bool):
                         continue
                     inner = [(x.start(), x[0], w) for x in _SENTENCE.finditer(m[0]) if (w := words_of(x[0]))] if sentences else []
                     to = at + max(1, len(inner))
-                    add(doc, mark, m.start(), m[0], words, at, to, m.start(), False)
+                    add(doc, mark, m.start(), m[0], words, at, to, False)
                     for k, (start, said, w) in enumerate(inner if len(inner) > 1 else ()):
-                        add(doc, mark, m.start() + start, said, w, at + k, at + k + 1, m.start(), True)
+                        add(doc, mark, m.start() + start, said, w, at + k, at + k + 1, True)
                     at = to
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(_ROW)], [name for name, _, _ in _ROW])
 
@@ -49,7 +49,7 @@ def _units(kind: str, sentences: bool):
 def hashed_units(docs: DataFrame, kind: str = "line", sentences: bool = True) -> DataFrame:
     """A row for each line, or paragraph (lines with no empty one between), that has a word, and with ``sentences`` for each of its sentences, if it has several:
     ``doc_id``, ``print`` of the text, ``start, end`` (code points without outer white space, end exclusive), ``at, to`` (its place among the document's smallest units, end
-    exclusive), ``n_words``, ``whole`` (start of its line), ``part`` (it is a sentence), and the 128-bit ``digest`` of its words in lower case, a space between them."""
+    exclusive), ``n_words``, ``part`` (it is a sentence of a line), and the 128-bit ``digest`` of its words in lower case, a space between them."""
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
     return rows.mapInArrow(_units(kind, sentences), ", ".join(f"{name} {kind}" for name, kind, _ in _ROW))
 
@@ -60,14 +60,16 @@ def _repeated(docs: DataFrame, kind: str, run: int, sentences: bool) -> DataFram
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     first = stage(first, "substring-first")  # so that the join reads plain shuffles, of which a hot digest's can be split
     later = found.join(first, "digest").where(place != F.col("first"))
-    later = later.select("doc_id", "print", "start", "end", "at", "to", "n_words", "whole", "part", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    later = stage(later.distinct(), "substring-later")
-    wholes = later.where("not part")
-    text = ["doc_id", "print"]
-    inside = later.where("part").join(wholes.select(*text, "whole"), [*text, "whole"], "left_anti")
-    order = Window.partitionBy(*text).orderBy("at")
-    runs = wholes.unionByName(inside).withColumn("fresh", F.coalesce((F.lag("to").over(order) != F.col("at")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("fresh").over(order)).withColumn("words", F.sum("n_words").over(Window.partitionBy(*text, "run")))
+    later = later.select("doc_id", "print", "start", "end", "at", "to", "n_words", "part", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    # One shuffle by text: a line comes before its sentences, which it covers, and what repeats with its row comes twice.
+    text = Window.partitionBy("doc_id", "print")
+    order = text.orderBy("at", "part")
+    covered = F.coalesce(F.max(F.when(~F.col("part"), F.col("to"))).over(order.rowsBetween(Window.unboundedPreceding, 0)) > F.col("at"), F.lit(False))
+    again = F.coalesce(F.lag(F.struct("at", "part")).over(order) == F.struct("at", "part"), F.lit(False))
+    alone = later.withColumns({"covered": covered, "again": again}).where("not again and (not part or not covered)")
+    order = text.orderBy("at")
+    runs = alone.withColumn("fresh", F.coalesce((F.lag("to").over(order) != F.col("at")).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("fresh").over(order)).withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "print", "run")))
     return runs.where(F.col("words") >= run)
 
 
