@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-The others are tested against brute force: learned rules (op3), a tokenizer's ids (op5), label
-propagation (op6), main text (op7), token efficiency (op10).
+The others are tested without it: a tokenizer's ids (op5) against the library; the counts of op3, and its learned list by held-out accuracy; the law
+of op6 and where groups lie; op7 against the given pages' articles; the patterns of op10, and its token spans on planted strings.
 """
 
 from __future__ import annotations
