@@ -4,7 +4,8 @@ Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c). They are turned to
 axes, sorted by the grid cells (of width eps) of the leading ones and cut into
 sequence intervals. Pairs of intervals are joined recursively: a pair whose bounding
 boxes lie further apart than eps is skipped, with all that it holds; the pairs of
-smallest intervals that remain are compared vector by vector.
+smallest intervals that remain are compared vector by vector. They are dealt to tasks in square tiles
+of the pair matrix, so that an interval is sent once a tile, not once a pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ INTERVAL, PART = 4096, 512
 GRID_AXES, BOX_AXES = 8, 32
 #: Children of an interval, in each step of the recursion.
 FAN = 8
+#: Intervals of a side of a tile at most, and the bytes that the vectors of a tile may take.
+SIDE, TILE_BYTES = 8, 64 << 20
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,26 +42,37 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _moments(d: int):
-    """Per task the sum of the outer products: d x d numbers."""
+    """Per task the sum of the outer products, a row of the matrix a record."""
 
     def run(batches):
-        total = np.zeros((d, d))
+        total, any_row = np.zeros((d, d)), False
         for batch in batches:
             x, ok = _unit(_matrix(batch.column(0), d))
             total += x[ok].T @ x[ok]
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+            any_row = any_row or ok.any()
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array([row.tobytes() for row in total], pa.binary())], ["k", "m"])
 
     return run
 
 
+def _added(batches):
+    """Sums of the rows of each k that a task got."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row = np.frombuffer(m)
+            total[k] = total[k] + row if k in total else row
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.tobytes() for row in total.values()], pa.binary())], ["k", "m"])
+
+
 def principal_axes(vectors: DataFrame, d: int) -> np.ndarray:
-    """Columns: axes by falling share of the second moment. The driver gets one d x d sum."""
-    sums = vectors.select("v").mapInArrow(_moments(d), "m array<double>")
-    rows = sums.select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    m = np.zeros(d * d)
-    for k, x in rows:
-        m[k] = x
-    return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1]
+    """Columns: axes by falling share of the second moment. Rows of the matrix are added up in tasks; the driver gets the d of the sum."""
+    sums = vectors.select("v").mapInArrow(_moments(d), "k int, m binary").repartition("k").mapInArrow(_added, "k int, m binary")
+    m = np.zeros((d, d))
+    for k, row in sums.collect():
+        m[k] = np.frombuffer(row)
+    return np.linalg.eigh(m)[1][:, ::-1]
 
 
 def _cells(d: int, axes: np.ndarray, width: float):
@@ -121,18 +135,25 @@ def _hits(av: np.ndarray, bv: np.ndarray, ax: np.ndarray, bx: np.ndarray, least:
             yield x + i, y + j
 
 
+def _tiles(batches, d: int, kind: str, axes: np.ndarray):
+    """Each wanted pair of intervals, with the intervals of its tile: ids, copies, unit vectors and their leading coordinates."""
+    for t in groups(batches, "tile"):
+        parts = {}
+        for r in t.select(["seq", "ids", "copies", "vectors"]).to_pylist():
+            v = _unit(np.frombuffer(r["vectors"], kind).reshape(-1, d))[0]
+            parts[r["seq"]] = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), v, v @ axes[:, :BOX_AXES]
+        for p in t.column("wanted")[0].as_py():
+            yield (p["a"], p["b"]), parts
+
+
 def _link(d: int, kind: str, axes: np.ndarray, least: float, eps: float):
-    """For each pair of intervals: every vector's number of partners, and its links as a forest."""
+    """For each pair of intervals that a tile asks for: every vector's number of partners, and its links as a forest."""
 
     def run(batches):
         n_id, n_n, e_a, e_b = [], [], [], []
-        for t in groups(batches, "pair"):
-            parts = []
-            for r in t.select(["ids", "copies", "vectors"]).to_pylist():
-                v = _unit(np.frombuffer(r["vectors"], kind).reshape(-1, d))[0]
-                parts.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), v, v @ axes[:, :BOX_AXES]))
-            (ai, ac, av, ax), (bi, bc, bv, bx) = parts[0], parts[-1]
-            own = len(parts) == 1
+        for pair, parts in _tiles(batches, d, kind, axes):
+            (ai, ac, av, ax), (bi, bc, bv, bx) = (parts[k] for k in pair)
+            own = pair[0] == pair[1]
             counts = [np.zeros(len(ai), np.int64), np.zeros(len(bi), np.int64)]
             ids = ai if own else np.concatenate([ai, bi])
             root = np.arange(len(ids))
@@ -225,9 +246,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         pairs = pairs.select("a", "b", F.explode(kids).alias("k")).select("a", (F.col("b") + F.col("k")).alias("b")).where("a <= b")
         sides = [boxes.select(F.col("seq").alias(x), F.struct("low", "high").alias(f"{x}x")) for x in "ab"]
         pairs = stage(pairs.join(sides[0], "a").join(sides[1], "b").where(_close("ax", "bx", eps)).select("a", "b"), "ego-pairs")
-    pair = pairs.select((F.col("a") * F.lit(1 << 31) + F.col("b")).alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("seq"))
-    joined = pair.join(leaves.select("seq", "ids", "copies", "vectors"), "seq")
-    linked = joined.repartition("pair").sortWithinPartitions("pair", "seq").mapInArrow(_link(d, kind, axes, least, eps), "a long, n long, b long")
+    # A tile holds 2 * side intervals at most, in double precision.
+    side = max(1, min(SIDE, TILE_BYTES // (2 * INTERVAL * d * 8)))
+    tile = F.floor(F.col("a") / side) * F.lit(1 << 31) + F.floor(F.col("b") / side)
+    tiles = pairs.groupBy(tile.alias("tile")).agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # side * side pairs at most
+    needed = F.array_distinct(F.flatten(F.transform("wanted", lambda p: F.array(p["a"], p["b"]))))
+    joined = tiles.select("tile", "wanted", F.explode(needed).alias("seq")).join(leaves.select("seq", "ids", "copies", "vectors"), "seq")
+    linked = joined.repartition("tile").sortWithinPartitions("tile", "seq").mapInArrow(_link(d, kind, axes, least, eps), "a long, n long, b long")
     linked = stage(linked, "ego-links")
 
     degree = linked.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
