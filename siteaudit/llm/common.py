@@ -66,6 +66,21 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df``, staged, with an ``index`` from 0 without gaps, and the number of rows. Numbers are added to places in partitions; the driver gets one count a partition."""
+    taken = stage(df.withColumn("_m", F.monotonically_increasing_id()), name)  # staged: places hold for good
+    part = F.shiftright("_m", 33)
+    starts, n = [], 0
+    for p, rows in taken.groupBy(part.alias("p")).count().orderBy("p").collect():
+        starts.append((p, n))
+        n += rows
+    first = taken.sparkSession.createDataFrame(starts, "_p long, _start long")
+    out = taken.withColumn("_p", part).join(F.broadcast(first), "_p").withColumn("index", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    out = out.select(*df.columns, "index")
+    out.staged_at = taken.staged_at
+    return out, n
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of ``rows`` short rows at most, in no more parts than they are worth, but one for each core."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 100_000))

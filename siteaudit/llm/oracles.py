@@ -65,6 +65,12 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(r || chr(10) || x || chr(10), ''
   sum(8 + {_ESCAPED.format('r')} + length(r) - length(replace(r, chr(10), '')) + {_ESCAPED.format('x')}) AS f FROM t GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
 
+OP13 = """WITH v AS (SELECT vec_id, rowid AS place, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM (SELECT *, row_number() OVER () AS rowid FROM embeddings)
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.place, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1, "op2_repeated_lines": OP2, "op4_mix": OP4, "op8_near_documents": OP8, "op9_chat": OP9}
+    return {"op1_near_vectors": OP1, "op2_repeated_lines": OP2, "op4_mix": OP4, "op8_near_documents": OP8, "op9_chat": OP9, "op13_top_k": OP13}

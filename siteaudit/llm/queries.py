@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ego, html_text, minhash, mixing, quality, secrets, sharding, substrings
+from . import chat, ego, html_text, maxscore, minhash, mixing, periods, quality, secrets, sharding, substrings, whitening
 from . import pieces as sentencepieces
+from .common import let, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,8 +94,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c")
+    return out.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", each).select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """The words of a text; in a tenth of the documents, by their doc_id, those from some place on repeat."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        i = F.sequence(F.lit(0), F.size(w) - 1)
+        return F.when((F.size(w) > 0) & (h % 10 == 0), let(F.struct(a.alias("a"), p.alias("p")), lambda x: F.transform(i, lambda j: F.get(w, F.when(j < x["a"], j).otherwise(x["a"] + (j - x["a"]) % x["p"]))))).otherwise(w)
+
+    return let(words(text), repeated)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("w"))
+    found = periods.periodic_runs(docs.select("doc_id", "w"), F.col("w"), least=12).drop("w")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"), F.floor(1000 * F.col("m.length") / -F.col("m.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_near_vectors, op2_repeated_lines, op3_quality_rules, op4_mix, op5_sentencepiece, op6_shards, op7_main_text, op8_near_documents, op9_chat, op10_secrets)
+    own = (op1_near_vectors, op2_repeated_lines, op3_quality_rules, op4_mix, op5_sentencepiece, op6_shards, op7_main_text, op8_near_documents, op9_chat, op10_secrets, op11_whitening, op12_periodic_runs, op13_top_k)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
