@@ -1,4 +1,4 @@
-"""Column functions over plans, quotas, visitors and addresses."""
+"""Column functions over plans, quotas and visitors."""
 
 from __future__ import annotations
 
@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 DAILY_LIMITS = {"owner": 999_999, "pro": 50, "free": 5}
 #: Subscription states in which a paid plan holds.
 PAYING = ("active", "trialing", "past_due")
-#: Networks that are not public.
-PRIVATE_V4 = (
-    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8", "100.64.0.0/10",
-    "192.0.0.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-)
-#: The same of IPv6 (::1/128, fc00::/7, fe80::/10, ff00::/8), as patterns of lower-case addresses.
-PRIVATE_V6 = r"^(::1|(0{1,4}:){7}0{0,3}1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$"
-
 
 def effective_plan(plan: Column, status: Column) -> Column:
     return F.when(plan == "owner", "owner").when((plan == "pro") & status.isin(*PAYING), "pro").otherwise("free")
@@ -38,29 +30,3 @@ def visitor_key(visitor_id: Column, forwarded: Column, address: Column) -> Colum
         .when(F.length(address) > 0, F.concat(F.lit("ip:"), address))
         .otherwise("anon:unknown")
     )
-
-
-def ipv4_number(ip: Column) -> Column:
-    """A dotted address as a number; null if it isn't one."""
-    part = lambda k: F.try_element_at(F.split(ip, r"\."), F.lit(k)).cast("long")
-    number = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
-    return F.when(ip.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(?!$)|$)){4}$"), number)
-
-
-def v4_range(network: str) -> tuple[int, int]:
-    """First and last number of a network in CIDR form."""
-    base, _, bits = network.partition("/")
-    a, b, c, d = map(int, base.split("."))
-    first = ((a * 256 + b) * 256 + c) * 256 + d
-    return first, first + 2 ** (32 - int(bits)) - 1
-
-
-def is_private_ip(ip: Column) -> Column:
-    """Whether an address is in a network that isn't public: range predicates, no join. False for null and for what is no address."""
-    text = F.lower(F.trim(ip))
-    number = ipv4_number(F.regexp_replace(text, r"^::ffff:(?=\d+\.)", ""))
-    within = F.lit(False)
-    for network in PRIVATE_V4:
-        first, last = v4_range(network)
-        within = within | number.between(first, last)
-    return F.coalesce(within, F.lit(False)) | F.coalesce(text.rlike(PRIVATE_V6), F.lit(False))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.functions.accounts import PRIVATE_V4, PRIVATE_V6, effective_plan, daily_limit, is_private_ip, v4_range, visitor_key
+from siteaudit.functions.accounts import daily_limit, effective_plan, visitor_key
+from siteaudit.functions.addresses import MAPPED, PRIVATE, address_key, is_private_ip, ranges
 from siteaudit.operators import auditlog as log
 from siteaudit.sources import tables as t
 from siteaudit.sources.payloads import export_users_csv
@@ -222,25 +223,30 @@ def a23_drop_suspended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.drop_suspended(t.requests(spark, sf_dir), t.users(spark, sf_dir)).select("id", "user_id")
 
 
-_V4 = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in map(v4_range, PRIVATE_V4))
-
-
-@query(f"""WITH x AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN '10.' || (event_id % 256) || '.0.1' WHEN 1 THEN '172.' || (event_id % 64) || '.9.9' WHEN 2 THEN '192.168.' || (event_id % 300) || '.1'
-  WHEN 3 THEN (event_id % 256) || '.64.0.' || (user_id % 256) WHEN 4 THEN 'fe80::' || (event_id % 10) WHEN 5 THEN '2001:db8::1' WHEN 6 THEN 'host' END AS ip FROM events),
-p AS (SELECT *, CASE WHEN regexp_full_match(ip, '([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}') AND CAST(split_part(ip, '.', 3) AS INTEGER) < 256 THEN ((CAST(split_part(ip, '.', 1) AS BIGINT) * 256 + CAST(split_part(ip, '.', 2) AS BIGINT)) * 256 + CAST(split_part(ip, '.', 3) AS BIGINT)) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) END AS n FROM x)
-SELECT event_id, coalesce({_V4}, FALSE) OR coalesce(regexp_matches(ip, '{PRIVATE_V6}'), FALSE) AS private FROM p""")
+#: Addresses of all forms, and what only looks like one.
+_ADDRESSES = (
+    "'10.' || (event_id % 256) || '.0.1'", "'172.' || (event_id % 64) || '.9.9'", "'192.168.' || (event_id % 300) || '.1'", "(event_id % 256) || '.64.0.' || (user_id % 256)", "'fe80::' || (event_id % 10)",
+    "'2001:db8::' || (event_id % 9)", "'host'", "CAST(NULL AS STRING)", "'0::' || (event_id % 3)", "'::000' || (event_id % 3)", "'::ffff:7f00:' || (event_id % 20)", "'::ffff:a' || (event_id % 10) || '0:1'",
+    "' FE80::1%eth' || (event_id % 4)", "'::FFFF:10.0.0.' || (event_id % 300)", "'1:2:3:4:5:6:' || (event_id % 9) || '::'", "'2001:db8:::' || (event_id % 9)", "'0:0:0:00:0:0:0:' || (event_id % 3)", "'fd' || (event_id % 90 + 10) || '::1:2'",
+    "'ff02::fb:' || (event_id % 12345)", "'::'", "'1::2::' || (event_id % 9)", "'1:2:3:4:5:6:7:8:' || (event_id % 9)", "'fec0::' || (event_id % 9)", "'0:0:0:0:0:ffff:192.168.1.' || (event_id % 256)", "'::10.0.0.' || (event_id % 9)", "'febf:ffff::%z'", "'012.1.1.' || (event_id % 9)",
+)
+_ADDRESS = f"CASE event_id % {len(_ADDRESSES)} " + " ".join(f"WHEN {k} THEN {a}" for k, a in enumerate(_ADDRESSES)) + " END"
+_QUAD = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_NETWORKS = " OR ".join(f"k BETWEEN '{a}' AND '{b}'" for a, b in ranges(PRIVATE))
+
+
+@query(f"""WITH x AS (SELECT event_id, regexp_replace(lower(trim({_ADDRESS.replace("STRING", "VARCHAR")})), '%.*$', '') AS s FROM events),
+d AS (SELECT *, regexp_extract(s, '[^:]*$') AS tail FROM x),
+q AS (SELECT *, CASE WHEN regexp_full_match(tail, '{_QUAD}[.]{_QUAD}[.]{_QUAD}[.]{_QUAD}') THEN list_reduce(list_transform(string_split(tail, '.'), lambda p: CAST(p AS BIGINT)), lambda a, b: a * 256 + b) END AS n FROM d),
+g AS (SELECT event_id, s, n, CASE WHEN s NOT LIKE '%.%' THEN s WHEN n IS NOT NULL THEN regexp_replace(s, '[^:]*$', '') || printf('%x:%x', n // 65536, n % 65536) END AS t FROM q),
+h AS (SELECT event_id, s, n, string_split(t, '::') AS sides, list_filter(string_split_regex(t, ':+'), lambda p: p <> '') AS parts, list_filter(string_split(list_extract(string_split(t, '::'), 1), ':'), lambda p: p <> '') AS lefts, t FROM g),
+k AS (SELECT event_id, CASE WHEN s NOT LIKE '%:%' THEN '{MAPPED}' || printf('%08x', n)
+  WHEN NOT regexp_matches(t, ':::|^:[^:]|[^:]:$|[^0-9a-f:]|[0-9a-f]{{5}}') AND (len(sides) = 1 AND len(parts) = 8 OR len(sides) = 2 AND len(parts) <= 7)
+  THEN array_to_string(list_transform(parts[:len(lefts)] || list_transform(range(8 - len(parts)), lambda i: '0') || parts[len(lefts) + 1:], lambda p: lpad(p, 4, '0')), '') END AS k FROM h)
+SELECT event_id, coalesce(k, '') AS address, coalesce({_NETWORKS}, FALSE) AS private FROM k""")
 def s3_private_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, text = F.col("event_id"), lambda c: c.cast("string")
-    ip = (
-        F.when(n % 8 == 0, F.concat(F.lit("10."), text(n % 256), F.lit(".0.1")))
-        .when(n % 8 == 1, F.concat(F.lit("172."), text(n % 64), F.lit(".9.9")))
-        .when(n % 8 == 2, F.concat(F.lit("192.168."), text(n % 300), F.lit(".1")))
-        .when(n % 8 == 3, F.concat(text(n % 256), F.lit(".64.0."), text(F.col("user_id") % 256)))
-        .when(n % 8 == 4, F.concat(F.lit("fe80::"), text(n % 10)))
-        .when(n % 8 == 5, "2001:db8::1")
-        .when(n % 8 == 6, "host")
-    )
-    return t.table(spark, sf_dir, "events").select("event_id", is_private_ip(ip).alias("private"))
+    e = t.table(spark, sf_dir, "events").select("event_id", F.expr(_ADDRESS).alias("ip"))
+    return e.select("event_id", F.coalesce(address_key(F.col("ip")), F.lit("")).alias("address"), is_private_ip(F.col("ip")).alias("private"))
 
 
 @query(f"""WITH {SQL_USERS} SELECT id, email, {sql_stamp('created_at')}, plan, subscription_status, coalesce({sql_stamp('suspended_at').rpartition(' AS ')[0]}, '') AS suspended_at FROM users""")

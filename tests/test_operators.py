@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siteaudit.functions.accounts import is_private_ip
+from siteaudit.functions.addresses import address_key, is_private_ip
 from siteaudit.operators import auditlog, extract, insights, seo, tech, ux
 from siteaudit.operators.tokens import prepared, tokenize
 from siteaudit.plans.audit import audit_pages
