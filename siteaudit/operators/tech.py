@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siteaudit.functions.suffixes import Sites, common_rules, sites_in_tasks
+
 RULES = "rule int, name string, category string, confidence string, patterns array<string>, require_all boolean, tag_only boolean"
 #: Most rules that are sent to tasks; more raise.
 MOST_RULES = 5_000
@@ -190,47 +192,38 @@ def evidence(pattern: str) -> tuple[str, int]:
     return ("indirect", 55) if any(x in p for x in INDIRECT_PARTS) else ("weak", 24)
 
 
-#: Two-label public suffixes under which sites register; give a larger set where it matters.
-SUFFIXES = frozenset("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp ne.jp or.jp com.br com.mx co.in co.za com.cn com.tr co.kr com.sg com.hk github.io".split())
 _URL = re.compile(r"https?://[^\s\"'<>]+")
 _OUTSIDE = re.compile(r">[^<]*(?:<|$)")
 SPAN = 120
 
 
-def site_root(host: str, suffixes=SUFFIXES) -> str:
-    """The registrable domain of a host."""
-    labels = host.split(".")
-    keep = 3 if ".".join(labels[-2:]) in suffixes else 2
-    return ".".join(labels[-keep:])
-
-
 def _host(url: str) -> str:
     m = re.match(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url, re.I)
     return m[1].lower() if m else ""
 
 
-def _origin(around: str, pattern: str, root: str) -> str:
+def _origin(around: str, pattern: str, root: str, sites: Sites) -> str:
     """Whether the address around a match is the page's own site."""
     if not root:
         return "unknown"
     for token in _URL.findall(around):
         token = token.rstrip(".,;)]}\"'")
         if pattern in token and (host := _host(token)):
-            return "first-party" if site_root(host) == root else "third-party"
+            return "first-party" if sites.of(host) == root else "third-party"
     return "first-party" if pattern.startswith("/") else "unknown"
 
 
 _BEST = {"first-party": 3, "unknown": 2, "third-party": 1}
 
 
-def _look(source: str, pattern: str, root: str) -> tuple[str, str] | None:
+def _look(source: str, pattern: str, root: str, sites: Sites) -> tuple[str, str] | None:
     """The best of the first five matches: own site over unknown over others; a piece of the text around it, and its origin."""
     at, best = source.find(pattern), None
     for _ in range(5):
         if at < 0:
             break
         around = source[max(0, at - SPAN // 2) : at + len(pattern) + SPAN // 2].strip()[:SPAN]
-        origin = _origin(around, pattern, root)
+        origin = _origin(around, pattern, root, sites)
         if best is None or _BEST[origin] > _BEST[best[1]]:
             best = around, origin
         at = source.find(pattern, at + len(pattern))
@@ -241,8 +234,9 @@ MATCHES = "page_id long, rule int, name string, category string, confidence stri
 _NAMES = [x.split()[0] for x in MATCHES.split(", ")]
 
 
-def tech_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Long form: a row for each pattern of each rule that holds on a page, with evidence and origin."""
+def tech_matches(pages: DataFrame, rules: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Long form: a row for each pattern of each rule that holds on a page, with evidence and origin: the page's own site or another, sites being told apart by ``suffixes`` (``functions.suffixes``; else the common ones)."""
+    sites = sites_in_tasks(suffixes) if suffixes is not None else Sites(common_rules())
     table = rules.orderBy("rule").limit(MOST_RULES + 1).collect()
     if len(table) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules: split the table and union the matches")
@@ -265,14 +259,14 @@ def tech_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
                 # One scan of the page finds all patterns that it holds; only rules with one of them are looked at.
                 held = {low for _, low in machine.iter(lower)} if every_pattern else ()
                 tags = None
-                root = site_root(_host(url or ""))
+                root = sites.of(_host(url or ""))
                 for rule, name, category, confidence, patterns, every, tag_only in wanted if held else ():
                     if held.isdisjoint(x[1] for x in patterns):
                         continue
                     if tag_only and tags is None:
                         tags = _OUTSIDE.sub("  ", ">" + lower)
                     source = tags if tag_only else lower
-                    found = [(p, *hit, kind, strength) for p, low, kind, strength in patterns if low in held and low in source and (hit := _look(source, low, root))]
+                    found = [(p, *hit, kind, strength) for p, low, kind, strength in patterns if low in held and low in source and (hit := _look(source, low, root, sites))]
                     if found and (not every or len(found) == len(patterns)):
                         out += [(page, rule, name, category, confidence, len(patterns), every, p, around, kind, strength, origin) for p, around, origin, kind, strength in found]
             columns = list(zip(*out)) if out else [[] for _ in _NAMES]

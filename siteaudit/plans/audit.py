@@ -38,14 +38,14 @@ INSIGHTS = (
 )
 
 
-def audit_pages(pages: DataFrame, as_of: Column, rules: DataFrame, headers: DataFrame | None = None, pagespeed: DataFrame | None = None, rdap: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
+def audit_pages(pages: DataFrame, as_of: Column, rules: DataFrame, headers: DataFrame | None = None, pagespeed: DataFrame | None = None, rdap: DataFrame | None = None, probes: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """One row for each of ``pages(page_id, url, html)`` with all analyses, scores and issues.
 
     Optional: ``headers(page_id, headers)``, ``pagespeed(page_id, mobile, desktop)`` as JSON, ``rdap(domain_name, record)`` as JSON, ``probes(href, status,
-    final_url)``. What is missing counts as no data. The joins are equi-joins on page_id or domain; page text isn't in them, as the columns of ``HEAVY`` are left behind before.
+    final_url)``, ``suffixes`` as ``functions.suffixes`` has them. What is missing counts as no data. The joins are equi-joins on page_id or domain; page text isn't in them, as the columns of ``HEAVY`` are left behind before.
     """
     base = analysed(pages, as_of)
-    stack = tech.tech_stack(tech.tech_scores(tech.tech_matches(pages, rules)))
+    stack = tech.tech_stack(tech.tech_scores(tech.tech_matches(pages, rules, suffixes)))
     lean = staged(base.drop(*HEAVY), "page-analyses")
     out = with_tech(lean, stack)
     if headers is not None:

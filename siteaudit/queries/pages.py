@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteaudit.functions.suffixes import common_rules, common_suffixes, with_sites
 from siteaudit.operators import extract, insights, seo, tech, ux
 from siteaudit.operators.tokens import attr, pick, prepared, tokenize, values, visible_text
 from siteaudit.plans import audit
@@ -566,6 +567,34 @@ def t1_tech_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.tech_matches(crawl(spark, sf_dir), tech.core_rules(spark)).select("page_id", "name").distinct()
 
 
+#: Hosts under suffixes of one to four labels, wildcards and exceptions among them, and suffixes themselves.
+_HOSTS = (
+    "example.com", "a{n}.com.pl", "www.b{n}.com.pl", "c{n}.vercel.app", "x.c{n}.vercel.app", "www.ck", "shop.www.ck", "d{n}.co.ck", "co.ck", "www.e{n}.f.kobe.jp", "city.kobe.jp", "info.city.kobe.jp", "g{n}.co.uk", "co.uk", "uk", "www.h{n}.de", "localhost",
+    "a.b.i{n}.s3.amazonaws.com", "j{n}.eu.compute.amazonaws.com", "eu.compute.amazonaws.com", "k{n}.unknown", "..com", "127.0.0.{n}",
+)
+
+
+def _host(concat) -> str:
+    cases = " ".join(f"WHEN {k} THEN {concat(h.split('{n}'))}" for k, h in enumerate(_HOSTS))
+    return f"CASE page_id % {len(_HOSTS) + 1} {cases} ELSE regexp_extract(url, '://([^/:?#]*)', 1) END"
+
+
+_HOST = _host(lambda parts: " || (page_id % 3) || ".join(f"'{x}'" for x in parts))
+
+
+def _sql_suffixes() -> str:
+    return "suffixes(key, kind) AS (VALUES " + ", ".join(f"('{key}', '{kind}')" for key, kind in common_rules()) + ")"
+
+
+@query(f"""WITH {_sql_suffixes()}, x AS (SELECT page_id, {_HOST} AS host FROM pages), h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM x),
+c AS (SELECT host, l, k, array_to_string(l[len(l) - k + 1:], '.') AS key FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM h)),
+f AS (SELECT host, any_value(l) AS l, max(CASE WHEN kind = 'exception' THEN k - 1 END) AS excepted, max(CASE WHEN kind = 'name' THEN k WHEN kind = 'wildcard' AND k < len(l) THEN k + 1 END) AS n FROM c LEFT JOIN suffixes USING (key) GROUP BY host)
+SELECT page_id, host, CASE WHEN list_contains(l, '') OR len(l) <= coalesce(excepted, n, 1) THEN host ELSE array_to_string(l[len(l) - coalesce(excepted, n, 1):], '.') END AS site FROM x JOIN f USING (host)""")
+def t1_site_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = t.table(spark, sf_dir, "pages").select("page_id", F.expr(_HOST).alias("host"))
+    return with_sites(hosts, "host", common_suffixes(spark))
+
+
 @query()
 def t2_tech_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.tech_scores(tech.tech_matches(crawl(spark, sf_dir), tech.core_rules(spark))).drop("signals")
