@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html import unescape
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,24 +18,52 @@ _REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 SPACE = r"[\s \u0085]"
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("ref", StringType()), StructField("char", StringType())])))
+def _in_attribute(ref: str) -> str | None:
+    """What a reference stands for in an attribute: the whole name has to be one, a shorter name that it begins with doesn't count."""
+    return unescape(ref) if ref.startswith("&#") else html5.get(ref[1:])
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("ref", StringType()), StructField("char", StringType()), StructField("attr", StringType())])))
 def _meanings(found: pa.Array) -> pa.Array:
-    """The references of each page that stand for something, the longest first, so that none is replaced within another."""
-    rows = [[{"ref": r, "char": c} for r in sorted(x or (), key=len, reverse=True) if (c := unescape(r)) != r and not c.startswith("&")] for x in found.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("ref", pa.string()), ("char", pa.string())])))
+    """The references of each page that stand for something, in texts or in attributes, the longest first, so that none is replaced within another."""
+    rows = []
+    for refs in found.to_pylist():
+        row = []
+        for r in sorted(refs or (), key=len, reverse=True):
+            char, attr = unescape(r), _in_attribute(r)
+            char = None if char == r or char.startswith("&") else char
+            if char is not None or attr is not None:
+                row.append({"ref": r, "char": char, "attr": attr})
+        rows.append(row)
+    return pa.array(rows, pa.list_(pa.struct([("ref", pa.string()), ("char", pa.string()), ("attr", pa.string())])))
 
 
 def references(page: Column) -> Column:
-    """The distinct character references of a page with their characters; those of the ampersand are left to ``decoded``. Only references leave the JVM, not pages."""
+    """The distinct character references of a page with their characters; that of the ampersand in texts is left to ``decoded``. Only references leave the JVM, not pages."""
     return _meanings(F.array_distinct(F.regexp_extract_all(page, F.lit(_REFERENCE), F.lit(0))))
 
 
-def decoded(text: Column, refs: Column, attribute: bool = False) -> Column:
-    """``text`` with character references decoded; ``refs``: ``references`` of its page. In attributes only references that end in a semicolon count."""
-    mine = F.filter(refs, lambda r: r["ref"].endswith(";")) if attribute else refs
-    out = F.aggregate(mine, text, lambda t, r: F.replace(t, r["ref"], r["char"]))
-    ampersand = r"&(?:amp|AMP|#0*38|#[xX]0*26);" + ("" if attribute else "?")
-    return F.when(text.contains("&"), F.regexp_replace(out, ampersand, "&")).otherwise(text)
+def decoded(text: Column, refs: Column) -> Column:
+    """``text`` with character references decoded; ``refs``: ``references`` of its page."""
+    out = F.aggregate(F.filter(refs, lambda r: r["char"].isNotNull()), text, lambda t, r: F.replace(t, r["ref"], r["char"]))
+    return F.when(text.contains("&"), F.regexp_replace(out, "&(?:amp|AMP|#0*38|#[xX]0*26);?", "&")).otherwise(text)
+
+
+def decoded_attribute(value: Column, refs: Column) -> Column:
+    """The value of an attribute with character references decoded, from left to right.
+
+    There a name without a semicolon counts only if neither = nor a letter or digit follows, and only as a whole: ``x &copy y`` is decoded, ``?a=1&copy=2`` and ``&notit;`` stay.
+    """
+    pattern = _REFERENCE + "=?"
+
+    def meant(found: Column) -> Column:
+        ref = F.regexp_replace(found, "=$", "")
+        kept = found.endswith("=") & ~ref.endswith(";") & ~ref.startswith("&#")
+        char = F.get(F.filter(refs, lambda r: r["ref"] == ref), 0)["attr"]
+        return F.when(kept, found).otherwise(F.concat(F.coalesce(char, ref), F.when(found.endswith("="), "=").otherwise("")))
+
+    pieces = F.zip_with(F.split(value, pattern, -1), F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda part, found: F.concat(part, F.coalesce(meant(found), F.lit(""))))
+    return F.when(value.contains("&"), F.array_join(pieces, "")).otherwise(value)
 
 
 def _attributes(raw: Column) -> Column:
@@ -44,7 +73,7 @@ def _attributes(raw: Column) -> Column:
     names = F.transform(group(1), lambda n: F.lower(n))
     pairs = F.arrays_zip(names.alias("k"), group(2).alias("a"), group(3).alias("b"), group(4).alias("c"))
     first = F.transform(F.array(F.struct(names.alias("n"), pairs.alias("p"))), lambda x: F.filter(x["p"], lambda y, i: F.array_position(x["n"], y["k"]) == i + 1))
-    return F.map_from_entries(F.transform(F.element_at(first, 1), lambda y: F.struct(y["k"], decoded(F.concat(y["a"], y["b"], y["c"]), F.col("refs"), True))))
+    return F.map_from_entries(F.transform(F.element_at(first, 1), lambda y: F.struct(y["k"], decoded_attribute(F.concat(y["a"], y["b"], y["c"]), F.col("refs")))))
 
 
 def tokenize(pages: DataFrame) -> DataFrame:

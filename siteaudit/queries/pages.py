@@ -65,6 +65,28 @@ def e1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(crawl(spark, sf_dir)).select("page_id", F.explode("tags.tag").alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+#: Values of attributes, and what they say.
+_VALUES = (
+    ("x &copy y", "x © y"), ("?a=1&notit;x", "?a=1&notit;x"), ("?a=1&copy=2", "?a=1&copy=2"), ("?a=1&amp;b=2&lt=3", "?a=1&b=2&lt=3"), ("&lt;b&gt &LT &ltx &lt;x", "<b> < &ltx <x"), ("&amp;lt; &amp;amp;", "&lt; &amp;"),
+    ("&#169 &#xA9; &#xa9=1", "© © ©=1"), ("&hearts;&hearts&nbsp", "♥&hearts\u00a0"), ("&copy;=1 &copy1 &copy-1", "©=1 &copy1 ©-1"), ("a & b && &;", "a & b && &;"), ("&NotEqualTilde; &fjlig;", "≂̸ fj"), ("tom&#38jerry&AMP", "tom&jerry&"),
+)
+_SAID = " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(_VALUES))
+
+
+@query(f"""SELECT page_id, kind, CASE (page_id + kind) % {len(_VALUES)} {_SAID} END AS value FROM pages, (SELECT unnest(range(3)) AS kind)""")
+def e1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes in three sorts of quotes, with references."""
+    n = F.col("page_id")
+    raw = F.array(*[F.lit(v) for v, _ in _VALUES])
+    at = lambda k: F.get(raw, ((n + k) % len(_VALUES)).cast("int"))
+    bare = F.replace(at(2), F.lit(" "), F.lit("\u2003"))  # an unquoted value ends at a space, but for this one
+    more = F.concat(F.lit('<i title="'), at(0), F.lit('" lang=\''), at(1), F.lit("' dir="), bare, F.lit(">x</i>"))
+    tags = tokenize(t.table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))).select("page_id", F.element_at("tags", -1).alias("tag"))
+    attrs = lambda k: attr(F.col("tag"), k)
+    found = tags.select("page_id", F.posexplode(F.array(attrs("title"), attrs("lang"), F.replace(attrs("dir"), F.lit("\u2003"), F.lit(" ")))).alias("kind", "value"))
+    return found.select("page_id", F.col("kind").cast("long").alias("kind"), "value")
+
+
 @query(f"WITH {SQL_TOKENS} SELECT page_id, CAST(len(nodes) AS INTEGER) AS n_nodes, text FROM page")
 def e2_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_text(tokenize(crawl(spark, sf_dir))).select("page_id", F.size("text_nodes").alias("n_nodes"), "text")
