@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from siteaudit.functions.accounts import DAILY_LIMITS
 from siteaudit.sources.staging import shared_path
 
 #: Requests a minute for each address and for each signed-in user.
 PER_ADDRESS, PER_USER, WINDOW_S = 10, 50, 60
+DAY_US = 86_400_000_000
 
 
 def _admit(times: np.ndarray, limit: int, start: float | None, n: int) -> tuple[np.ndarray, float | None, int]:
@@ -53,26 +55,99 @@ def rate_limit_batch(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
     return sorted_.mapInPandas(run, "id long, key long, ts timestamp, admitted boolean")
 
 
-def rate_limit(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
-    """The same over a stream with a watermark on ``ts``. State: the start of the key's window and its count; a key that is silent for an hour of event time is dropped.
+class _Limiter(StatefulProcessor):
+    """Requests of a key wait, by slices of time, until the watermark has passed their slice; then they are judged in order: by the window of a minute and, if there is a ``quota``, those it admits by the room of their day."""
+
+    def __init__(self, limit: int, slice_s: int, quota: bool = False):
+        self.limit, self.slice_us, self.quota = limit, slice_s * 1_000_000, quota
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start double, n long, day long, taken long")
+        self.waiting = handle.getMapState("waiting", "slice long", "ids array<long>, times array<long>, rooms array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf[pdf["id"].notna()]  # the others only move the time on
+            us = _micros(pdf["ts"])
+            slices = us // self.slice_us
+            columns = pdf["id"].to_numpy(np.int64), us, pdf["room"].to_numpy(np.int64) if self.quota else us
+            for s in np.unique(slices).tolist():
+                held = [c[slices == s].tolist() for c in columns]
+                if self.waiting.containsKey((s,)):
+                    held = [[*old, *new] for old, new in zip(self.waiting.getValue((s,)), held)]
+                else:
+                    self.handle.registerTimer((s + 1) * self.slice_us // 1000)
+                self.waiting.updateValue((s,), tuple(held))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        start, n, day, taken = self.window.get() if self.window.exists() else (None, 0, None, 0)
+        for s in sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slice_us <= due):
+            ids, times, rooms = (np.array(x, np.int64) for x in self.waiting.getValue((s,)))
+            order = np.lexsort((ids, times))
+            ids, times, rooms = ids[order], times[order], rooms[order]
+            admitted, start, n = _admit(times / 1e6, self.limit, start, n)
+            self.waiting.removeKey((s,))
+            out = {"id": ids, "key": key[0], "ts": pd.to_datetime(times, unit="us"), "admitted": admitted}
+            if self.quota:
+                within = np.zeros(len(ids), bool)
+                for k in np.flatnonzero(admitted).tolist():
+                    if day != times[k] // DAY_US:
+                        day, taken = int(times[k] // DAY_US), 0
+                    taken += 1
+                    within[k] = taken <= rooms[k]
+                out |= {"admitted": within, "in_rate": admitted}
+            yield pd.DataFrame(out)
+        if start is None:
+            return
+        over = max(int((start + WINDOW_S) * 1000), (day + 1) * DAY_US // 1000 if day is not None else 0) + 1
+        if over * 1000 <= due:  # window and day have ended, and whatever comes now begins new ones
+            if self.window.exists():
+                self.window.clear()
+        else:
+            self.window.update((float(start), int(n), day, int(taken)))
+            self.handle.registerTimer(over)
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
+
 
-    Requests are judged in order of time within a micro-batch; one that comes in a later batch than others after it is judged by the window that stands then.
-    A key's requests of one batch are held in one task.
+def rate_limit(requests: DataFrame, limit: int = PER_USER, slice_s: int = 60) -> DataFrame:
+    """The same over a stream of ``requests(id, key, ts)`` with a watermark on ``ts``, whatever the order in which they come and the batches they come in.
+
+    A request is judged once the watermark has passed its slice of ``slice_s`` seconds: all before it are known then, as later ones are late and dropped by Spark.
+    State: a key's waiting requests, and the start and count of its window, which goes when it has ended. A slice of a key is held in a task,
+    no more. A row with a null id only moves the time on; null keys are one key.
     """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    return requests.select("id", "key", "ts").groupBy("key").transformWithStateInPandas(_Limiter(limit, slice_s), "id long, key long, ts timestamp, admitted boolean", "Append", "EventTime")
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        pdf = pd.concat(pdfs).sort_values(["ts", "id"])
-        seconds = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6
-        admitted, start, n = _admit(seconds, limit, start, n)
-        state.update((float(start), int(n)))
-        state.setTimeoutTimestamp(max(int(start * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pdf[["id", "key", "ts"]].assign(admitted=admitted)
 
-    return requests.groupBy("key").applyInPandasWithState(step, "id long, key long, ts timestamp, admitted boolean", "start double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+def admission(requests: DataFrame, users: DataFrame, limits: DataFrame, usage: DataFrame | None = None, limit: int = PER_USER, slice_s: int = 60) -> DataFrame:
+    """The gates of the service as one stream with one checkpoint: suspended users go, then each key's window of a minute, then its daily quota.
+
+    ``requests(id, key, ts)``, a stream with a watermark on ``ts``, ``key`` being the user's id; tables: ``users(id, suspended_at)``, ``limits(key, daily_limit)`` (none: free),
+    ``usage(key, usage_date, count)`` of before. Adds ``in_rate`` and ``admitted``. Both counts are kept by key, so that rows are shuffled once; requests that the window rejects count in it but not in the quota. Equal
+    to ``drop_suspended``, ``rate_limit_batch`` and ``admit_requests`` one after another, over whatever batches and restarts.
+    """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    gone = users.where("suspended_at is not null").select(F.col("id").alias("key"))
+    out = requests.select("id", "key", "ts").join(gone, "key", "left_anti").join(limits.select("key", "daily_limit"), "key", "left")
+    room = F.coalesce("daily_limit", F.lit(DAILY_LIMITS["free"])).cast("long")
+    if usage is not None:
+        used = usage.select("key", F.col("usage_date").alias("_day"), F.col("count").alias("_used"))
+        out = out.withColumn("_day", F.to_date("ts")).join(used, ["key", "_day"], "left")
+        room = room - F.coalesce("_used", F.lit(0))
+    out = out.select("id", "key", "ts", room.alias("room"))
+    return out.groupBy("key").transformWithStateInPandas(_Limiter(limit, slice_s, quota=True), "id long, key long, ts timestamp, admitted boolean, in_rate boolean", "Append", "EventTime")
 
 
 def daily_quota(requests: DataFrame, limit: Column, late: str = "1 day") -> DataFrame:
@@ -101,21 +176,21 @@ def failures_24h(failures: DataFrame, late: str = "1 hour") -> DataFrame:
     return hours.agg(F.count("*").alias("n")).select("host", F.col("window.end").alias("until"), "n")
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table at ``path`` (a Parquet file or folder) as a stream of files."""
+def stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
+    """A table at ``path`` (a Parquet file or folder) as a stream of files, ``files`` of them a batch."""
     schema = spark.read.parquet(path).schema
     # As a pattern: the file source takes a plain path for a folder.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path + "*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "*")
 
 
-def drain(out: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def drain(out: DataFrame, keys: list[str] | None = None, at: tuple[str, str] | None = None) -> DataFrame:
     """Run a stream until all there is has been read, and return what it wrote.
 
     Append mode without ``keys``; else update mode, of whose rows for one key the last batch's count. Output and
-    checkpoint lie in the shared folder.
+    checkpoint lie in the shared folder; given ``at``, the paths of both, a stream goes on where it was.
     """
     spark = out.sparkSession
-    path, marks = shared_path(spark, "stream-out"), shared_path(spark, "stream-marks")
+    path, marks = at or (shared_path(spark, "stream-out"), shared_path(spark, "stream-marks"))
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/_batch={batch}")  # a batch that is run again replaces what it wrote
