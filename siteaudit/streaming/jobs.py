@@ -102,8 +102,10 @@ class _Limiter(StatefulProcessor):
             yield pd.DataFrame(out)
         if start is None:
             return
-        over = max(int((start + WINDOW_S) * 1000), (day + 1) * DAY_US // 1000 if day is not None else 0) + 1
-        if over * 1000 <= due:  # window and day have ended, and whatever comes now begins new ones
+        # Window and day have ended, and no request before that waits, once the slice has been judged in which they end.
+        over = max(int((start + WINDOW_S) * 1e6), (day + 1) * DAY_US if day is not None else 0)
+        over = (over // self.slice_us + 1) * self.slice_us // 1000
+        if over * 1000 <= due:
             if self.window.exists():
                 self.window.clear()
         else:
