@@ -183,11 +183,8 @@ EVENT = (
 )
 
 
-def apply_subscription_events(users: DataFrame, events: DataFrame, yearly_plan: str = "yearly") -> DataFrame:
-    """``events(event_id, ts, payload)`` as JSON: SUBSCRIPTION_ACTIVATED and _UPDATED make a user pro and active, _CANCELLED free.
-
-    An event names its user by id or else by customer id, each an equi-join; of a user's events the last by (ts, event_id) counts.
-    """
+def subscription_changes(events: DataFrame, users: DataFrame, yearly_plan: str = "yearly") -> DataFrame:
+    """What each event that counts says of its user: ``event_id, ts, id, customer_id, on, sub_id, interval, period_end, direct``; ``direct`` if it names the user by id."""
     sub = "e.subscription."
     uid = F.expr(f"try_cast({sub}metadata.user_id as bigint)")
     e = events.select("event_id", "ts", F.from_json("payload", EVENT).alias("e")).where("e.status in ('SUBSCRIPTION_ACTIVATED', 'SUBSCRIPTION_UPDATED', 'SUBSCRIPTION_CANCELLED') and e.subscription is not null")
@@ -199,8 +196,16 @@ def apply_subscription_events(users: DataFrame, events: DataFrame, yearly_plan:
     )
     own = users.select(F.col("id").alias("owner"), F.col("tap_customer_id").alias("customer_id"))
     found = e.where("id is null and customer_id is not null").join(own, "customer_id").withColumn("id", F.col("owner")).select(*e.columns)
+    return e.where("id is not null").withColumn("direct", F.lit(True)).unionByName(found.withColumn("direct", F.lit(False)))
+
+
+def apply_subscription_events(users: DataFrame, events: DataFrame, yearly_plan: str = "yearly") -> DataFrame:
+    """``events(event_id, ts, payload)`` as JSON: SUBSCRIPTION_ACTIVATED and _UPDATED make a user pro and active, _CANCELLED free.
+
+    An event names its user by id or else by customer id, each an equi-join; of a user's events the last by (ts, event_id) counts.
+    """
     last = F.max_by(F.struct("on", F.when(F.col("direct"), F.col("customer_id")).alias("customer_id"), "sub_id", "interval", "period_end"), F.struct("ts", "event_id")).alias("e")
-    latest = e.where("id is not null").withColumn("direct", F.lit(True)).unionByName(found.withColumn("direct", F.lit(False))).groupBy("id").agg(last)
+    latest = subscription_changes(events, users, yearly_plan).groupBy("id").agg(last)
     out = users.join(latest, "id", "left")
     on, any_ = F.coalesce("e.on", F.lit(False)), F.col("e").isNotNull()
     pick = lambda yes, column, no=None: F.when(on, yes).when(any_ & F.lit(no is not None), F.lit(no)).otherwise(F.col(column))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from siteaudit.functions.accounts import daily_limit, effective_plan, visitor_key
 from siteaudit.functions.addresses import MAPPED, PRIVATE, address_key, is_private_ip, ranges
 from siteaudit.operators import auditlog as log
+from siteaudit.operators import changes
 from siteaudit.sources import tables as t
+from siteaudit.sources.audit_sink import append_batch, read_audits
 from siteaudit.sources.payloads import export_users_csv
+from siteaudit.sources.registers import Registers
 from siteaudit.sources.staging import shared_path
 from siteaudit.sources.tables import AUDITS_AS_OF, EVENTS_AS_OF, SQL_AUDITS, SQL_FAILURES, SQL_REQUESTS, SQL_USAGE, SQL_USERS, at
 
@@ -206,6 +209,84 @@ def a20_subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "plan", "subscription_status", "subscription_interval", "tap_subscription_id")
 
 
+_CHANGES = """ch AS (SELECT event_id, user_id AS key, CAST(ts AS DATE) AS usage_date, event_id % 9 AS count, CAST(ts AS TIMESTAMP) + INTERVAL 1 HOUR * CAST(event_id % 50 - 25 AS INTEGER) AS moment FROM events)"""
+
+
+def changed(spark: SparkSession, name: str, key: list[str], fields: dict, lots: list[DataFrame], buckets: int = 8) -> DataFrame | None:
+    """The changes merged as they come, the first ones once more at the end."""
+    table = Registers(spark, shared_path(spark, name), key, fields, buckets)
+    for part in [*lots, lots[0]]:
+        table.merge(part)
+    return table.read()
+
+
+@query(f"""WITH {SQL_USAGE}, {_CHANGES}, l AS (SELECT *, row_number() OVER (PARTITION BY key, usage_date ORDER BY moment DESC, count DESC) AS rn FROM ch)
+SELECT u.key, strftime(u.usage_date, '%Y-%m-%d') AS usage_date, CASE WHEN l.moment >= u.updated_at THEN l.count ELSE u.count END AS count
+FROM usage u JOIN (SELECT * FROM l WHERE rn = 1) l ON u.key = l.key AND u.usage_date = l.usage_date""")
+def a16_merge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes in three lots, neither sorted nor apart, into buckets by key."""
+    e = t.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.to_date("ts").alias("usage_date"), (F.col("event_id") % 9).alias("count"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=(F.col("event_id") % 50 - 25).cast("int"))).alias("updated_at"))
+    lots = [changes.usage_changes(e.where(F.col("event_id") % 3 <= k)) for k in (1, 0, 2)]
+    out = changes.current_usage(t.daily_usage(spark, sf_dir), changed(spark, "usage", ["key", "usage_date"], changes.USAGE, lots))
+    return out.select("key", F.col("usage_date").cast("string").alias("usage_date"), "count")
+
+
+@query(f"""WITH {SQL_AUDITS}, w AS (SELECT 1 + event_id * 13 % 60000 AS id, user_id, CAST(ts AS TIMESTAMP) - INTERVAL 9000 DAY AS moment, event_id % 20 = 0 AS everything FROM events),
+one AS (SELECT id, user_id, min(moment) AS moment FROM w WHERE NOT everything GROUP BY 1, 2),
+every AS (SELECT a.id, min(w.moment) AS moment FROM audits a JOIN w ON a.user_id = w.user_id AND everything AND w.moment >= a.created_at GROUP BY 1)
+SELECT a.id, {sql_stamp("coalesce(deleted_at, least(coalesce(one.moment, every.moment), coalesce(every.moment, one.moment)))", "deleted_at")} FROM audits a LEFT JOIN one ON one.id = a.id AND one.user_id = a.user_id LEFT JOIN every ON every.id = a.id""")
+def a18_merge_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions of audits and of all that a user has, in lots, the later ones first."""
+    w = t.table(spark, sf_dir, "events").select((1 + F.col("event_id") * 13 % 60000).alias("id"), "user_id", (F.col("ts").cast("timestamp") - F.expr("interval 9000 days")).alias("at"), (F.col("event_id") % 20 == 0).alias("everything"))
+    w = w.withColumn("id", F.when(~F.col("everything"), F.col("id")))
+    lots = [w.where(F.pmod(F.xxhash64("at"), F.lit(2)) == k) for k in (1, 0)]
+    one = changed(spark, "audit-deletes", ["id", "user_id"], changes.AUDIT_DELETES, [changes.audit_delete_changes(x) for x in lots])
+    every = changed(spark, "user-deletes", ["user_id"], changes.USER_DELETES, [changes.user_delete_changes(x) for x in lots])
+    return changes.current_audits(t.audits(spark, sf_dir), one, every).select("id", stamp("deleted_at"))
+
+
+@query(f"""WITH {SQL_USERS}, e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS moment, 1 + user_id % 100 AS uid, event_id % 3 AS kind, event_id % 2 AS yearly FROM events WHERE event_type IN ('signup', 'purchase')),
+p AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS moment, 1 + user_id % 120 AS uid, event_id % 7 AS kind FROM events WHERE event_type IN ('click', 'error')),
+plans AS (SELECT uid, moment, event_id, CASE WHEN kind = 2 THEN 'free' ELSE 'pro' END AS plan, CASE WHEN kind = 2 THEN 'cancelled' ELSE 'active' END AS status FROM e
+  UNION ALL SELECT uid, moment, event_id, CASE kind WHEN 0 THEN 'free' ELSE 'pro' END, CASE kind WHEN 0 THEN 'inactive' ELSE 'active' END FROM p WHERE kind < 2),
+l AS (SELECT uid, arg_max((plan, status), (moment, event_id)) AS x FROM plans GROUP BY 1), s AS (SELECT uid, arg_max(CASE WHEN kind < 2 THEN 'sub_' || event_id ELSE '' END, (moment, event_id)) AS sub FROM e GROUP BY 1),
+i AS (SELECT uid, arg_max(CASE WHEN yearly = 1 THEN 'yearly' ELSE 'monthly' END, (moment, event_id)) AS x FROM e WHERE kind < 2 GROUP BY 1), n AS (SELECT uid, arg_max(CASE WHEN kind = 6 THEN '' ELSE 'note ' || event_id END, (moment, event_id)) AS note FROM p WHERE kind IN (5, 6) GROUP BY 1),
+lifted AS (SELECT uid, max((moment, event_id)) AS moment FROM p WHERE kind = 3 GROUP BY 1),
+held AS (SELECT p.uid, min(p.moment) AS moment FROM p LEFT JOIN lifted ON lifted.uid = p.uid WHERE kind IN (2, 4) AND (lifted.moment IS NULL OR (p.moment, p.event_id) > lifted.moment) GROUP BY 1)
+SELECT id, coalesce(l.x[1], users.plan) AS plan, coalesce(l.x[2], subscription_status) AS subscription_status, coalesce(sub, '') AS tap_subscription_id, coalesce(i.x, '') AS subscription_interval, coalesce(note, '') AS admin_note,
+  {sql_stamp("CASE WHEN lifted.moment IS NULL THEN coalesce(suspended_at, held.moment) ELSE held.moment END", "suspended_at")}
+FROM users LEFT JOIN (SELECT uid, [struct_extract(x, 1), struct_extract(x, 2)] AS x FROM l) l ON l.uid = id LEFT JOIN s ON s.uid = id LEFT JOIN i ON i.uid = id LEFT JOIN n ON n.uid = id LEFT JOIN lifted ON lifted.uid = id LEFT JOIN held ON held.uid = id""")
+def a19_a20_merge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches and subscription events in one table of changes, lots of both by turns and out of order."""
+    users, n, uid = t.users(spark, sf_dir), F.col("event_id"), (1 + F.col("user_id") % 100).cast("string")
+    e = t.table(spark, sf_dir, "events").where("event_type in ('signup', 'purchase')")
+    payload = F.to_json(F.struct(
+        F.when(n % 3 == 0, "SUBSCRIPTION_ACTIVATED").when(n % 3 == 1, "SUBSCRIPTION_UPDATED").otherwise("SUBSCRIPTION_CANCELLED").alias("status"),
+        F.struct(F.concat(F.lit("sub_"), n.cast("string")).alias("id"), F.struct(F.concat(F.lit("cus_"), uid).alias("id")).alias("customer"), F.struct(F.when(n % 2 == 1, "yearly").otherwise("monthly").alias("id")).alias("plan"), F.struct(F.when(n % 4 < 2, uid).alias("user_id")).alias("metadata")).alias("subscription"),
+    ))
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), payload.alias("payload"))
+    kind = n % 7
+    p = t.table(spark, sf_dir, "events").where("event_type in ('click', 'error')").select(
+        (1 + F.col("user_id") % 120).alias("id"), F.col("ts").cast("timestamp").alias("at"), n.alias("patch_id"), F.when(kind == 0, "free").when(kind == 1, "pro").alias("plan"), F.when(kind.isin(2, 4), True).when(kind == 3, False).alias("suspended"),
+        F.when(kind == 5, F.concat(F.lit(" note "), n.cast("string"))).when(kind == 6, "  ").alias("admin_note"),
+    )
+    lots = [changes.event_changes(e.where(n % 2 == 1), users), changes.patch_changes(p.where("patch_id % 3 = 0")), changes.event_changes(e.where(n % 2 == 0), users), changes.patch_changes(p)]
+    out = changes.current_users(users, changed(spark, "users", ["id"], changes.USERS, lots))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("id", "plan", "subscription_status", text("tap_subscription_id"), text("subscription_interval"), text("admin_note"), stamp("suspended_at"))
+
+
+@query(f"""WITH {SQL_AUDITS}, b AS (SELECT id, 0 AS batch, url, created_at FROM audits WHERE id % 2 = 0 UNION ALL SELECT id, 1, url || '1', created_at FROM audits WHERE id % 3 = 0 UNION ALL SELECT id, 2, url || '2', created_at + INTERVAL 1 DAY FROM audits WHERE id % 5 = 0)
+SELECT id, arg_min(url, batch) AS url, strftime(date_trunc('month', arg_min(created_at, batch)), '%Y-%m-%d') AS day FROM b GROUP BY id""")
+def s5_audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches that overlap, the first two of them run again."""
+    audits, path = t.audits(spark, sf_dir), shared_path(spark, "audits")
+    batches = [audits.where("id % 2 = 0"), audits.where("id % 3 = 0").withColumn("url", F.concat("url", F.lit("1"))), audits.where("id % 5 = 0").withColumns({"url": F.concat("url", F.lit("2")), "created_at": F.col("created_at") + F.expr("interval 1 day")})]
+    for number in (0, 1, 2, 1, 0):
+        append_batch(batches[number], path, number, parts=8, period="month")
+    return read_audits(spark, path).select("id", "url", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query(f"""WITH {SQL_AUDITS}, q AS (SELECT event_id AS request_id, 1 + event_id * 7 % 60000 AS id, user_id FROM events)
 SELECT request_id, q.id, q.user_id, url FROM q JOIN audits a ON a.id = q.id WHERE is_shareable OR a.user_id = q.user_id""")
 def a21_visible_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
