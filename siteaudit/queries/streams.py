@@ -37,7 +37,7 @@ DELAY_S = 2 * 86_400
 
 
 def scattered(requests_: DataFrame, lots: int = 5) -> str:
-    """``requests_(id, key, ts)`` as files written one after another, each request up to ``DELAY_S`` later than its time, so that files overlap and rows within them have no order. The last file holds one row without an id, long after all others."""
+    """``requests_(id, key, ts, ...)`` as files written one after another, each request up to ``DELAY_S`` later than its time, so that files overlap and rows within them have no order. The last file holds one row without an id, long after all others."""
     spark = requests_.sparkSession
     path, all_of = shared_path(spark, "arrivals"), shared_path(spark, "lots")
     late = F.pmod(F.xxhash64("id"), F.lit(DELAY_S)).cast("double")
@@ -45,11 +45,11 @@ def scattered(requests_: DataFrame, lots: int = 5) -> str:
     first, last = requests_.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double") + DELAY_S)).first()
     lot = F.least(F.lit(lots - 1), F.floor((arrival - F.lit(first)) / F.lit(max(1.0, (last - first) / lots)))).cast("int")
     requests_.withColumn("lot", lot).write.partitionBy("lot").parquet(all_of)
-    held = spark.read.schema("id long, key long, ts timestamp, lot int").parquet(all_of)
+    held = spark.read.schema(requests_.schema.add("lot", "integer")).parquet(all_of)
     for k in range(lots):
         held.where(F.col("lot") == k).drop("lot").orderBy(F.xxhash64("id", "ts")).coalesce(1).write.mode("append").parquet(path)
     end = F.timestamp_seconds(F.lit(last) + 10 * DELAY_S)
-    spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(-1).cast("long").alias("key"), end.alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(-1).cast("long").alias("key"), end.alias("ts"), *[F.lit(None).cast(kind).alias(c) for c, kind in requests_.dtypes[3:]]).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -93,6 +93,34 @@ def r3_dedupe_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drain(jobs.dedupe_reports(r, "60 days")).select("id")
 
 
+_REPORTS = """WITH RECURSIVE o AS (SELECT event_id AS id, user_id % 400 AS key, epoch_us(CAST(ts AS TIMESTAMP)) AS s, event_id % 3 = 0 AS save, row_number() OVER (PARTITION BY user_id % 400 ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT id, key, s, save, i, CASE WHEN save THEN s END AS at_, FALSE AS there FROM o WHERE i = 1
+  UNION ALL SELECT o.id, o.key, o.s, o.save, o.i, CASE WHEN o.save AND (w.at_ IS NULL OR o.s > w.at_ + 172800000000) THEN o.s ELSE w.at_ END, coalesce(o.s <= w.at_ + 172800000000, FALSE) FROM w JOIN o ON o.key = w.key AND o.i = w.i + 1)
+SELECT id, key, s AS us, CASE WHEN save AND there THEN 'duplicate' WHEN save THEN 'saved' WHEN there THEN 'found' ELSE 'missing' END AS what FROM w
+UNION ALL SELECT DISTINCT -1, key, at_ + 172800000000, 'evicted' FROM w WHERE at_ IS NOT NULL"""
+
+
+def report_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t.table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 400).alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 == 0).cast("int").alias("kind"))
+
+
+def answers(df: DataFrame) -> DataFrame:
+    return df.select(F.coalesce("id", F.lit(-1)).alias("id"), "key", F.unix_micros("ts").alias("us"), "what")
+
+
+@query(_REPORTS)
+def r3_report_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over files out of order: reports are there for 48 hours, and go."""
+    arrivals = jobs.stream(spark, scattered(report_requests(spark, sf_dir)) + "/", files=1).withWatermark("ts", f"{DELAY_S} seconds")
+    return answers(jobs.drain(jobs.report_store(arrivals, slice_s=6 * 3_600)))
+
+
+@query(_REPORTS)
+def r3_report_store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers(jobs.report_store_batch(report_requests(spark, sf_dir)))
+
+
 @query("""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS perf_ok, count(*) FILTER (WHERE event_type = 'error') AS perf_fail FROM events GROUP BY 1""")
 def r4_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = events(spark, sf_dir).select("ts", (F.col("event_type") != "error").alias("perf_available"))

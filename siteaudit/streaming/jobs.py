@@ -55,23 +55,36 @@ def rate_limit_batch(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
     return sorted_.mapInPandas(run, "id long, key long, ts timestamp, admitted boolean")
 
 
-class _Limiter(StatefulProcessor):
-    """Requests of a key wait, by slices of time, until the watermark has passed their slice; then they are judged in order: by the window of a minute and, if there is a ``quota``, those it admits by the room of their day."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait, by slices of time, until the watermark has passed their slice; then they are judged in order. ``extra``: a column of whole numbers that waits with them."""
 
-    def __init__(self, limit: int, slice_s: int, quota: bool = False):
-        self.limit, self.slice_us, self.quota = limit, slice_s * 1_000_000, quota
+    STATE, EXTRA = "", ""
+
+    def __init__(self, slice_s: int):
+        self.slice_us = slice_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start double, n long, day long, taken long")
-        self.waiting = handle.getMapState("waiting", "slice long", "ids array<long>, times array<long>, rooms array<long>")
+        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getMapState("waiting", "slice long", "ids array<long>, times array<long>, extras array<long>")
+
+    def judged(self, key, ids: np.ndarray, times: np.ndarray, extras: np.ndarray, state: tuple | None) -> tuple[dict, tuple | None]:
+        """What comes of rows in order, as columns, and the state after them."""
+        raise NotImplementedError
+
+    def end(self, state: tuple) -> int:
+        """The last microsecond for which the state counts."""
+        raise NotImplementedError
+
+    def left(self, key, state: tuple) -> dict | None:
+        """What comes of a state when it goes."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             pdf = pdf[pdf["id"].notna()]  # the others only move the time on
             us = _micros(pdf["ts"])
             slices = us // self.slice_us
-            columns = pdf["id"].to_numpy(np.int64), us, pdf["room"].to_numpy(np.int64) if self.quota else us
+            columns = pdf["id"].to_numpy(np.int64), us, pdf[self.EXTRA].to_numpy(np.int64) if self.EXTRA else us
             for s in np.unique(slices).tolist():
                 held = [c[slices == s].tolist() for c in columns]
                 if self.waiting.containsKey((s,)):
@@ -82,40 +95,94 @@ class _Limiter(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        start, n, day, taken = self.window.get() if self.window.exists() else (None, 0, None, 0)
+        due = timerValues.getCurrentWatermarkInMs() * 1000  # all that it has passed, whichever timer comes first
+        state = self.state.get() if self.state.exists() else None
         for s in sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slice_us <= due):
-            ids, times, rooms = (np.array(x, np.int64) for x in self.waiting.getValue((s,)))
+            ids, times, extras = (np.array(x, np.int64) for x in self.waiting.getValue((s,)))
             order = np.lexsort((ids, times))
-            ids, times, rooms = ids[order], times[order], rooms[order]
-            admitted, start, n = _admit(times / 1e6, self.limit, start, n)
+            out, state = self.judged(key, ids[order], times[order], extras[order], state)
             self.waiting.removeKey((s,))
-            out = {"id": ids, "key": key[0], "ts": pd.to_datetime(times, unit="us"), "admitted": admitted}
-            if self.quota:
-                within = np.zeros(len(ids), bool)
-                for k in np.flatnonzero(admitted).tolist():
-                    if day != times[k] // DAY_US:
-                        day, taken = int(times[k] // DAY_US), 0
-                    taken += 1
-                    within[k] = taken <= rooms[k]
-                out |= {"admitted": within, "in_rate": admitted}
             yield pd.DataFrame(out)
-        if start is None:
+        if state is None:
             return
-        # Window and day have ended, and no request before that waits, once the slice has been judged in which they end.
-        over = max(int((start + WINDOW_S) * 1e6), (day + 1) * DAY_US if day is not None else 0)
-        over = (over // self.slice_us + 1) * self.slice_us // 1000
-        if over * 1000 <= due:
-            if self.window.exists():
-                self.window.clear()
-        else:
-            self.window.update((float(start), int(n), day, int(taken)))
+        # No row that the state counts for waits once the slice has been judged in which it ends.
+        over = (self.end(state) // self.slice_us + 1) * self.slice_us // 1000
+        if over * 1000 > due:
+            self.state.update(state)
             self.handle.registerTimer(over)
+            return
+        if self.state.exists():
+            self.state.clear()
+        if (out := self.left(key, state)) is not None:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
+class _Limiter(_InOrder):
+    """The window of a minute and, if there is a ``quota``, for those it admits the room of their day."""
+
+    STATE = "start double, n long, day long, taken long"
+
+    def __init__(self, limit: int, slice_s: int, quota: bool = False):
+        super().__init__(slice_s)
+        self.limit, self.quota, self.EXTRA = limit, quota, "room" if quota else ""
+
+    def judged(self, key, ids, times, extras, state):
+        start, n, day, taken = state or (None, 0, None, 0)
+        admitted, start, n = _admit(times / 1e6, self.limit, start, n)
+        out = {"id": ids, "key": key[0], "ts": pd.to_datetime(times, unit="us"), "admitted": admitted}
+        if self.quota:
+            within = np.zeros(len(ids), bool)
+            for k in np.flatnonzero(admitted).tolist():
+                if day != times[k] // DAY_US:
+                    day, taken = int(times[k] // DAY_US), 0
+                taken += 1
+                within[k] = taken <= extras[k]
+            out |= {"admitted": within, "in_rate": admitted}
+        return out, (float(start), int(n), day, int(taken))
+
+    def end(self, state):
+        start, _, day, _ = state
+        return max(int((start + WINDOW_S) * 1e6), (day + 1) * DAY_US if day is not None else 0)
+
+
+SAVE, GET = 1, 0
+
+
+def _answers(times: np.ndarray, kinds: np.ndarray, keep_us: int, saved: int | None) -> tuple[list[str], list[int], int | None]:
+    """What saves and gets of one report come to, in order; when reports went that others took the place of; when the one that stands was saved."""
+    out, gone = [], []
+    for t, kind in zip(times.tolist(), kinds.tolist()):
+        there = saved is not None and t <= saved + keep_us
+        if kind == SAVE and not there:
+            if saved is not None:
+                gone.append(saved + keep_us)
+            saved = t
+        out.append(("duplicate" if there else "saved") if kind == SAVE else "found" if there else "missing")
+    return out, gone, saved
+
+
+class _Reports(_InOrder):
+    STATE, EXTRA = "saved long", "kind"
+
+    def __init__(self, keep_us: int, slice_s: int):
+        super().__init__(slice_s)
+        self.keep_us = keep_us
+
+    def judged(self, key, ids, times, extras, state):
+        what, gone, saved = _answers(times, extras, self.keep_us, state[0] if state else None)
+        ids = pd.array([*ids.tolist(), *[None] * len(gone)], "Int64")
+        return {"id": ids, "key": key[0], "ts": pd.to_datetime([*times.tolist(), *gone], unit="us"), "what": what + ["evicted"] * len(gone)}, (saved,) if saved is not None else None
+
+    def end(self, state):
+        return state[0] + self.keep_us
+
+    def left(self, key, state):
+        return {"id": pd.array([None], "Int64"), "key": key[0], "ts": pd.to_datetime([self.end(state)], unit="us"), "what": ["evicted"]}
+
+
 def _micros(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
 
@@ -164,6 +231,45 @@ def dedupe_reports(reports: DataFrame, keep: str = "48 hours") -> DataFrame:
     return reports.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["id"])
 
 
+ANSWERS = "id long, key long, ts timestamp, what string"
+
+
+def report_store(requests: DataFrame, keep_s: int = 48 * 3600, slice_s: int = 60) -> DataFrame:
+    """Reports that stand for ``keep_s`` seconds, as a stream: ``requests(id, key, ts, kind)``, with a watermark on ``ts``, save (``SAVE``) or ask for (``GET``) the report ``key``.
+
+    ``what``: a save is ``saved``, or ``duplicate`` if the report stands (the first stays, and its time isn't prolonged); a get is ``found`` or ``missing``; a report that goes is ``evicted``, a row
+    with null id and the time at which it went. Rows are judged in order of time, once the watermark has passed their slice. State: when a report was saved, until it goes.
+    """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return requests.select("id", "key", "ts", F.col("kind").cast("int").alias("kind")).groupBy("key").transformWithStateInPandas(_Reports(keep_s * 1_000_000, slice_s), ANSWERS, "Append", "EventTime")
+
+
+def report_store_batch(requests: DataFrame, keep_s: int = 48 * 3600) -> DataFrame:
+    """The same over a table; all reports go in the end. One pass over each sorted partition, so that a report asked for often is streamed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, saved, keep = None, None, keep_s * 1_000_000
+        rows = lambda ids, key, times, what: pd.DataFrame({"id": pd.array(ids, "Int64"), "key": pd.array([key] * len(ids), "Int64"), "ts": pd.to_datetime(times, unit="us"), "what": what})
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            us, keys, kinds = _micros(pdf["ts"]), pdf["key"].to_numpy(), pdf["kind"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for a, b in zip(edges, [*edges[1:], len(keys)]):
+                if keys[a] != key:
+                    if saved is not None:
+                        yield rows([None], key, [saved + keep], ["evicted"])
+                    key, saved = keys[a], None
+                what, gone, saved = _answers(us[a:b], kinds[a:b], keep, saved)
+                yield rows([*pdf["id"].to_numpy()[a:b].tolist(), *[None] * len(gone)], key, [*us[a:b].tolist(), *gone], what + ["evicted"] * len(gone))
+        if saved is not None:
+            yield rows([None], key, [saved + keep], ["evicted"])
+
+    sorted_ = requests.where("id is not null").select("id", "key", "ts", "kind").repartition("key").sortWithinPartitions("key", "ts", "id")
+    return sorted_.mapInPandas(run, ANSWERS)
+
+
 def running_counts(audits: DataFrame, late: str = "1 day") -> DataFrame:
     """Audits by day and how many had performance data, as they come in."""
     days = audits.withWatermark("ts", late).groupBy(F.window("ts", "1 day"))

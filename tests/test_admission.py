@@ -69,3 +69,24 @@ def test_admission_goes_on_after_a_restart(spark, arrivals):
     assert got == want
     assert {k for _, k, _, _ in got} == set(range(12)) - {3}
     assert not any(a for _, k, _, a in got if k == 1) and sum(a for _, k, _, a in got if k == 7) <= 40 + 10 and any(r and not a for _, _, r, a in got)
+
+
+def test_reports_stand_and_go(spark, arrivals):
+    """Visible up to the last moment, gone after it; stream and batch give the same over files out of order."""
+    at = lambda s: BASE + datetime.timedelta(seconds=s)
+    keep = 600
+    rows = [(1, 5, at(0), 1), (2, 5, at(600), 0), (3, 5, at(600.25), 0), (4, 5, at(600.5), 1), (5, 5, at(700), 1), (6, 5, at(1201), 0), (7, 6, at(3), 0)]
+    schema = "id long, key long, ts timestamp, kind int"
+    batch = jobs.report_store_batch(spark.createDataFrame(rows, schema), keep).collect()
+    assert {r.id: r.what for r in batch if r.id} == {1: "saved", 2: "found", 3: "missing", 4: "saved", 5: "duplicate", 6: "missing", 7: "missing"}
+    assert sorted((r.key, r.ts.astimezone(datetime.timezone.utc)) for r in batch if r.id is None) == [(5, at(600)), (5, at(1200.5))]
+    assert jobs.report_store_batch(spark.createDataFrame([], schema), keep).collect() == []
+
+    lots = [[(i, k, t, (i or 0) * 7 % 5 // 4) for i, k, t in lot] for lot in arrivals]
+    path = shared_path(spark, "test-reports")
+    for lot in lots:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream(spark, path + "/", files=2).withWatermark("ts", f"{DELAY_S} seconds")
+    got = sorted(map(repr, jobs.drain(jobs.report_store(stream, keep)).collect()))
+    want = sorted(map(repr, jobs.report_store_batch(spark.createDataFrame([r for lot in lots for r in lot], schema), keep).collect()))
+    assert got == want and all(any(w in r for r in got) for w in ("saved", "duplicate", "found", "missing", "evicted"))
