@@ -10,6 +10,8 @@ of the pair matrix, so that an interval is sent once a tile, not once a pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,7 +108,7 @@ def _intervals(d: int, axes: np.ndarray):
     def run(batches):
         for t in groups(batches, "seq"):
             raw = _matrix(t.column("v").combine_chunks(), d)
-            x = _unit(raw)[0] @ axes[:, :BOX_AXES]
+            x = _unit(raw)[0] @ axes
             ids, copies = (np.ascontiguousarray(t.column(c).to_numpy()).tobytes() for c in ("id", "copies"))
             yield pa.RecordBatch.from_arrays([t.column("seq").combine_chunks()[:1], pa.array([ids], pa.binary()), pa.array([copies], pa.binary()), pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()), pa.array([x.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([x.max(axis=0).tolist()], pa.list_(pa.float64()))], ["seq", "ids", "copies", "vectors", "low", "high"])
 
@@ -141,7 +143,7 @@ def _tiles(batches, d: int, kind: str, axes: np.ndarray):
         parts = {}
         for r in t.select(["seq", "ids", "copies", "vectors"]).to_pylist():
             v = _unit(np.frombuffer(r["vectors"], kind).reshape(-1, d))[0]
-            parts[r["seq"]] = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), v, v @ axes[:, :BOX_AXES]
+            parts[r["seq"]] = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), v, v @ axes
         for p in t.column("wanted")[0].as_py():
             yield (p["a"], p["b"]), parts
 
@@ -196,26 +198,37 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     vector's links, ``component_id`` is the smallest vec_id reachable over links.
 
     - Equal arrays are joined as one vector that counts as often as it occurs, so copies aren't paired.
-    - A vector that is null, empty, zero, or holds a null or a number that isn't finite links with nothing, as does
-      one whose length isn't the table's most common; its component is itself, and it is kept.
+    - Vectors of each length are joined among themselves: a cosine of two lengths isn't defined. Each length is a pass of its own.
+    - A vector that is null, empty, zero, or holds a null or a number that isn't finite links with nothing; its component is itself, and it is kept.
     - Null vec_id: ``n_links`` 0, ``component_id`` null, kept. Rows that share a vec_id are one node
       with the links of all. Other columns are ignored. Empty in, empty out.
     """
-    spark = vectors.sparkSession
     kind = {"array<float>": "f4"}.get(vectors.select("embedding").dtypes[0][1], "f8")
     wide = "array<float>" if kind == "f4" else "array<double>"
     v = F.transform(F.col("embedding").cast(wide), lambda x: x + F.lit(0.0).cast(wide[6:-1]))  # -0.0 is 0.0
     vectors = vectors.select("vec_id", v.alias("v"))
-    eps = (2 - 2 * least) ** 0.5
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = stage(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "ego-classes")
-    common = classes.groupBy(F.size("v").alias("d")).agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
+    lengths = [r.d for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not lengths:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    d = common.d
-    alike = classes.where(F.size("v") == d)
-    axes = principal_axes(alike, d)
+    linked = reduce(DataFrame.unionByName, [_links(classes.where(F.size("v") == d), d, kind, wide, least) for d in lengths])
+
+    degree = linked.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    found = components(linked.where("b is not null").select("a", "b"))
+    per_class = classes.join(degree, "id", "left").join(found, "id", "left")
+    per_class = per_class.select(F.col("v").alias("same"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+    joined = vectors.join(per_class, (F.col("v") == F.col("same")) & F.col("vec_id").isNotNull(), "left")
+    component = F.coalesce("component", "vec_id")
+    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _links(alike: DataFrame, d: int, kind: str, wide: str, least: float) -> DataFrame:
+    """Of vectors of ``d`` numbers, staged: partners of each, ``(a, n)``, and links as a forest, ``(a, b)``."""
+    spark = alike.sparkSession
+    eps = (2 - 2 * least) ** 0.5
+    axes = principal_axes(alike, d)[:, :BOX_AXES]  # tasks get no more of them
     celled = alike.select("id", "copies", "v").mapInArrow(_cells(d, axes, eps), f"id long, copies long, v {wide}, cell binary")
     width = max(1, -(-celled.count() // (4 * INTERVAL)))
     ordered = celled.repartitionByRange(width, "cell", "id").sortWithinPartitions("cell", "id").select("id", "copies", "v")
@@ -253,12 +266,4 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     needed = F.array_distinct(F.flatten(F.transform("wanted", lambda p: F.array(p["a"], p["b"]))))
     joined = tiles.select("tile", "wanted", F.explode(needed).alias("seq")).join(leaves.select("seq", "ids", "copies", "vectors"), "seq")
     linked = joined.repartition("tile").sortWithinPartitions("tile", "seq").mapInArrow(_link(d, kind, axes, least, eps), "a long, n long, b long")
-    linked = stage(linked, "ego-links")
-
-    degree = linked.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    found = components(linked.where("b is not null").select("a", "b"))
-    per_class = classes.join(degree, "id", "left").join(found, "id", "left")
-    per_class = per_class.select(F.col("v").alias("same"), (F.coalesce("n", F.lit(0)) + F.when(F.size("v") == d, F.col("copies") - 1).otherwise(0)).alias("n"), F.coalesce("component", F.when(F.size("v") == d, F.col("id"))).alias("component"))
-    joined = vectors.join(per_class, (F.col("v") == F.col("same")) & F.col("vec_id").isNotNull(), "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return stage(linked, "ego-links")

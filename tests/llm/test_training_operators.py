@@ -145,6 +145,14 @@ def test_near_vectors(spark, monkeypatch, interval):
             assert (r.n_links, r.component_id) == (degree[r.vec_id], want[r.vec_id]), r
 
 
+def test_near_vectors_of_all_lengths(spark):
+    """Each length is joined among itself, however few there are; a cosine on the threshold counts."""
+    vectors = [[1.0, 0.0, 0.0]] * 3 + [[0.0, 1.0, 0.0]] * 2 + [[1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [5.0], [-5.0], [3.0], [0.8, 0.6, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]]
+    got = ego.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), 0.8).collect()
+    want = {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (1, 8), 9: (0, 9), 10: (1, 8), 11: (1, 11), 12: (1, 11)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def stats(text):
     w = WORDS.findall(text or "")
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
