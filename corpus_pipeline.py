@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.llm import minhash, mixing, pieces, quality, secrets
-from siteaudit.llm.common import small, stage
+from siteaudit.llm.common import numbered, small, spare, stage
 from siteaudit.llm.queries import digests, split_pattern, table, vocabulary
 
 
@@ -22,16 +22,34 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id, and one of the rows that repeat it.
 
-    Null and empty texts and null ids have no duplicates and stay; rows that share a doc_id but not the text are one document of several texts; other columns
-    stay, of rows that repeat those of any one; empty in, empty out. Only texts of doc_ids that repeat are shuffled beside those of near duplicates.
+    Null and empty texts and null ids have no duplicates and stay; rows that share a doc_id but not the text are documents of their own, none of which goes for what
+    another resembles; other columns stay, of rows that repeat those of any one; empty in, empty out. Only texts of doc_ids that repeat are shuffled beside those of near duplicates.
     """
-    gone = minhash.near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
-    sorts = stage(gone.select("doc_id", F.lit(False).alias("again")).unionByName(again).groupBy("doc_id").agg(F.min("again").alias("again")), "pipeline-sorts")  # false: goes
-    n = sorts.count()
-    rest = docs.join(small(sorts.select("doc_id"), n, 64), "doc_id", "left_anti")
-    firsts = docs.join(small(sorts.where("again").select("doc_id"), n, 64), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.select(*docs.columns).unionByName(firsts.select(*docs.columns))
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "pipeline-again")
+    n = again.count()
+    if n == 0:
+        gone = stage(minhash.near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id"), "pipeline-gone")
+        return docs.join(small(gone, gone.count(), 64), "doc_id", "left_anti").select(*docs.columns)
+    again = small(again, n, 64)
+    once = docs.join(again, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.join(again, "doc_id", "left_semi").select(*docs.columns)
+    # Each text of a doc_id that repeats is a document with a number that no doc_id has.
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    texts, n = numbered(twice.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("print"), F.col("text").isNull().alias("none")).distinct(), "pipeline-texts")
+    number = F.lit(high + 1) + F.col("index") if high < (1 << 63) - 1 - n else F.lit(low - 1) - F.col("index")
+    texts = stage(texts.select(F.col("doc_id").alias("own"), "print", "none", number.alias("number")), "pipeline-numbers")
+    firsts = twice.dropDuplicates(["doc_id", "text"])
+    same = (firsts["doc_id"] == texts["own"]) & (F.sha2(F.coalesce(firsts["text"], F.lit("")), 256) == texts["print"]) & (firsts["text"].isNull() == texts["none"])
+    new = spare(docs.columns, "number")
+    firsts = stage(firsts.join(texts, same).select(*[firsts[f"`{c}`"] for c in docs.columns], texts["number"].alias(new)), "pipeline-firsts")
+    every = once.select("doc_id", "text").unionByName(firsts.select(F.col(new).alias("doc_id"), "text"))
+    found = minhash.near_duplicates(every, shingle_words=5, percent=80).where("doc_id is not null").join(texts.select(F.col("number").alias("doc_id"), "own"), "doc_id", "left")
+    found = stage(found.select("doc_id", "component_id", F.coalesce("own", "doc_id").alias("own")), "pipeline-found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("first"))
+    gone = stage(found.join(stays, "component_id").where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id"), "pipeline-gone")
+    gone = small(gone, gone.count(), 64)
+    left = firsts.join(gone.select(F.col("doc_id").alias(new)), new, "left_anti")
+    return once.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
