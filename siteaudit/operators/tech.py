@@ -16,155 +16,16 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.suffixes import Sites, common_rules, sites_in_tasks
 
+from .tech_rules import AI_BUILDERS, ENTITIES, TECHNOLOGIES
+
 RULES = "rule int, name string, category string, confidence string, patterns array<string>, require_all boolean, tag_only boolean"
 #: Most rules that are sent to tasks; more raise.
 MOST_RULES = 5_000
 
-#: Technologies as category, name, patterns; a leading ~ matches within tags only, a leading & asks for all patterns.
-_CORE = """
-cms|~WordPress|generator" content="wordpress  /wp-content/  /wp-includes/  wp-json/wp/
-cms|~Drupal|drupal.js  /sites/default/files/  Drupal.settings
-cms|~Joomla|/media/jui/  joomla!  /components/com_
-builder|Wix|static.parastorage.com  wixstatic.com
-builder|Webflow|data-wf-page  webflow.js  assets.website-files.com
-builder|Squarespace|static.squarespace.com  squarespace-cdn.com
-ecommerce|Shopify|shopify-section  window.shopify  shopify.shop  cdn.shopify.com/s/files/  shopify_analytics.js  myshopify.com/cart
-ecommerce|WooCommerce|/wc-api/  wc_add_to_cart  wc-block  woocommerce-js
-ecommerce|BigCommerce|bigcommercecdn.com  cdn11.bigcommerce.com
-ecommerce|Magento|x-magento-init  mage/bootstrap  mage.cookies  mage-init
-framework|Next.js|_next/static  __NEXT_DATA__  /_next/
-framework|Nuxt.js|__nuxt  /_nuxt/  nuxt.js
-framework|~React|react.production.min.js  react.development.js  unpkg.com/react  cdn.jsdelivr.net/npm/react  /react@  /static/js/main.  /static/js/bundle.  /static/js/vendors~
-framework|React|data-reactroot  data-reactid  data-react-helmet  /@react-refresh  __reactFiber  react-dom
-framework|Vite|/@vite/client  vite/modulepreload-polyfill
-framework?|Vite|__vite__mapdeps  vite:preloaderror  /node_modules/.vite/
-framework|~Vue|vue.min.js  vue@
-framework|Vue|vue.runtime  __vue__
-framework|~Angular|angular.min.js
-framework|Angular|ng-version  angular/core
-framework|Svelte|__svelte  svelte/
-framework|Gatsby|___gatsby  gatsby-chunk
-framework|Remix|__remixContext  remix-run
-framework|Astro|astro-island  astro-slot
-analytics|Google Analytics 4|gtag/js?id=G-  gtag('config', 'G-  gtag("config", "G-
-analytics|Google Analytics (UA)|google-analytics.com/analytics.js  gtag('config', 'UA-  gtag("config", "UA-
-analytics|Google Tag Manager|googletagmanager.com/gtm.js  googletagmanager.com/ns.html
-analytics|Meta Pixel|connect.facebook.net/en_US/fbevents.js  fbq('init'  fbq("init"
-analytics|HubSpot|js.hs-scripts.com  js.hsforms.net  js.hscta.net
-analytics|Hotjar|static.hotjar.com  script.hotjar.com
-analytics|Intercom|widget.intercom.io  intercomSettings
-analytics|Segment|cdn.segment.com  segment.io/analytics
-analytics|Mixpanel|cdn.mxpnl.com  mixpanel.com/libs  mixpanel.init
-analytics|Klaviyo|static.klaviyo.com  klaviyo.com/media
-analytics|Salesforce|pardot.com  sfdcstatic.com  force.com/resource
-analytics|Zendesk|zdassets.com  zendeskcdn.com  static.zdassets.com
-ecommerce|Stripe|js.stripe.com  stripe-js
-analytics|Crisp Chat|client.crisp.chat  crisp.chat/js
-analytics|Tawk.to|embed.tawk.to  tawk_api
-cdn?|Cloudflare|__cf_bm  cloudflare.com/cdn-cgi  cloudflareinsights.com
-cdn|Amazon CloudFront|cloudfront.net
-cdn|Akamai|akamaihd.net  akamaized.net  edgesuite.net
-cdn|Fastly|fastly.net  fastlylb.net
-cdn|Vercel|vercel.app  _vercel
-cdn|Netlify|netlify.app  netlify.com/js
-cdn?|jsDelivr|cdn.jsdelivr.net
-framework|~Bootstrap|bootstrap.min.css  bootstrap.min.js  bootstrap@
-framework|~jQuery|jquery.min.js  jquery-  /jquery/
-framework?|Tailwind CSS|tailwindcss  cdn.tailwindcss.com
-framework|Alpine.js|alpinejs  cdn.jsdelivr.net/npm/alpinejs  x-cloak
-framework|HTMX|htmx.org  unpkg.com/htmx
-media|YouTube Embed|youtube.com/embed  youtube-nocookie.com/embed
-media|Vimeo Embed|player.vimeo.com/video  vimeo.com/video
-cms|Ghost|ghost.io/  ghost/core  ghost-sdk
-cms|HubSpot CMS|hubspot-web-interactives  hs-sites.com  hubspotusercontent.com
-cms|Contentful|contentful.com/  cdn.contentful.com
-cms|Sanity|sanity.io/  cdn.sanity.io
-cms|Strapi|strapi.io  /strapi/
-cms|Prismic|prismic.io  cdn.prismic.io
-cms|Storyblok|storyblok.com  a.storyblok.com
-cms|Typo3|typo3  typo3conf/  t3lib/
-cms|Craft CMS|craft-cms  craftcms.com  cpresources/
-cms|Umbraco|umbraco/  umbracoapi
-builder|Framer|framerusercontent.com  framer.com/m/  framer.website
-builder|Elementor|elementor/assets  elementor-widget  elementor-section
-builder|Divi|et-pb-section  et_pb_  divi/js/
-builder|Beaver Builder|fl-builder  fl-module  bb-plugin/
-builder|Bricks Builder|bricks-data-  bricksbuilder.io
-builder|Carrd|carrd.co  generator" content="carrd
-builder|Jimdo|jimdo.com/  jimdosite.com  jimdofree.com
-builder|Strikingly|strikingly.com  s.strikingly.com
-ecommerce|PrestaShop|prestashop  /modules/ps_  presta-
-ecommerce|OpenCart|catalog/view/theme  opencart.com  route=common/home
-ecommerce|Ecwid|app.ecwid.com  ecwid_script  ecwid.com/script.js
-ecommerce|Gumroad|gumroad.com/js/  assets.gumroad.com
-ecommerce|Snipcart|snipcart.nuxtjs.org  cdn.snipcart.com
-ecommerce|Paddle|paddle.com/js/  paddle.js  Paddle.Setup
-framework|SvelteKit|sveltekit  _app/immutable/  @sveltejs/kit
-framework|SolidJS|solid-js  solid.js  _solid
-framework|Qwik|qwik.js  qwikloader  @builder.io/qwik
-framework|Ember.js|ember.js  ember-source  ember-cli
-framework?|Preact|preact.min.js  preact/src  preact@
-framework|Lit|lit-element  lit-html  @lit/reactive
-analytics|LinkedIn Insight Tag|snap.licdn.com/li.lms-analytics  linkedin.com/px  linkedin insight
-analytics|TikTok Pixel|analytics.tiktok.com  tiktok pixel  ttq.load(
-analytics|Pinterest Tag|pintrk(  ct.pinterest.com  s.pinimg.com/ct/core.js
-analytics|Twitter / X Pixel|static.ads-twitter.com  twq('init'  twq("init"
-analytics|Amplitude|cdn.amplitude.com  amplitude.getInstance  amplitude.init
-analytics|PostHog|posthog.com/static  posthog.init(  app.posthog.com
-analytics|&Plausible|plausible.io/js/  data-domain
-analytics|Matomo|matomo.js  piwik.js  _paq.push
-analytics|Microsoft Clarity|clarity.ms/tag  microsoft clarity
-analytics|FullStory|fullstory.com/s/fs.js  FS.identify  fullstory.com
-analytics|Heap|heapanalytics.com  cdn.heapanalytics.com  heap.load
-analytics|Lucky Orange|luckyorange.com/v7/lt.js  luckyorange.net
-analytics|Tidio|code.tidio.co  tidio.co/track
-analytics|Drift|js.driftt.com  drift.load(  api.drift.com
-analytics|LiveChat|livechatinc.com  cdn.livechatinc.com
-analytics|Freshchat|wchat.freshchat.com  freshchat.com/js
-analytics|Smartsupp|smartsupp.com/loader.js  smartsupp.com
-analytics|Olark|static.olark.com  olark.identify
-ecommerce|PayPal|paypal.com/sdk/js  paypalobjects.com  paypal.Buttons
-ecommerce|Square|squareup.com/js/  square.js  payments.squareup.com
-ecommerce|Razorpay|checkout.razorpay.com  razorpay.open()
-analytics|OneTrust|cdn.cookielaw.org  onetrust  optanon
-analytics|Cookiebot|consent.cookiebot.com  cookiebot.com/
-analytics|CookieYes|cdn-cookieyes.com  cookieyes.com
-analytics|Typeform|typeform.com/to/  embed.typeform.com
-analytics|JotForm|jotform.com/s/  jotformpro.com
-analytics|Gravity Forms|gravityforms  gform_wrapper
-analytics|Sentry|browser.sentry-cdn.com  sentry.io/api/  Sentry.init
-analytics|LogRocket|cdn.logrocket.io  logrocket.init(
-framework|Auth0|auth0.com/js/  auth0-js  cdn.auth0.com
-framework|Clerk|clerk.browser.js  clerk.dev/npm/@clerk  accounts.dev
-framework|Supabase|supabase.co/auth  supabase.js  @supabase/supabase-js
-framework|Firebase|firebase.googleapis.com  firebaseapp.com  __firebase_
-media|Google Maps|maps.googleapis.com  maps.google.com/maps  google.com/maps/embed
-media|Mapbox|api.mapbox.com  mapbox-gl.js
-media|Spotify Embed|open.spotify.com/embed  spotify.com/embed
-media|SoundCloud Embed|w.soundcloud.com/player  soundcloud.com/player
-media|Lottie|lottiefiles.com  lottie-player  lottie.js  bodymovin.js
-media|Twitch Embed|player.twitch.tv  embed.twitch.tv
-cdn|Replit|.replit.app  .repl.co
-cdn?|GitHub Pages|.github.io/
-cdn?|Render|.onrender.com
-cdn|Cloudflare Pages|pages.cloudflare.com  pages.dev
-cdn|Supabase Storage|supabase.co/storage/
-cdn?|AWS S3|s3.amazonaws.com  s3-website
-analytics|Mailchimp|chimpstatic.com  mailchimp.com/  list-manage.com
-analytics|ConvertKit|convertkit.com/  convertkit-form
-analytics|ActiveCampaign|activehosted.com  activecampaign.com/acton
-analytics|Brevo|sibautomation.com  sendinblue.com  brevo.com
-analytics|Mailerlite|assets.mailerlite.com  mailerlite.com/js
-"""
-
 
 def rule_rows() -> list[tuple]:
-    """The built-in rules in the order of ``RULES``; a category with ? is of medium confidence at most."""
-    rows = []
-    for n, line in enumerate(filter(None, _CORE.splitlines()), 1):
-        category, name, patterns = line.split("|", 2)
-        rows.append((n, name.lstrip("~&"), category.rstrip("?"), "medium" if category.endswith("?") else "high", patterns.split("  "), name[0] == "&", name[0] == "~"))
-    return rows
+    """The built-in rules in the order of ``RULES``."""
+    return [(n, t.name, t.category, t.confidence, list(t.patterns), t.require_all, t.tag_only) for n, t in enumerate(TECHNOLOGIES, 1)]
 
 
 def core_rules(spark: SparkSession) -> DataFrame:
@@ -310,37 +171,14 @@ def tech_stack(scores: DataFrame) -> DataFrame:
     return best.withColumn("shown", F.row_number().over(page.orderBy(place("category", SHOWN), place("confidence", ("high", "medium", "low")), "first_rule"))).drop("first_rule")
 
 
-#: Site builders with AI, in order, and markers without a builder.
-AI_BUILDERS = """
-Framer|framerusercontent.com  framer.com/m/  framer.website  "generator" content="framer
-Replit|.replit.app  .repl.co  replit.com/@  generator" content="replit
-Durable|durable.co  durable.site  generator" content="durable
-10Web|10web.io  generator" content="10web
-Hostinger Website Builder|hostingersite.com  zyrosite.com  generator" content="zyro
-Jimdo|jimdo.com/  jimdosite.com  jimdofree.com
-B12|b12.io  b12sites.com
-Dorik|dorik.com  dorik.io
-Typedream|typedream.app  typedream.com/fonts
-GoDaddy Website Builder|godaddysites.com
-Unbounce|unbouncepages.com  unbounce.com/js/
-Leadpages|leadpages.co  leadpages.net/
-Carrd|carrd.co  generator" content="carrd
-Strikingly|strikingly.com  s.strikingly.com
-Ucraft|ucraft.com  ucraft.net
-Hocoos|hocoos.com
-Bolt (StackBlitz)|bolt.new  stackblitz.io  webcontainer.io
-v0 (Vercel)|v0.dev/chat  generator" content="v0
-Lovable|lovable.app  lovable.dev  generator" content="lovable
-Cursor|generator" content="cursor
-Windsurf|generator" content="windsurf
-"""
+#: Markers of AI without a builder.
 AI_MARKERS = ('generator" content="ai', "ai-generated", "generated by ai", "created with ai", "powered by ai")
 
 
 def ai_builder(df: DataFrame) -> DataFrame:
     """``ai``: the first builder whose pattern the page holds (high), else all general markers it holds (medium)."""
     lower = F.col("lower")
-    named = [F.when(lower.contains(p), F.struct(F.lit(name).alias("builder"), F.lit(p).alias("signal"))) for name, patterns in (x.split("|") for x in AI_BUILDERS.split("\n") if x) for p in patterns.split("  ")]
+    named = [F.when(lower.contains(p), F.struct(F.lit(name).alias("builder"), F.lit(p).alias("signal"))) for name, patterns in AI_BUILDERS for p in patterns]
     df = df.withColumn("_builder", F.coalesce(*named)).withColumn("_marks", F.array_compact(F.array(*[F.when(lower.contains(m), m) for m in AI_MARKERS])))
     some = F.col("_builder").isNotNull()
     level = F.when(some, "high").when(F.size("_marks") > 0, "medium").otherwise("")
@@ -348,21 +186,9 @@ def ai_builder(df: DataFrame) -> DataFrame:
     return df.withColumn("ai", F.struct((level != "").alias("is_ai_built"), level.alias("confidence"), F.coalesce("_builder.builder", F.lit("")).alias("builder"), signals.alias("signals"))).drop("_builder", "_marks")
 
 
-#: Names of third parties that are named otherwise here, by category; give a larger table as a parameter.
-_ENTITIES = """
-analytics|Google Analytics|Google/Doubleclick Ads=Google Ads|Google Tag Manager|Hotjar|Mixpanel|Segment|Amplitude|Heap=Heap Analytics|FullStory|Chartbeat|Cxense|Scorecard Research|New Relic|Datadog=Datadog RUM|Sentry|LogRocket|Quantcast|HubSpot|Klaviyo|Marketo|Salesforce|Pardot|Mailchimp|Intercom|Drift|Optimizely|VWO|Crazy Egg|Wunderkind|Iterable|Braze|OneTrust|Meta Pixel|Facebook=Meta|Twitter=X (Twitter)|LinkedIn=LinkedIn Insight|TikTok=TikTok Pixel|Pinterest=Pinterest Tag|Amazon Ads|Criteo|Pubmatic=PubMatic|Index Exchange|Rubicon Project|OpenX|Integral Ad Science|GumGum|Conversant|Innovid|Zendesk|Freshdesk|Tawk.to|Crisp|LiveChat
-ecommerce|Stripe|PayPal|Klarna|Affirm|Afterpay|Adyen|Square|Recurly|piano=Piano|Piano|Shopify
-cdn|Cloudflare|Akamai|Fastly|Amazon Web Services=AWS|Amazon CloudFront=CloudFront|Vercel|Netlify|JSDelivr CDN=jsDelivr|jsDelivr|Unpkg=unpkg|Bunny CDN=Bunny.net|BunnyCDN=Bunny.net|KeyCDN
-media|Google Fonts|Adobe Fonts=Adobe Fonts (Typekit)|Typekit=Adobe Fonts (Typekit)|YouTube|Vimeo|Wistia|Cloudinary|Imgix=imgix|Spotify
-builder|Squarespace|Wix|Webflow
-cms|WordPress
-"""
-
-
 def core_entities(spark: SparkSession) -> DataFrame:
     """``entity, name, category``."""
-    rows = [(x.partition("=")[0], x.partition("=")[2] or x, line.split("|")[0]) for line in _ENTITIES.split("\n") if line for x in line.split("|")[1:]]
-    return spark.createDataFrame(rows, "entity string, name string, category string")
+    return spark.createDataFrame(list(ENTITIES), "entity string, name string, category string")
 
 
 def merge_third_parties(stack: DataFrame, parties: DataFrame, entities: DataFrame) -> DataFrame:

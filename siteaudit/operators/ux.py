@@ -19,12 +19,13 @@ COOKIE_BANNER = (
     "cookieconsent", "cookie-consent", "cookie-notice", "cookie-banner", "onetrust", "cookiebot", "cc-window", "gdpr-cookie", "cookie-law", "cookie_consent", "cookie-accept", "js-cookie", "cookie-popup",
     "we use cookies", "accept cookies", "cookie preferences",
 )
-#: Chat services and widgets; markers that contain another of the list are left out.
+#: Chat services and widgets.
 LIVE_CHAT = (
-    "crisp.chat", "$crisp", "intercom", "driftt.com", "drift.com/", "tawk.to", "tawk_api", "tidio", "freshchat", "freshdesk", "freshworks", "zopim", "zendesk", "zdassets.com", "livechat.com", "livechatinc",
-    "helpscout", "beacon-v2", "olark", "smartsupp", "js.hs-scripts.com", "hubspot", "chatwoot", "getgist.com", "salesiq.zoho.com", "zoho.com/salesiq", "liveagent", "reamaze", "podium.com", "qualified.com",
-    "chatra.io", "userlike.com", "purechat.com", "snapengage", "comm100", "kayako", "chat-widget", "chat_widget", "livechat-widget", "chat-bubble", "chatbubble", "chat-launcher", "__lc", "lc_chat", "lc2",
-    "chatbot", "chat-bot", "chat_bot", "openchat", "open-chat", "showchat",
+    "crisp.chat", "client.crisp.chat", "$crisp", "intercom", "widget.intercom.io", "intercomcdn", "js.driftt.com", "drift.com/", "driftt.com", "tawk.to", "tawk_api", "embed.tawk.to", "tidio", "code.tidio.co",
+    "freshchat", "wchat.freshchat.com", "freshdesk", "freshworks", "zopim", "zendesk", "zdassets.com", "livechat.com", "cdn.livechatinc.com", "livechatinc", "helpscout", "beacon-v2", "beacon.helpscout", "olark", "smartsupp",
+    "js.hs-scripts.com", "hubspot", "chatwoot", "getgist.com", "salesiq.zoho.com", "zoho.com/salesiq", "liveagent", "reamaze", "podium.com", "qualified.com", "chatra.io", "userlike.com", "purechat.com", "snapengage", "comm100", "kayako",
+    "chat-widget", "chat_widget", "livechat-widget", "chat-bubble", "chatbubble", "chat-launcher", "__lc", "lc_chat", "lc2", "chatbot", "chat-bot", "chat_bot", "togglechatbot", "chatbot-frame", "chatbot-container", "chatbot-button",
+    "chatbot-toggle", "chatbot-icon", "openchat", "open-chat", "showchat",
 )
 VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "wistia.com", "loom.com")
 #: Characters around the first e-mail input in which a newsletter keyword counts.

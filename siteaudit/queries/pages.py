@@ -627,6 +627,37 @@ def t3_tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_of(spark, sf_dir).select("page_id", "name", "category", "score", "confidence", "found", "shown")
 
 
+#: Matches of 23 rules with 17 names, four patterns each, by user: every mix of evidence, origin and prior.
+_MATCHES = """SELECT DISTINCT user_id AS page_id, CAST(1 + event_id % 23 AS INT) AS rule, concat('T', CAST((1 + event_id % 23) % 17 AS STRING)) AS name,
+  CASE event_id % 23 % 4 WHEN 0 THEN 'cms' WHEN 1 THEN 'framework' WHEN 2 THEN 'analytics' ELSE 'cdn' END AS category, CASE event_id % 23 % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, 4 AS n_patterns,
+  event_id % 23 % 5 = 0 AS require_all, concat('p', CAST(event_id % 4 AS STRING)) AS pattern, 'x' AS match, CASE event_id % 4 WHEN 0 THEN 'explicit' WHEN 1 THEN 'weak' ELSE 'indirect' END AS evidence_type,
+  CAST(CASE event_id % 4 WHEN 0 THEN 92 WHEN 1 THEN 24 ELSE 55 END AS INT) AS strength, CASE (user_id + event_id % 23 + event_id % 4) % 3 WHEN 0 THEN 'first-party' WHEN 1 THEN 'third-party' ELSE 'unknown' END AS source FROM events"""
+_SCORES = f"""m AS ({_MATCHES.replace("AS STRING", "AS VARCHAR").replace("AS INT)", "AS INTEGER)")}),
+g AS (SELECT page_id, rule, name, category, confidence AS prior, n_patterns, require_all, count(*) AS n, max(strength) AS top, sum(strength) AS total, count(*) FILTER (WHERE evidence_type = 'explicit') AS strong,
+  count(*) FILTER (WHERE source = 'first-party') AS own, count(*) FILTER (WHERE source = 'third-party') AS other FROM m GROUP BY ALL),
+a AS (SELECT *, category IN ('cms', 'framework') AS built, CAST(floor((0.7::DOUBLE * top + 0.3::DOUBLE * (total // n)) * 0.75::DOUBLE + n / n_patterns::DOUBLE * 25.0::DOUBLE) AS BIGINT) + CASE WHEN require_all THEN 4 ELSE 0 END + CASE WHEN n > 1 THEN 3 ELSE 0 END
+  + CASE prior WHEN 'high' THEN 3 WHEN 'low' THEN -3 ELSE 0 END AS s0 FROM g),
+b AS (SELECT *, s0 + CASE WHEN built AND own > 0 THEN 8 ELSE 0 END - CASE WHEN built AND other = n THEN 18 ELSE 0 END AS s1 FROM a),
+c AS (SELECT *, greatest(0, least(100, s1, CASE WHEN built AND strong = 0 OR prior = 'medium' THEN 69 ELSE 1000 END, CASE WHEN category = 'cms' AND n = 1 AND other = 1 OR prior = 'low' THEN 39 ELSE 1000 END)) AS score FROM b),
+d AS (SELECT *, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS label FROM c)"""
+
+
+def matches_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_MATCHES.replace("FROM events", "FROM {events}"), events=t.table(spark, sf_dir, "events"))
+
+
+@query(f"WITH {_SCORES} SELECT page_id, rule, name, category, CAST(score AS INTEGER) AS score, label AS confidence FROM d")
+def t2_scores_of_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tech.tech_scores(matches_of(spark, sf_dir)).drop("signals")
+
+
+@query(f"""WITH {_SCORES}, e AS (SELECT *, min(rule) OVER (PARTITION BY page_id, name) AS first_rule, row_number() OVER (PARTITION BY page_id, name ORDER BY score DESC, rule) AS rn FROM d)
+SELECT page_id, name, category, CAST(score AS INTEGER) AS score, label AS confidence, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_rule) AS INTEGER) AS found,
+  CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE category WHEN 'cms' THEN 1 WHEN 'framework' THEN 4 WHEN 'analytics' THEN 5 ELSE 6 END, CASE label WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, first_rule) AS INTEGER) AS shown FROM e WHERE rn = 1""")
+def t3_stack_of_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tech.tech_stack(tech.tech_scores(matches_of(spark, sf_dir))).select("page_id", "name", "category", "score", "confidence", "found", "shown")
+
+
 @query("""SELECT page_id, page_id % 5 < 3 AS is_ai_built, CASE page_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE '' END AS confidence, CASE page_id % 5 WHEN 0 THEN 'Framer' WHEN 1 THEN 'Lovable' ELSE '' END AS builder,
   CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_signals FROM pages""")
 def t4_ai_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
