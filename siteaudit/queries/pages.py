@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.functions.suffixes import common_rules, common_suffixes, with_sites
-from siteaudit.operators import extract, insights, seo, tech, ux
+from siteaudit.operators import extract, insights, rollups, seo, tech, ux
 from siteaudit.operators.tokens import attr, pick, prepared, tokenize, values, visible_text
 from siteaudit.plans import audit
 from siteaudit.sources import pages as crawl_source
 from siteaudit.sources import payloads
 from siteaudit.sources import tables as t
 from siteaudit.sources.pages import SQL_CRAWL, classify_fetch, crawl, load_pages
-from siteaudit.sources.staging import staged
+from siteaudit.sources.staging import shared_path, staged
 
 from .registry import ORACLES, query
 
@@ -601,19 +601,19 @@ def _host(concat) -> str:
     return f"CASE page_id % {len(_HOSTS) + 1} {cases} ELSE regexp_extract(url, '://([^/:?#]*)', 1) END"
 
 
-_HOST = _host(lambda parts: " || (page_id % 3) || ".join(f"'{x}'" for x in parts))
+_SITE_HOST = _host(lambda parts: " || (page_id % 3) || ".join(f"'{x}'" for x in parts))
 
 
 def _sql_suffixes() -> str:
     return "suffixes(key, kind) AS (VALUES " + ", ".join(f"('{key}', '{kind}')" for key, kind in common_rules()) + ")"
 
 
-@query(f"""WITH {_sql_suffixes()}, x AS (SELECT page_id, {_HOST} AS host FROM pages), h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM x),
+@query(f"""WITH {_sql_suffixes()}, x AS (SELECT page_id, {_SITE_HOST} AS host FROM pages), h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM x),
 c AS (SELECT host, l, k, array_to_string(l[len(l) - k + 1:], '.') AS key FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM h)),
 f AS (SELECT host, any_value(l) AS l, max(CASE WHEN kind = 'exception' THEN k - 1 END) AS excepted, max(CASE WHEN kind = 'name' THEN k WHEN kind = 'wildcard' AND k < len(l) THEN k + 1 END) AS n FROM c LEFT JOIN suffixes USING (key) GROUP BY host)
 SELECT page_id, host, CASE WHEN list_contains(l, '') OR len(l) <= coalesce(excepted, n, 1) THEN host ELSE array_to_string(l[len(l) - coalesce(excepted, n, 1):], '.') END AS site FROM x JOIN f USING (host)""")
 def t1_site_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = t.table(spark, sf_dir, "pages").select("page_id", F.expr(_HOST).alias("host"))
+    hosts = t.table(spark, sf_dir, "pages").select("page_id", F.expr(_SITE_HOST).alias("host"))
     return with_sites(hosts, "host", common_suffixes(spark))
 
 
@@ -682,6 +682,38 @@ def t6_tech_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech.tech_adoption(stack_of(spark, sf_dir)).select("category", "name", F.col("level").cast("long").alias("level"), "pages")
 
 
+#: Two crawls that overlap.
+_CRAWLS = {"first": "page_id % 3 <> 0", "second": "page_id % 2 = 0"}
+_BOTH = "(SELECT 1 AS crawl UNION ALL SELECT 2) c WHERE (crawl = 1 AND page_id % 3 <> 0 OR crawl = 2 AND page_id % 2 = 0)"
+
+
+def of_crawls(rows: DataFrame, dims: list[str], cube: bool = False, sums: tuple = ()) -> DataFrame:
+    """Partial results of two crawls, published one after the other and the first once more, rolled up together."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "rollups")
+    for name in (*_CRAWLS, "first"):
+        rollups.publish(rollups.partials(rows.where(_CRAWLS[name]), dims, sums=sums), path, name)
+    return rollups.rolled(rollups.published(spark, path), dims, cube).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"""WITH {SQL_TOKENS}, {SQL_SEO}, {SQL_LONG}, {SQL_SCORE}, h AS (SELECT page_id, {_HOST.format('url')} AS host, floor(p * 100.0 / n + 0.5) AS score FROM score)
+SELECT host, CAST(grouping(host) AS BIGINT) AS level, count(*) AS n, count(DISTINCT page_id) AS pages, round(avg(score), 6) AS mean_score FROM h, {_BOTH} GROUP BY ROLLUP (host)""")
+def c15_rollup_of_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = seo.seo_score(seo.seo_checks(base(spark, sf_dir))).select("page_id", extract.host(F.col("url")).alias("host"), F.col("seo_score.score").alias("score"))
+    out = of_crawls(scored, ["host"], sums=("score",))
+    return out.select("host", "level", "n", "pages", F.round(F.col("sum_score") / F.col("n"), 6).alias("mean_score"))
+
+
+@query(f"WITH {_TECH} SELECT category, name, CAST(grouping(category, name) AS BIGINT) AS level, count(*) AS n, count(DISTINCT page_id) AS pages FROM x, {_BOTH} GROUP BY ROLLUP (category, name)")
+def t6_rollup_of_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_crawls(stack_of(spark, sf_dir), ["category", "name"])
+
+
+@query(f"""WITH {SQL_FIXES} SELECT f.category AS category, f.priority AS priority, CAST(grouping(f.category, f.priority) AS BIGINT) AS level, count(*) AS n, count(DISTINCT page_id) AS pages FROM fixes, {_BOTH} GROUP BY CUBE (f.category, f.priority)""")
+def i16_rollup_of_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixes = staged(audited(spark, sf_dir).select("page_id", F.explode("fixes").alias("f")).select("page_id", "f.category", "f.priority"), "fixes")
+    return of_crawls(fixes, ["category", "priority"], cube=True)
+
+
 def _rate(metric: str, x: str) -> str:
     good, fair = tech.VITALS[metric]
     return f"CASE WHEN {x} < {good} THEN 'good' WHEN {x} < {fair} THEN 'needs-improvement' ELSE 'poor' END AS {metric}"
