@@ -13,6 +13,7 @@ from siteaudit.sources import pages as crawl_source
 from siteaudit.sources import payloads
 from siteaudit.sources import tables as t
 from siteaudit.sources.pages import SQL_CRAWL, classify_fetch, crawl, load_pages
+from siteaudit.sources.reports import format_report
 from siteaudit.sources.staging import shared_path, staged
 
 from .registry import ORACLES, query
@@ -568,7 +569,7 @@ def s4_audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def s7_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.format_report(audited(spark, sf_dir)).select("page_id", "report")
+    return format_report(audited(spark, sf_dir), moment()).select("page_id", "report")
 
 
 def _sql_rules() -> str:

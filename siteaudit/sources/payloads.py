@@ -91,22 +91,3 @@ def export_users_csv(users: DataFrame, path: str) -> None:
     """Users as CSV with a header, one file for each task."""
     columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in users.dtypes]
     users.select(*columns).write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
-
-
-def format_report(df: DataFrame) -> DataFrame:
-    """``report``: a plain-text report of an audited page, for ``write.text``."""
-    rule = F.lit("-" * 60)
-    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
-    line = lambda label, value: F.concat(F.rpad(F.lit(f"  {label}:"), 22, " "), F.coalesce(value.cast("string"), F.lit("-")))
-    bullets = lambda items: F.when(F.size(items) == 0, "  none").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("  - "), x)), "\n"))
-    parts = [
-        F.lit("PAGE AUDIT"), rule, line("address", F.col("url")), line("impression", F.concat(F.col("impression.score").cast("string"), F.lit("/10, "), F.col("impression.label"))), rule,
-        F.lit("OVERVIEW"), line("title", F.col("title")), line("description", F.col("overview.description")), line("language", F.col("overview.language")), line("weight", F.col("overview.load_hint")), rule,
-        F.lit("KIND OF SITE"), line("intent", F.col("intent.label")), line("opportunity", F.col("opportunity")), line("positioning", F.col("positioning")), rule,
-        F.lit("SEARCH CHECKS"), F.array_join(F.transform("seo", lambda c: F.concat(F.lit("  ["), F.rpad(F.upper(c["status"]), 7, " "), F.lit("] "), c["id"])), "\n"), rule,
-        F.lit("CONVERSION"), *[line(k, F.col(f"conversion.{k}")) for k in ("overall", "clarity", "trust", "cta", "friction")], rule,
-        F.lit("SIGNALS"), *[line(k.replace("_", " "), yes(f"ux.{k}")) for k in ("has_cta", "has_forms", "social_proof", "trust_signals", "contact_info", "mobile_ready", "cookie_banner", "live_chat", "video", "newsletter", "privacy_policy")], rule,
-        F.lit("ISSUES"), bullets(F.transform("issues", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["id"]))), rule,
-        F.lit("WEAK POINTS"), bullets(F.col("weak_points")), rule, F.lit("RECOMMENDATIONS"), bullets(F.col("recommendations")), rule, F.lit("FINDINGS"), bullets(F.col("findings")),
-    ]
-    return df.withColumn("report", F.concat_ws("\n", *parts))

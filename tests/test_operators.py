@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siteaudit.sources.reports import format_report
 from siteaudit.functions.addresses import address_key, is_private_ip
 from siteaudit.operators import auditlog, extract, insights, seo, tech, ux
 from siteaudit.operators.tokens import prepared, tokenize
@@ -186,7 +187,7 @@ def test_audit(spark):
     assert b.fixes[0].id == "no-cta" and b.intent.category == "general" and b.opportunity == "https" and len(b.findings) == 8
     assert len(a.weak_points) == len(a.recommendations) and all(a.recommendations)
     assert all(0 <= x <= 100 for r in got.values() for x in (*r.scores[:3], *r.conversion[:5]))
-    text = payloads.format_report(audit_pages(df, F.lit("2024-01-01").cast("timestamp"), tech.core_rules(spark))).select("report").first()[0]
+    text = format_report(audit_pages(df, F.lit("2024-01-01").cast("timestamp"), tech.core_rules(spark))).select("report").first()[0]
     assert all(s in text for s in ("OVERVIEW", "SEARCH CHECKS", "CONVERSION", "ISSUES", "WEAK POINTS"))
 
 
