@@ -96,7 +96,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
 
     Kinds ``assign``, ``access`` and ``hex`` are the patterns' matches; ``token`` are strings of 20 characters or more with at most
     ``efficiency`` characters for each token of the vocabulary in ``ranks`` (a tiktoken file, read by the driver and sent to the tasks: about
-    1 MB), unless they are digests or identifiers. A null or empty text has none. Rows are scanned whole and on their own:
+    1 MB), unless they are digests or identifiers, or hold only one of digits, capitals (but the first letter) and small letters, as long words and numbers do. A null or empty text has none. Rows are scanned whole and on their own:
     repeated rows, null ids and other columns make no difference; a column called secrets is replaced.
     """
     with open(ranks, "rb") as f:
