@@ -168,7 +168,7 @@ def _family(name: Column, weights: Column, source) -> Column:
 def _service_families(href: Column, source: str) -> Column:
     """Families that a font service's address asks for: ``family=Name:axes@weights``, or one with several names between bars."""
     asked = F.filter(F.split(F.regexp_extract(href, r"^[^?#]*\?([^#]*)", 1), "&"), lambda q: q.startswith("family="))
-    plain = F.transform(asked, lambda q: F.coalesce(F.try_url_decode(F.substring(q, 8, 10_000)), F.substring(q, 8, 10_000)))
+    plain = F.transform(asked, lambda q: F.coalesce(F.try_url_decode(F.substr(q, F.lit(8))), F.substr(q, F.lit(8))))
     plain = F.when(F.size(plain) == 1, F.split(F.get(plain, F.lit(0)), r"\|")).otherwise(plain)
     name = lambda f: F.replace(F.trim(F.regexp_extract(f, "^[^:]*", 0)), F.lit("+"), F.lit(" "))
     axes = lambda f: F.regexp_replace(F.regexp_extract(f, "^[^:]*:(.*)$", 1), "^[^@]*@", "")

@@ -36,7 +36,7 @@ _ADMITTED = f"WITH RECURSIVE {_windows('events')} SELECT id, key, n <= 2 AS admi
 DELAY_S = 2 * 86_400
 
 
-def scattered(requests_: DataFrame, lots: int = 5) -> str:
+def scattered(requests_: DataFrame, lots: int = 3) -> str:
     """``requests_(id, key, ts, ...)`` as files written one after another, each request up to ``DELAY_S`` later than its time, so that files overlap and rows within them have no order. The last file holds one row without an id, long after all others."""
     spark = requests_.sparkSession
     path, all_of = shared_path(spark, "arrivals"), shared_path(spark, "lots")
