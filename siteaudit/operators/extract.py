@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .page_marks import ACTION, COMPARISON, STEP_LIST, VIDEO_MARKS, holds, with_marks
 from .tokens import SPACE, attr, contains_any, first_filled, last, pick, values
 
 
@@ -32,10 +33,9 @@ def overview(df: DataFrame) -> DataFrame:
     return df.withColumn("overview", F.struct("title", first_filled(values(described, "content")).alias("description"), first_filled(values(icons, "href")).alias("favicon"), language.alias("language"), weight.alias("load_hint")))
 
 
-#: Where fonts and videos come from.
+#: Where fonts come from.
 FONT_HOSTS = ("fonts.googleapis.com", "fonts.bunny.net", "use.typekit.net", "use.fontawesome.com", "fonts.apple.com")
 FONT_SCRIPTS = ("kit.fontawesome.com", "use.fontawesome.com")
-VIDEO_MARKS = ("<video", "youtube.com/embed", "youtube-nocookie.com/embed", "player.vimeo.com", "fast.wistia.com")
 
 
 def _script_bodies() -> Column:
@@ -46,7 +46,7 @@ def _script_bodies() -> Column:
 
 def page_stats(df: DataFrame) -> DataFrame:
     """``stats``: 15 counters. A script counts if it has a src or a body; one in the head blocks rendering unless defer or async has a value."""
-    df = df.withColumn("_bodies", _script_bodies()).withColumn("_scripts", pick("script"))
+    df = with_marks(df).withColumn("_bodies", _script_bodies()).withColumn("_scripts", pick("script"))
     filled = F.filter("_scripts", lambda t, i: (attr(t, "src") != "") | F.coalesce(F.get("_bodies", i), F.lit(False)))
     df = df.withColumn("_scripts", filled)
     links = F.col("links")
@@ -64,7 +64,7 @@ def page_stats(df: DataFrame) -> DataFrame:
         "words": words, "images": F.size(pick("img")), "lazy_images": F.size(pick("img", lambda t: F.lower(attr(t, "loading")) == "lazy")), "scripts": F.size("_scripts"),
         "render_blocking": F.size(F.filter("_scripts", lambda t: t["in_head"] & (attr(t, "defer") == "") & (attr(t, "async") == ""))),
         "stylesheets": F.size(pick("link", lambda t: F.lower(attr(t, "rel")) == "stylesheet")), "fonts": F.when(fonts == 0, F.least(F.lit(10), faces)).otherwise(fonts),
-        "videos": F.when(videos > 0, videos).otherwise(contains_any(F.col("lower"), VIDEO_MARKS).cast("int")), "h1": F.size(pick("h1")), "h2": F.size(pick("h2")), "h3": F.size(pick("h3")),
+        "videos": F.when(videos > 0, videos).otherwise(holds(*VIDEO_MARKS).cast("int")), "h1": F.size(pick("h1")), "h2": F.size(pick("h2")), "h3": F.size(pick("h3")),
         "internal_links": kind("internal"), "external_links": kind("external"), "inline_styles": F.size(F.filter("tags", lambda t: attr(t, "style") != "")), "content_ratio": ratio,
     }
     return df.withColumn("stats", F.struct(*[v.cast("int").alias(k) for k, v in stats.items()])).drop("_bodies", "_scripts")
@@ -319,13 +319,13 @@ CLAIMS = {
 
 def intent_alignment(df: DataFrame) -> DataFrame:
     """``intent_match``: the claims of title and description, whether the page bears each out, and the share that it does (100 without claims)."""
-    claim, text, lower = F.lower(F.concat("title", F.lit(" "), "description")), F.col("text"), F.col("lower")
+    claim, text = F.lower(F.concat("title", F.lit(" "), "description")), F.col("text")
     borne = {
-        "pricing": text.rlike(_PRICE), "comparison": contains_any(lower, ("<table", "vs.", " vs ", "compared to", "alternative")), "reviews": text.rlike(_STARS),
-        "guide": text.rlike(_STEPS) | lower.contains("<ol"), "free": F.lower(text).contains("free"), "action": contains_any(lower, ("<form", "<button")),
+        "pricing": text.rlike(_PRICE), "comparison": holds(*COMPARISON), "reviews": text.rlike(_STARS),
+        "guide": text.rlike(_STEPS) | holds(*STEP_LIST), "free": F.lower(text).contains("free"), "action": holds(*ACTION),
     }
     checks = F.array_compact(F.array(*[F.when(contains_any(claim, words), F.struct(F.lit(k).alias("claim"), borne[k].alias("found"))) for k, words in CLAIMS.items()]))
-    df = df.withColumn("_checks", checks)
+    df = with_marks(df).withColumn("_checks", checks)
     score = F.when(F.size("_checks") == 0, 100).otherwise(F.floor(F.size(F.filter("_checks", lambda c: c["found"])) * 100 / F.size("_checks")))
     return df.withColumn("intent_match", F.struct(score.cast("int").alias("score"), F.col("_checks").alias("checks"))).drop("_checks")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .page_marks import PHRASES, holds, with_marks
 from .tokens import contains_any
 
 
@@ -41,20 +42,7 @@ def _has_tech(category: str) -> Column:
     return F.array_contains("tech_categories", category)
 
 
-#: What pages of a kind say, anywhere; and what their titles or descriptions do.
-PHRASES = {
-    "cart": ("add to cart", "add to bag", "remove from cart"), "checkout": ("proceed to checkout", "go to checkout", "view cart", "shopping cart"), "purchase": ("buy now", "shop now", "order now"),
-    "fulfilment": ("free shipping", "ships in", "in stock", "out of stock", "add to wishlist"), "trial": ("free trial", "start your free trial", "try for free", "14-day", "30-day trial"),
-    "subscription": ("per month", "per user", "per seat", "billed annually", "monthly plan", "annual plan"), "signup": ("sign up free", "create your account", "start for free"),
-    "app": ("dashboard", "workspace", "integrations", "api access"), "person": ("i'm a ", "i am a ", "my name is", "hire me", "available for"),
-    "creative": ("designer", "developer", "photographer", "illustrator", "freelancer", "creative"), "work": ("case study", "case studies", "my projects", "selected work", "recent work"),
-    "published": ("posted on", "published on", "published:", "written by", "author:", "by the editors"), "dated": ("<time", "datetime=", "article:published_time"),
-    "replies": ("comments (", "leave a comment", "reply to", "subscribe to our newsletter"), "posts": ("next post", "previous post", "related articles", "more from this author"),
-    "urgency": ("limited time", "offer expires", "only left", "spots remaining", "claim your", "act now"), "assurance": ("100% free", "no credit card required", "no credit card", "cancel anytime", "money-back guarantee"),
-    "services": ("our services", "what we offer", "what we do", "how we help", "get a quote", "request a quote", "book a ", "schedule a ", "free consultation", "call us today"),
-    "clients": ("years of experience", "years experience", "trusted by", "clients include", "our clients"), "about": ("about us", "our story", "our history", "who we are"),
-    "careers": ("careers", "join our team", "job openings", "we're hiring"), "press": ("press", "newsroom", "media kit", "press release", "in the news"), "investors": ("investors", "investor relations", "annual report", "shareholder"),
-}
+#: What titles or descriptions of pages of a kind say.
 NAMES = {
     "software": ("platform", "software", "app", "tool", "suite"), "portfolio": ("portfolio", "my work", "hire me"),
     "service": ("agency", "studio", "consulting", "consultancy", "services", "solutions", "firm", "freelance", "specialist"), "company": ("inc", "corp", "ltd", "llc", "group", "holdings", "enterprise", "global"),
@@ -64,7 +52,7 @@ NAMES = {
 def page_intent(df: DataFrame) -> DataFrame:
     """``intent``: category and label. Each category scores points; the first to reach its bound wins, then four fallbacks. Expects ``tech_categories``."""
     said = F.lower(F.concat("title", "overview.description"))
-    has = lambda group: contains_any(F.col("lower"), PHRASES[group])
+    has = lambda group: holds(*PHRASES[group])
     named = lambda group: contains_any(said, NAMES[group])
     ux, stats = lambda c: F.col(f"ux.{c}"), lambda c: F.col(f"stats.{c}")
 
@@ -93,7 +81,7 @@ def page_intent(df: DataFrame) -> DataFrame:
         .when(ux("has_cta") & (ux("cta_count") >= 2), kind("landing", "promotional site"))
         .otherwise(kind("general", "general site"))
     )
-    return df.withColumn("intent", intent)
+    return with_marks(df).withColumn("intent", intent)
 
 
 def _https() -> Column:

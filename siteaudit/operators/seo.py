@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .page_marks import SITEMAP_PLUGINS, SITEMAPS, holds, with_marks
 from .tokens import attr, contains_any, hidden, last, pick, values
 
 CHECK = "id string, status string, measure int, details array<string>"
-#: Plugins that always make a sitemap.
-SITEMAP_PLUGINS = ("yoast", "rank math", "rankmath", "aioseo", "all-in-one-seo", "seopress")
 
 
 def _check(id_: str, status: Column, measure: Column | None = None, details: Column | None = None) -> Column:
@@ -37,7 +36,7 @@ def seo_checks(df: DataFrame) -> DataFrame:
     bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)(?:</script|$)"), F.lit(1))
     types = F.array_distinct(F.flatten(F.transform(bodies, lambda b: F.slice(F.regexp_extract_all(b, F.lit(r"\"@type\"\s*:\s*\"([^\"]+)\""), F.lit(1)), 1, 10))))
     langs = F.filter(values(link("alternate"), "hreflang"), lambda x: x != "")
-    df = df.withColumns({
+    df = with_marks(df).withColumns({
         "_og": F.array(meta("property", "og:title"), meta("property", "og:description"), meta("property", "og:image")), "_images": images, "_mixed": mixed, "_canonical": last(values(link("canonical"), "href")),
         "_h1": F.size(pick("h1", lambda t: ~hidden(t))), "_langs": langs, "_ld": F.size(ld), "_types": types, "_robots": robots,
     })
@@ -49,7 +48,7 @@ def seo_checks(df: DataFrame) -> DataFrame:
     micro = F.exists("tags", lambda t: (attr(t, "itemscope") != "") | (attr(t, "itemtype") != ""))
     noindex = F.exists("_robots", lambda x: F.lower(x).contains("noindex"))
     viewport = F.exists("tags", lambda t: (t["tag"] == "meta") & (F.lower(attr(t, "name")) == "viewport"))
-    map_ = (F.size(link("sitemap")) > 0) | contains_any(F.col("lower"), ("sitemap_index.xml", "/sitemap.xml", *SITEMAP_PLUGINS))
+    map_ = (F.size(link("sitemap")) > 0) | holds(*SITEMAPS, *SITEMAP_PLUGINS)
     checks = [
         _check("https", some(https)),
         F.when(https, _check("mixed_content", some(F.size("_mixed") == 0, "warning"), F.size("_mixed"), F.col("_mixed"))),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.suffixes import Sites, common_rules, sites_in_tasks
 
+from .page_marks import AI_MARKERS, holds, with_marks
 from .tech_rules import AI_BUILDERS, ENTITIES, TECHNOLOGIES
 
 RULES = "rule int, name string, category string, confidence string, patterns array<string>, require_all boolean, tag_only boolean"
@@ -171,15 +172,12 @@ def tech_stack(scores: DataFrame) -> DataFrame:
     return best.withColumn("shown", F.row_number().over(page.orderBy(place("category", SHOWN), place("confidence", ("high", "medium", "low")), "first_rule"))).drop("first_rule")
 
 
-#: Markers of AI without a builder.
-AI_MARKERS = ('generator" content="ai', "ai-generated", "generated by ai", "created with ai", "powered by ai")
 
 
 def ai_builder(df: DataFrame) -> DataFrame:
     """``ai``: the first builder whose pattern the page holds (high), else all general markers it holds (medium)."""
-    lower = F.col("lower")
-    named = [F.when(lower.contains(p), F.struct(F.lit(name).alias("builder"), F.lit(p).alias("signal"))) for name, patterns in AI_BUILDERS for p in patterns]
-    df = df.withColumn("_builder", F.coalesce(*named)).withColumn("_marks", F.array_compact(F.array(*[F.when(lower.contains(m), m) for m in AI_MARKERS])))
+    named = [F.when(holds(p), F.struct(F.lit(name).alias("builder"), F.lit(p).alias("signal"))) for name, patterns in AI_BUILDERS for p in patterns]
+    df = with_marks(df).withColumn("_builder", F.coalesce(*named)).withColumn("_marks", F.array_compact(F.array(*[F.when(holds(m), m) for m in AI_MARKERS])))
     some = F.col("_builder").isNotNull()
     level = F.when(some, "high").when(F.size("_marks") > 0, "medium").otherwise("")
     signals = F.when(some, F.array("_builder.signal")).otherwise(F.col("_marks"))

@@ -21,7 +21,7 @@ def analysed(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 #: Columns of tokens that later steps don't need.
-HEAVY = ("html", "refs", "bare", "tags", "text_nodes", "text")
+HEAVY = ("html", "lower", "refs", "bare", "tags", "text_nodes", "text")
 
 
 def with_tech(df: DataFrame, stack: DataFrame) -> DataFrame:
@@ -71,4 +71,4 @@ def audit_pages(pages: DataFrame, as_of: Column, rules: DataFrame, headers: Data
     out = insights.with_status(out)
     for step in INSIGHTS:
         out = step(out)
-    return out.drop("seo_status", "tech_categories", "lower")
+    return out.drop("seo_status", "tech_categories", "marks")
