@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, spare, stage
+from .common import pieces, small, spare, stage
 
 #: Fewest words of a run of repeated units, with nothing but white space between, that is removed; shorter ones recur by chance.
 RUN = 20
@@ -50,23 +50,43 @@ def hashed_units(docs: DataFrame, kind: str = "line", sentences: bool = True) ->
     """A row for each line, or paragraph (lines with no empty one between), that has a word, and with ``sentences`` for each of its sentences, if it has several:
     ``doc_id``, ``print`` of the text, ``start, end`` (code points without outer white space, end exclusive), ``at, to`` (its place among the document's smallest units, end
     exclusive), ``n_words``, ``part`` (it is a sentence of a line), and the 128-bit ``digest`` of its words in lower case, a space between them."""
-    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
+    return _hashed(_rows(docs), kind, sentences)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
+
+
+def _hashed(rows: DataFrame, kind: str, sentences: bool) -> DataFrame:
     return rows.mapInArrow(_units(kind, sentences), ", ".join(f"{name} {kind}" for name, kind, _ in _ROW))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Each ``doc_id, print`` of ``rows`` once. Hashes are counted first, so only texts of rows that do repeat are shuffled; where such keys
+    fit a broadcast, a task sends a document once, however often it has it.
+    """
+    own = ["doc_id", "print"]
+    repeats = stage(rows.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own), "substring-repeats")
+    n = repeats.count()
+    if not n:
+        return rows
+    repeats = small(repeats, n, 16)
+    once = rows.join(repeats, own, "left_semi").groupBy(*own).agg(F.first("text").alias("text"))
+    return rows.join(repeats, own, "left_anti").unionByName(once)
+
+
 def _repeated(docs: DataFrame, kind: str, run: int, sentences: bool) -> DataFrame:
-    found = stage(hashed_units(docs, kind, sentences), "substring-units")
+    found = stage(_hashed(_once(_rows(docs)), kind, sentences), "substring-units")
     place = F.struct("doc_id", "print", "start")
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     first = stage(first, "substring-first")  # so that the join reads plain shuffles, of which a hot digest's can be split
     later = found.join(first, "digest").where(place != F.col("first"))
     later = later.select("doc_id", "print", "start", "end", "at", "to", "n_words", "part", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    # One shuffle by text: a line comes before its sentences, which it covers, and what repeats with its row comes twice.
+    # One shuffle by text: a line comes before its sentences, which it covers.
     text = Window.partitionBy("doc_id", "print")
     order = text.orderBy("at", "part")
     covered = F.coalesce(F.max(F.when(~F.col("part"), F.col("to"))).over(order.rowsBetween(Window.unboundedPreceding, 0)) > F.col("at"), F.lit(False))
-    again = F.coalesce(F.lag(F.struct("at", "part")).over(order) == F.struct("at", "part"), F.lit(False))
-    alone = later.withColumns({"covered": covered, "again": again}).where("not again and (not part or not covered)")
+    alone = later.withColumn("covered", covered).where("not part or not covered")
     order = text.orderBy("at")
     runs = alone.withColumn("fresh", F.coalesce((F.lag("to").over(order) != F.col("at")).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("fresh").over(order)).withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "print", "run")))
@@ -78,7 +98,7 @@ def repeated_units(docs: DataFrame, kind: str = "line", run: int = RUN, sentence
     the earliest by doc_id, then place. Sentences are named only where their line stays, and units only in runs of ``run`` words or more.
 
     Units are hashed once; their digests are counted and ranked before they meet their occurrences again, and only those found twice do. Rows
-    that repeat a document are one occurrence of it; rows that share a doc_id but not the text are documents of their own. Null or empty texts and rows with a null
+    that repeat a document are one occurrence of it, taken together before they are hashed, however many there are; rows that share a doc_id but not the text are documents of their own. Null or empty texts and rows with a null
     doc_id have no units; other columns are ignored; empty in, empty out. Not found: the two ends of a repeat that begin or end within a sentence.
     """
     return _repeated(docs, kind, run, sentences).select("doc_id", "start", "end", "first_doc_id", "first_start")

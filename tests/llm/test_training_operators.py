@@ -476,6 +476,21 @@ def test_runs_of_repeated_units(spark):
 
 
 
+def test_a_document_repeated_often_is_one(spark):
+    """Rows that repeat a document change nothing, whether few or many keys repeat (a join by shuffle), nor do null texts and ids."""
+    line = "each of these twenty words stands in a line that is found in several documents of one small table of texts"
+    once = [(1, line + " here."), (2, "new words first.\n" + line + " here."), (2, "other text."), (3, None), (None, line)]
+    schema = "doc_id long, text string"
+    want = sorted(substrings.repeated_units(spark.createDataFrame(once, schema)).collect())
+    assert [(r.doc_id, r.start, r.first_doc_id) for r in want] == [(2, 17, 1)]
+    often = spark.createDataFrame(once + [once[1]] * 3000 + [once[3]] * 5 + [once[4]] * 5, schema).repartition(5)
+    assert sorted(substrings.repeated_units(often).collect()) == want
+    rows = substrings._rows(often)
+    assert sorted(map(str, substrings._once(rows).collect())) == sorted(map(str, substrings._rows(spark.createDataFrame(once, schema)).collect()))
+    kept = substrings.deduplicated(often).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text): r["count"] for r in kept}[2, "new words first.\n"] == 3001
+
+
 @pytest.mark.parametrize("page", ["<script " * 50_000, "<script a=\"'" * 50_000, "<div>" * 40_000 + "</span>" * 40_000, "<span><td>" + "<div>" * 40_000 + "</span>" * 40_000, "<div class=ad>" * 40_000 + "text " * 9, "<div class=ad><article>some text</article>" * 20_000, "<!--" * 100_000, "<article>" * 60_000 + "x"])
 def test_main_text_of_hostile_pages(page):
     import time
