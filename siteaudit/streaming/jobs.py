@@ -55,8 +55,16 @@ def rate_limit_batch(requests: DataFrame, limit: int = PER_USER) -> DataFrame:
     return sorted_.mapInPandas(run, "id long, key long, ts timestamp, admitted boolean")
 
 
+#: Waiting rows of a key that are held as one state; beyond, they are held by slices.
+FEW_ROWS = 4_096
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key wait, by slices of time, until the watermark has passed their slice; then they are judged in order. ``extra``: a column of whole numbers that waits with them."""
+    """Rows of a key wait, by slices of time, until the watermark has passed their slice; then they are judged in order. ``extra``: a column of whole numbers that waits with them.
+
+    A call of the state store costs about as much as many rows, so a key makes a few of them a batch, however many slices its rows are in: up to ``FEW_ROWS`` waiting rows
+    are one state, with one timer for the first of them. Of a key with more, they are moved to a state for each slice, which is all that is held of it then.
+    """
 
     STATE, EXTRA = "", ""
 
@@ -66,6 +74,8 @@ class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.STATE)
+        # ``timer``: when the first waiting row's slice ends, in milliseconds (0: nothing waits); ``sliced``: whether some wait by slices.
+        self.few = handle.getValueState("few", "ids array<long>, times array<long>, extras array<long>, timer long, sliced boolean")
         self.waiting = handle.getMapState("waiting", "slice long", "ids array<long>, times array<long>, extras array<long>")
 
     def judged(self, key, ids: np.ndarray, times: np.ndarray, extras: np.ndarray, state: tuple | None) -> tuple[dict, tuple | None]:
@@ -79,39 +89,90 @@ class _InOrder(StatefulProcessor):
     def left(self, key, state: tuple) -> dict | None:
         """What comes of a state when it goes."""
 
+    def _ends(self, slice_: int) -> int:
+        """When a slice ends, in milliseconds."""
+        return (slice_ + 1) * self.slice_us // 1000
+
+    def _held(self) -> tuple[tuple[np.ndarray, ...], int, bool]:
+        row = self.few.get()
+        ids, times, extras, timer, sliced = row if row is not None else ((), (), (), 0, False)
+        return tuple(np.array(x, np.int64) for x in (ids, times, extras)), timer, sliced
+
+    def _by_slices(self, columns: tuple[np.ndarray, ...]) -> None:
+        slices = columns[1] // self.slice_us
+        for s in np.unique(slices).tolist():
+            held = [c[slices == s].tolist() for c in columns]
+            if self.waiting.containsKey((s,)):
+                held = [[*old, *new] for old, new in zip(self.waiting.getValue((s,)), held)]
+            self.waiting.updateValue((s,), tuple(held))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, timer, sliced, first = None, 0, False, None
         for pdf in rows:
             pdf = pdf[pdf["id"].notna()]  # the others only move the time on
+            if pdf.empty:
+                continue
             us = _micros(pdf["ts"])
-            slices = us // self.slice_us
-            columns = pdf["id"].to_numpy(np.int64), us, pdf[self.EXTRA].to_numpy(np.int64) if self.EXTRA else us
-            for s in np.unique(slices).tolist():
-                held = [c[slices == s].tolist() for c in columns]
-                if self.waiting.containsKey((s,)):
-                    held = [[*old, *new] for old, new in zip(self.waiting.getValue((s,)), held)]
-                else:
-                    self.handle.registerTimer((s + 1) * self.slice_us // 1000)
-                self.waiting.updateValue((s,), tuple(held))
+            new = pdf["id"].to_numpy(np.int64), us, pdf[self.EXTRA].to_numpy(np.int64) if self.EXTRA else us
+            if held is None:
+                held, timer, sliced = self._held()
+            ends = self._ends(int(us.min()) // self.slice_us)
+            first = ends if first is None else min(first, ends)
+            held = tuple(np.concatenate([old, more]) for old, more in zip(held, new))
+            if len(held[0]) > FEW_ROWS:
+                self._by_slices(held)
+                held, sliced = tuple(c[:0] for c in held), True
+        if held is not None:
+            if not timer or first < timer:
+                self.handle.registerTimer(first)
+                timer = first
+            self.few.update((*(c.tolist() for c in held), timer, sliced))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentWatermarkInMs() * 1000  # all that it has passed, whichever timer comes first
-        state = self.state.get() if self.state.exists() else None
-        for s in sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slice_us <= due):
-            ids, times, extras = (np.array(x, np.int64) for x in self.waiting.getValue((s,)))
-            order = np.lexsort((ids, times))
-            out, state = self.judged(key, ids[order], times[order], extras[order], state)
-            self.waiting.removeKey((s,))
-            yield pd.DataFrame(out)
+        state = self.state.get()
+        old, (held, timer, sliced) = state, self._held()
+        fired = bool(timer) and timer * 1000 <= due
+        if fired:
+            passed = (held[1] // self.slice_us + 1) * self.slice_us <= due
+            ready, held = tuple(c[passed] for c in held), tuple(c[~passed] for c in held)
+            later = [self._ends(int(held[1].min()) // self.slice_us)] if len(held[0]) else []
+            if sliced:
+                keys = sorted(s for (s,) in self.waiting.keys())
+                edges = ready[1] // self.slice_us
+                for s in (s for s in keys if self._ends(s) * 1000 <= due):
+                    # Rows of earlier slices that wait in the one state are judged before, those of this slice with it.
+                    until = edges <= s
+                    here = tuple(np.concatenate([np.array(x, np.int64), c[until]]) for x, c in zip(self.waiting.getValue((s,)), ready))
+                    ready, edges = tuple(c[~until] for c in ready), edges[~until]
+                    order = np.lexsort((here[0], here[1]))
+                    out, state = self.judged(key, *(c[order] for c in here), state)
+                    self.waiting.removeKey((s,))
+                    yield pd.DataFrame(out)
+                rest = [s for s in keys if self._ends(s) * 1000 > due]
+                later += [self._ends(rest[0])] if rest else []
+                sliced = bool(rest)
+            if len(ready[0]):
+                order = np.lexsort((ready[0], ready[1]))
+                out, state = self.judged(key, *(c[order] for c in ready), state)
+                yield pd.DataFrame(out)
+            timer = min(later, default=0)
+            if timer:
+                self.handle.registerTimer(timer)
+                self.few.update((*(c.tolist() for c in held), timer, sliced))
+            else:
+                self.few.clear()
         if state is None:
             return
         # No row that the state counts for waits once the slice has been judged in which it ends.
-        over = (self.end(state) // self.slice_us + 1) * self.slice_us // 1000
+        over = self._ends(self.end(state) // self.slice_us)
         if over * 1000 > due:
-            self.state.update(state)
-            self.handle.registerTimer(over)
+            if fired:
+                self.state.update(state)
+                self.handle.registerTimer(over)
             return
-        if self.state.exists():
+        if old is not None:
             self.state.clear()
         if (out := self.left(key, state)) is not None:
             yield pd.DataFrame(out)
