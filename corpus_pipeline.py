@@ -55,12 +55,12 @@ def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and ``n_chars``, if there is such a column, counted anew. Null and empty texts, repeated rows, null ids and other
     columns stay as they are; empty in, empty out."""
-    found = secrets.find_secrets(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
+    names = {c: c if c == "text" else f"own_{k}" for k, c in enumerate(docs.columns)}  # a row goes to the scan and back with its text once
+    found = secrets.find_secrets(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
     hit = F.size("secrets") > 0
-    text = F.when(hit, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
-    new = found.select("own", hit.alias("hit"), text.alias("text"))
-    counted = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("own.n_chars")) if "n_chars" in docs.columns else None
-    return new.select(*[F.col("text") if c == "text" else counted.alias(c) if c == "n_chars" else F.col(f"own.`{c}`") for c in docs.columns])
+    new = found.withColumns({"hit": hit, "text": F.when(hit, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))})
+    counted = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col(names["n_chars"])) if "n_chars" in docs.columns else None
+    return new.select(*[counted.alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in names.items()])
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with digests of ids and decoded text: begin and end ids alone for null and empty texts; repeated rows and null ids are encoded as any; other
     columns go; empty in, empty out."""
-    ids = pieces.encode(docs.select("doc_id", "source", "text"), vocabulary("piece_bpe_32k.model")).drop("text")
+    ids = pieces.encode(docs.select("doc_id", "source", "text"), vocabulary("piece_bpe_32k.model"), keep_text=False)
     return ids.select("doc_id", "source", "ids", "decoded").transform(lambda d: digests(d))
 
 

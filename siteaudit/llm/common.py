@@ -91,12 +91,19 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> Da
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``limit`` bytes of ``column``, one row at least."""
+def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, int]:
+    """``docs`` with the columns ``kept``, then ``text`` unless it is one of them, and the place of the text: it is sent to Python once."""
+    at = next((i for i, c in enumerate(kept) if c.lower() == text.lower()), len(kept))
+    more = [F.col(text).alias(spare(kept, "own_text"))] if at == len(kept) else []
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *more), at
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about ``limit`` bytes of ``column`` (a name or a place), one row at least. Arrow's unused memory is given back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0))
         ends = np.cumsum(sizes)
         at = 0
@@ -105,6 +112,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, col
+    pa.default_memory_pool().release_unused()
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

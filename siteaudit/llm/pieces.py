@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spare
+from .common import pieces, with_text
 
 MARK = "▁"
 #: Markers are spaces here, which take a byte each in most texts; the library turns them into markers itself.
@@ -82,28 +82,27 @@ class Table:
         return ids, out
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True, end: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True, end: bool = True, keep_text: bool = True) -> DataFrame:
     """Adds to each row of ``docs`` ``ids`` (binary: the ids of the whole text as little-endian unsigned 32-bit integers) and
     ``decoded`` (what the library's decode makes of them), both exactly as the library does for the whole text.
 
     ``model``: path of a model file, read by the driver and sent to the tasks (some hundred KB). A null text counts as empty: begin and end
     ids alone, decoded to "". Rows are encoded on their own, so repeated rows, null ids and
-    other columns make no difference; columns called ids or decoded are replaced.
+    other columns make no difference; columns called ids or decoded are replaced. Without ``keep_text`` the text goes to the tasks but does not come back.
     """
     with open(model, "rb") as f:
         data = f.read()
     check_model(data)
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    own = spare(kept, "own_text")
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(own))
-    schema = docs.drop(own).schema.add("ids", "binary").add("decoded", "string")
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded") and (keep_text or c.lower() != text.lower())]
+    docs, at = with_text(docs, kept, text)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches):
         table = Table(data)
         first, last = (struct.pack("<I", i) if on else b"" for on, i in ((begin, table.sp.bos_id()), (end, table.sp.eos_id())))
-        for batch in pieces(batches, own, BATCH):
-            ids, out = table.encode(batch.column(batch.num_columns - 1).to_pylist(), first, last)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*batch.schema.names[:-1], "ids", "decoded"])
+        for batch in pieces(batches, at, BATCH):
+            ids, out = table.encode(batch.column(at).to_pylist(), first, last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*kept, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 

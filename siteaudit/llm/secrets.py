@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spare
+from .common import pieces, with_text
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -102,15 +102,14 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     with open(ranks, "rb") as f:
         data = f.read()
     kept = [c for c in docs.columns if c.lower() != "secrets"]
-    own = spare(kept, "own_text")
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias(own))
-    schema = docs.drop(own).select("*", F.lit(None).cast(_SPANS).alias("secrets")).schema
+    docs, at = with_text(docs, kept, text)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast(_SPANS).alias("secrets")).schema
 
     def run(batches):
         vocabulary = _vocabulary(data, pattern)
-        for batch in pieces(batches, own):
-            found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t, vocabulary, efficiency)] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], [*batch.schema.names[:-1], "secrets"])
+        for batch in pieces(batches, at):
+            found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t or "", vocabulary, efficiency)] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, _ARROW)], [*kept, "secrets"])
 
     return docs.mapInArrow(run, schema)
 

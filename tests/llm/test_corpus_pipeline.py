@@ -68,3 +68,13 @@ def test_no_text_of_a_shared_id_is_lost(spark, sf):
     assert out.columns == ["doc_id", "text", "number"]
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert got == sorted([(3, near), (9, other), (3, third), (2**63 - 2, None), (2**63 - 2, ""), (-4, "")], key=repr)
+
+
+def test_texts_go_to_python_once(spark, sf):
+    """Before, the secret scan sent each text three times and took two back, the encoding sent two and took one back that no step read."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.col("text"))
+    for step, back in ((corpus_pipeline.clean_documents, 1), (corpus_pipeline.encoded_documents, 0)):
+        plan = step(spark, docs, sf)._jdf.queryExecution().optimizedPlan().toString()
+        sent, returned = next(x for x in plan.splitlines() if "MapInArrow" in x).split(", [", 1)
+        assert sent.count("text#") == 1 and sent.count("own#") == 0, sent
+        assert returned.count("text#") == back and returned.count("own#") == 0, returned
