@@ -47,3 +47,21 @@ def test_tags_without_attributes(spark):
     html = "<p><br/><br /><B\n><a\thref=x><i x><u =y><s/a='1'/>"
     tags = tokenize(spark.createDataFrame([(1, html)], "page_id long, html string")).first()["tags"]
     assert [(t["tag"], t["attrs"]) for t in tags] == [("p", {}), ("br", {}), ("br", {}), ("b", {}), ("a", {"href": "x"}), ("i", {"x": ""}), ("u", {"y": ""}), ("s", {"a": "1"})]
+
+
+def test_head_is_searched_once_a_page(spark):
+    """Before, the optimizer moved the search for the head into the function of each tag: work grew with the square of a page."""
+    html = "<html><head><title>t</title><meta a=b></head><body><p class='x'>" + "<i>y</i>" * 50
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>no head")], "page_id long, html string")
+    tags = tokenize(pages).select("page_id", "tags")
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</head") == 1 and "transform(array(size(regexp_extract_all(regexp_extract(" in plan
+    got = {r.page_id: [t["in_head"] for t in r.tags] for r in tags.collect()}
+    assert got == {1: [True] * 4 + [False] * 52, 2: [], 3: [False]}
+
+
+def test_marks_within_attributes(spark):
+    """Attributes are parsed in one pass behind two control characters; tags that hold these give the same."""
+    html = "<a href=\"x\x01y\" B=\x02 c b='2'><i a=1 A=2 c='&amp;\x02'><u a=\"&lt;\" a=3 / d = 'e f'>"
+    tags = tokenize(spark.createDataFrame([(1, html)], "page_id long, html string")).first()["tags"]
+    assert [t["attrs"] for t in tags] == [{"href": "x\x01y", "b": "\x02", "c": ""}, {"a": "1", "c": "&\x02"}, {"a": "<", "d": "e f"}]
