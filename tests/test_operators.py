@@ -232,3 +232,15 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in top and "o_comment" not in top and "PushedFilters: [" in top
     assert "CartesianProduct" not in text(p.t1_tech_matches(spark, sf)) and "BroadcastNestedLoopJoin" not in text(p.t1_tech_matches(spark, sf))
     assert text(tokenize(spark.read.parquet(f"{sf}/pages.parquet"))).count("Exchange") == 0
+
+
+def test_pages_are_held_in_slices():
+    """Before, a task held a whole batch of pages as Python strings with all their matches."""
+    import pyarrow as pa
+
+    from siteaudit.operators import tech
+
+    html = ["x" * 10, None, "", "y" * 25, "z" * 5, "z" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(["u"] * 6), pa.array(html, pa.string())], ["page_id", "url", "html"])
+    slices = list(tech._slices([batch.slice(0, 0), batch, batch.slice(4)], 12))
+    assert [s.column(0).to_pylist() for s in slices] == [[0, 1, 2], [3], [4, 5], [4, 5]]
