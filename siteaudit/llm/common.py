@@ -99,7 +99,7 @@ def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, i
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``limit`` bytes of ``column`` (a name or a place), one row at least. Arrow's unused memory is given back at the end."""
+    """The same rows in record batches of about ``limit`` bytes of ``column`` (a name or a place), one row at least. Arrow's unused memory is given back after each batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -112,8 +112,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 8
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-        del batch, col
-    pa.default_memory_pool().release_unused()
+        del batch, col, sizes, ends
+        pa.default_memory_pool().release_unused()
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -21,10 +21,10 @@ from .common import pieces, with_text
 MARK = "▁"
 #: Markers are spaces here, which take a byte each in most texts; the library turns them into markers itself.
 _CHUNK = re.compile("\n| +[^ \n]*|[^ \n]+")
-#: Chunks of a task's table; beyond that it starts anew with those of the batch. Chunks over this many characters aren't kept in it.
-TABLE, LONG = 200_000, 64
-#: Bytes of text that are cut into chunks at once.
-BATCH = 2 << 20
+#: Chunks of a task's table (under 200 bytes each); beyond that it starts anew with those of the batch. Chunks over this many characters aren't kept in it.
+TABLE, LONG = 100_000, 64
+#: Bytes of text that are cut into chunks at once; a chunk at hand takes some 20 bytes for each of its own.
+BATCH = 512 << 10
 
 _models: dict = {}
 
@@ -51,34 +51,39 @@ def check_model(data: bytes) -> None:
 
 
 class Table:
-    """Chunk -> its ids, packed, and its decoded text."""
+    """Chunk -> its ids, packed; ``odd`` has the decoded text of those that it differs from."""
 
     def __init__(self, data: bytes):
         self.sp = _model(data)
         self.lead = self.sp.encode("\n")  # the marker that the library puts first, and the line feed
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
+    def learn(self, chunks: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """The table and the texts that differ, with all of ``chunks``."""
         new = [c for c in chunks if c not in self.known]
-        skip = len(self.lead)
-        ids = [x[skip:] for x in self.sp.encode(["\n" + c for c in new], num_threads=1)]
-        texts = self.sp.decode([self.lead + x for x in ids], num_threads=1)
-        found = {c: (struct.pack(f"<{len(x)}I", *x), t[1:]) for c, x, t in zip(new, ids, texts)}
-        if len(self.known) + len(found) > TABLE:
+        if len(self.known) + len(new) > TABLE:
             self.known = {c: self.known[c] for c in chunks if c in self.known}
-        long = {c: v for c, v in found.items() if len(c) > LONG}
-        self.known.update((c, v) for c, v in found.items() if len(c) <= LONG)
-        return long
+            self.odd = {c: self.odd[c] for c in self.known if c in self.odd}
+        long, long_odd = {}, {}
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = [x[len(self.lead) :] for x in self.sp.encode(["\n" + c for c in part], num_threads=1)]
+            texts = self.sp.decode([self.lead + x for x in ids], num_threads=1)
+            for c, x, t in zip(part, ids, texts):
+                table, odd = (self.known, self.odd) if len(c) <= LONG else (long, long_odd)
+                table[c] = struct.pack(f"<{len(x)}I", *x)
+                if t[1:] != c:
+                    odd[c] = t[1:]
+        return (self.known, self.odd) if not long else ({**self.known, **long}, {**self.odd, **long_odd})
 
     def encode(self, texts: list[str | None], first: bytes, last: bytes) -> tuple[list[bytes], list[str]]:
         cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        long = self.learn(set().union(*cut)) if cut else {}
-        table = self.known if not long else {**self.known, **long}
+        table, odd = self.learn(set().union(*cut)) if cut else ({}, {})
         ids, out = [], []
         for chunks in cut:
-            got = [table[c] for c in chunks]
-            ids.append(b"".join([first, *[g[0] for g in got], last]))
-            out.append("".join([g[1] for g in got])[1:])  # the library drops the marker that it put first
+            ids.append(b"".join([first, *[table[c] for c in chunks], last]))
+            out.append("".join([odd.get(c, c) for c in chunks] if odd else chunks)[1:])  # the library drops the marker that it put first
         return ids, out
 
 
@@ -103,6 +108,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True,
         for batch in pieces(batches, at, BATCH):
             ids, out = table.encode(batch.column(at).to_pylist(), first, last)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*kept, "ids", "decoded"])
+            del batch, ids, out  # a slice would keep the batch that it is of while the next one comes
 
     return docs.mapInArrow(run, schema)
 

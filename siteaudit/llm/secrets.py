@@ -35,6 +35,9 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NAMED = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)[+/_=-]+)*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)[+/_=-]*")
 _CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
+#: Bytes of text that are scanned at once.
+BATCH = 1 << 20
+
 _vocabularies: dict = {}
 
 
@@ -107,9 +110,10 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
 
     def run(batches):
         vocabulary = _vocabulary(data, pattern)
-        for batch in pieces(batches, at):
+        for batch in pieces(batches, at, BATCH):
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t or "", vocabulary, efficiency)] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, _ARROW)], [*kept, "secrets"])
+            del batch, found
 
     return docs.mapInArrow(run, schema)
 
