@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything else.
 BREAKS = r"[\x20\x09-\x0D]+"
 
+#: Bytes of rows that go to a Python worker at once.
+SENT = 2 << 20
+
 _own_folder: list[str] = []
 
 
@@ -98,6 +101,17 @@ def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, i
     return docs.select(*[F.col(f"`{c}`") for c in kept], *more), at
 
 
+def sent(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of about ``SENT`` bytes: Spark's 64 MB are held in the JVM, beside its heap, and again in the worker, by every task.
+
+    Spark reads the size when a query runs, so it stays set for the session; a size that is set already is left.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(size, None) is None:
+        df.sparkSession.conf.set(size, str(SENT))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``limit`` bytes of ``column`` (a name or a place), one row at least. Arrow's unused memory is given back after each batch."""
     for batch in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, groups, pieces, sized, small, stage, star, unstage
+from .common import components, forest, groups, pieces, sent, sized, small, stage, star, unstage
 
 #: Coordinates of a band, and the chance at most that a pair at the threshold shares none.
 ROWS, MISS = 5, 1e-6
@@ -120,7 +120,7 @@ def _sign(size: int, n_bands: int):
 def signatures(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles``, a 128-bit print of the set, one byte of each
     coordinate and the band keys; nulls from ``print1`` on for an empty set."""
-    return docs.select("doc_id", "text").mapInArrow(_sign(size, n_bands), "doc_id long, n_shingles long, print1 long, print2 long, sig binary, bands array<long>")
+    return sent(docs.select("doc_id", "text"), _sign(size, n_bands), "doc_id long, n_shingles long, print1 long, print2 long, sig binary, bands array<long>")
 
 
 def _buckets(batches):
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     own = stage(own.select("cluster", "cuts", "id", "sig", "text"), "minhash-texts")
 
     def linked_in(blocks: DataFrame) -> DataFrame:
-        return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(shingle_words, percent, floor), "a long, b long")
+        return sent(blocks.repartition("block").sortWithinPartitions("block"), _confirm(shingle_words, percent, floor), "a long, b long")
 
     links = linked_in(own.where("cuts = 1").select(F.col("cluster").cast("string").alias("block"), "id", F.lit(False).alias("right"), "sig", "text"))
     links = stage(links.distinct(), "minhash-linked")

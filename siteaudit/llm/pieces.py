@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_text
+from .common import pieces, sent, with_text
 
 MARK = "▁"
 #: Markers are spaces here, which take a byte each in most texts; the library turns them into markers itself.
@@ -110,7 +110,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", begin: bool = True,
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array(out, pa.string())], [*kept, "ids", "decoded"])
             del batch, ids, out  # a slice would keep the batch that it is of while the next one comes
 
-    return docs.mapInArrow(run, schema)
+    return sent(docs, run, schema)
 
 
 def unpacked(ids: Column) -> Column:

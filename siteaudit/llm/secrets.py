@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_text
+from .common import pieces, sent, with_text
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -115,7 +115,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, _ARROW)], [*kept, "secrets"])
             del batch, found
 
-    return docs.mapInArrow(run, schema)
+    return sent(docs, run, schema)
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
